@@ -5,7 +5,6 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.frame import SeriesFrame
 from tidemark.operators import bundles, extremum, labels
 from tidemark.operators import rolling as R
 from tidemark.operators.indicators import indicators
@@ -80,10 +79,14 @@ LONG = [288, 672]
 long_names = [f"price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG] + [f"price_trend_{w}" for w in LONG]
 register("long_windows", spec(long_names),
          lambda s, d: inputs.ticks(s, d).derive(
-             [x for fn in ("mean", "max", "min") for x in R.past_aggregations("price", fn, LONG)] + R.linear_trends("price", LONG)).df,
-         TICKS_SQL, "SELECT series, pos, " + ", ".join(
+             [x for fn in ("mean", "max", "min") for x in R.past_aggregations("price", fn, LONG, rel_column="price", rel_factor=100.0)]
+             + R.linear_trends("price", LONG)).df,
+         TICKS_SQL + ",\nw AS (SELECT series, pos, price, " + ", ".join(
              [f"{rolled('price', fn, w)} AS price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG]
-             + [f"{sloped('price', w)} AS price_trend_{w}" for w in LONG]) + " FROM ticks")
+             + [f"{sloped('price', w)} AS price_trend_{w}" for w in LONG]) + " FROM ticks)",
+         "SELECT series, pos, " + ", ".join(
+             [f"100 * (price_{fn}_{w} - price) / nullif(price, 0) AS price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG]
+             + [f"price_trend_{w}" for w in LONG]) + " FROM w")
 
 register("tick_windows", spec(["price_mean_20", "price_std_20", "price_max_20", "size_sum_50"]),
          lambda s, d: inputs.ticks(s, d).derive([
@@ -216,14 +219,14 @@ register("indicator_momentum", spec([f"close_{f}_7" for f in MOMENTUM]),
          """SELECT series, pos, close - p AS close_MOM_7, (close / p - 1) * 100 AS close_ROC_7, (close - p) / p AS close_ROCP_7, close / p AS close_ROCR_7,
   close / p * 100 AS close_ROCR100_7 FROM l""")
 
-register("indicator_weighted", spec(["close_WMA_6", "close_TRIMA_6", "close_TRIMA_7", "close_MAXINDEX_6", "close_MININDEX_6"]),
+register("indicator_weighted", spec(["close_WMA_6", "close_TRIMA_6", "close_TRIMA_5"]) + " close_MAXINDEX_6:b close_MININDEX_6:b",
          lambda s, d: indicators(indicators(inputs.filled(s, d), "close", ["WMA", "TRIMA", "MAXINDEX", "MININDEX"], [6], fill_gaps=False)[0],
-                                 "close", "TRIMA", 7, fill_gaps=False)[0].df,
+                                 "close", "TRIMA", 5, fill_gaps=False)[0].df,
          FILLED_SQL + f""",
-s AS (SELECT *, {rolled('close', 'mean', 3, 3)} AS s3, {rolled('close', 'mean', 4, 4)} AS s4,
+s AS (SELECT *, {rolled('close', 'mean', 3, 3)} AS s3, 
   count(close) OVER {past(6)} AS n, list(close) FILTER (close IS NOT NULL) OVER {past(6)} AS x, list(pos) OVER {past(6)} AS at FROM filled)""",
          f"""SELECT series, pos, CASE WHEN n = 6 THEN (x[1] + 2 * x[2] + 3 * x[3] + 4 * x[4] + 5 * x[5] + 6 * x[6]) / 21 END AS close_WMA_6,
-  {rolled('s3', 'mean', 4, 4)} AS close_TRIMA_6, {rolled('s4', 'mean', 4, 4)} AS close_TRIMA_7,
+  {rolled('s3', 'mean', 4, 4)} AS close_TRIMA_6, {rolled('s3', 'mean', 3, 3)} AS close_TRIMA_5,
   CASE WHEN n = 6 THEN pos + 1 - list_position(list_reverse(x), list_max(x)) END AS close_MAXINDEX_6,
   CASE WHEN n = 6 THEN pos + 1 - list_position(list_reverse(x), list_min(x)) END AS close_MININDEX_6 FROM s""")
 
@@ -483,10 +486,7 @@ EXTREMES = [extremum.ExtremumLabel("top_a", True, 0.5, 0.1), extremum.ExtremumLa
 
 
 def _extremes(spark, sf_dir):
-    frame = inputs.filled(spark, sf_dir)
-    small = SeriesFrame(frame.df, frame.keys, frame.ts, frame.pos, frame.step_us, 64)
-    frame, _ = extremum.top_or_bottom(small, "close", "top", 0.5, [0.2, 0.5], ["top_a", "top_b"])
-    return extremum.top_or_bottom(frame, "close", "bot", 2.0, 0.25, ["bot_a"])[0].df
+    return extremum.extremum_labels(inputs.filled(spark, sf_dir), "close", EXTREMES)[0].df
 
 
 register("extremum_labels", KEY + "top_a:b top_b:b bot_a:b", _extremes, *extremum_sql(EXTREMES))

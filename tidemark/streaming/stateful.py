@@ -8,9 +8,10 @@ few comparisons per signal.  A backfill of long histories uses the bucketed batc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -18,6 +19,25 @@ from tidemark.functions.numeric import null_safe_false
 from tidemark.operators.scores import score_band
 
 
+# Fixed value: the state store these operators need.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Start stateful streams inside this block where the session does not name the RocksDB store."""
+    before = spark.conf.get(STATE_STORE, None)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STATE_STORE)
+        else:
+            spark.conf.set(STATE_STORE, before)
+
+
 class _Transactions(StatefulProcessor):
     """Keeps the last transaction of a series and emits the next one of the other side."""
 
