@@ -18,6 +18,7 @@ Nothing is grouped or joined on the series key alone, so a hot series costs noth
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 BUCKET = "__bucket"
 # Rows per bucket.  A bucket is the unit of work of a task and of numpy kernels: large
 # enough to make the duplicated edge rows cheap, small enough to sort in memory.
-BUCKET_ROWS = 16384
+BUCKET_ROWS = 8192
 # Buckets per group in the second level of carried scans.
 GROUP_BUCKETS = 8192
 
@@ -38,6 +39,15 @@ def floor_div(value: Column, size: int) -> Column:
     return F.call_function("div", value - F.pmod(value, size_lit), size_lit)
 
 
+def spread(home: Column, pos: Column, rows: int, back: int, ahead: int) -> Column:
+    """Buckets that need a row: its own, the next one if it lies in the last ``back`` rows of
+    its bucket, the previous one if it lies in the first ``ahead`` rows."""
+    offset = F.pmod(pos, F.lit(rows).cast("long"))
+    first = F.when(offset < ahead, home - 1).otherwise(home) if ahead else home
+    last = F.when(offset >= rows - back, home + 1).otherwise(home) if back else home
+    return F.explode(F.sequence(first, last)) if back or ahead else home
+
+
 @dataclass(frozen=True)
 class Span:
     """Window frames inside one bucket."""
@@ -136,16 +146,7 @@ class SeriesFrame:
         ahead = sum(max(s.lookahead for s in g) for g in groups)
         rows = max(self.bucket_rows, 4 * max(back, ahead))
         home = self.home(rows)
-        offset = F.pmod(F.col(self.pos), F.lit(rows).cast("long"))
-        copies = [home]
-        if back:
-            copies.append(F.when(offset >= rows - back, home + 1))
-        if ahead:
-            copies.append(F.when(offset < ahead, home - 1))
-        if len(copies) == 1:
-            df = self.df.withColumn(BUCKET, home)
-        else:
-            df = self.df.withColumn(BUCKET, F.explode(F.array_compact(F.array(*copies))))
+        df = self.df.withColumn(BUCKET, spread(home, F.col(self.pos), rows, back, ahead))
         span = Span(self.keys + (BUCKET,), self.pos)
         for group in groups:
             for n in range(max(len(s.phases) for s in group)):
@@ -155,7 +156,7 @@ class SeriesFrame:
                         columns.update(s.phases[n](span))
                 if columns:
                     df = df.withColumns(columns)
-        if len(copies) > 1:
+        if back or ahead:
             df = df.where(F.col(BUCKET) == home)
         return self.with_df(df.drop(*[c for c in df.columns if c.startswith("__")]))
 
@@ -296,25 +297,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the checkpoint folder as a Parquet table and read them from there.
+
+    This cuts the lineage and survives lost executors, and unlike a checkpointed RDD it is
+    compressed and lets later steps read only the columns they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def number_rows(df: DataFrame, keys: str | Iterable[str], order: list[str], ts: str = "ts", pos: str = "pos",
                 partitions: int | None = None) -> SeriesFrame:
     """Number the rows of every series in the given total order, starting at 0.
 
-    Rows are range-partitioned on all key and order columns, so that neither a hot series
-    nor a hot instant ends up in one task.  The boundaries come from a sample, therefore
-    the partitioned rows are written once before they are counted.
+    Rows are range-partitioned on all key and order columns and sorted, so that neither a
+    hot series nor a hot instant ends up in one task.  The boundaries come from a sample,
+    therefore the sorted rows are written once, with their number inside the partition;
+    what is left is to add where each partition starts.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     parts = [partitions] if partitions else []
-    placed = settle(df.repartitionByRange(*parts, *keys, *order).withColumn("__part", F.spark_partition_id()))
-    counts = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    placed = df.repartitionByRange(*parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    placed = settle(placed.withColumns({"__part": F.spark_partition_id(), "__id": F.monotonically_increasing_id()}))
+    counts = placed.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    local = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
-    numbered = placed.withColumn("__local", local).join(starts, [*keys, "__part"])
-    numbered = numbered.withColumn(pos, (F.col("__start") + F.col("__local") - 1).cast("long"))
-    return SeriesFrame(numbered.drop("__part", "__local", "__start"), tuple(keys), ts=ts, pos=pos)
+    # one row per range partition and series in it: far fewer than rows
+    starts = counts.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    numbered = placed.join(starts, [*keys, "__part"]).withColumn(pos, F.col("__id") + F.col("__shift"))
+    return SeriesFrame(numbered.drop("__part", "__id", "__shift"), tuple(keys), ts=ts, pos=pos)

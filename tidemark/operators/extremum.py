@@ -260,7 +260,8 @@ def _solve(queries: DataFrame, narrow: DataFrame, keys: list[str], key_ddl: str,
     first = look(by_bucket, todo.withColumn("at", own).withColumn("cell", floor_div(own, GROUP_BUCKETS)), GROUP_BUCKETS)
     higher = first.where("open").drop("hit", "open")
     in_bucket = inside(first, rows)
-    if not higher.isEmpty():
+    several = by_group.groupBy(*keys).count().where("count > 1")
+    if not several.isEmpty():
         second = look(by_group, higher.withColumn("at", floor_div(own, GROUP_BUCKETS)).withColumn("cell", F.lit(0).cast("long")), None)
         third = look(by_bucket, inside(second, GROUP_BUCKETS), GROUP_BUCKETS)
         in_bucket = in_bucket.unionByName(inside(third, rows))

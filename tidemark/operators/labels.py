@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.frame import BUCKET, SeriesFrame
+from tidemark.frame import BUCKET, SeriesFrame, spread
 from tidemark.functions.numeric import null_safe_false, ratio
 from tidemark.operators.rolling import future_aggregations
 
@@ -104,9 +104,7 @@ def first_crossings(frame: SeriesFrame, horizon: int, wanted: dict[str, tuple[st
             raise ValueError(f"threshold of {name!r} cannot be zero")
     rows = max(frame.bucket_rows, 4 * horizon)
     home = frame.home(rows)
-    offset = F.pmod(F.col(frame.pos), F.lit(rows).cast("long"))
-    copies = F.array_compact(F.array(home, F.when(offset < horizon, home - 1)))
-    df = frame.df.withColumn(BUCKET, F.explode(copies))
+    df = frame.df.withColumn(BUCKET, spread(home, F.col(frame.pos), rows, 0, horizon))
     schema = T.StructType(frame.df.schema.fields + [T.StructField(n, T.LongType()) for n in wanted])
     pos_name = frame.pos
 

@@ -35,7 +35,7 @@ def ranking_metrics(df: DataFrame, keys: list[str], positive: Column, score: Col
     tied = df.select(*keys, positive.alias("p"), score.alias("score")).groupBy(*keys, "score").agg(
         F.count_if("p").alias("pos_n"), F.count_if(~F.col("p")).alias("neg_n"))
     tied = tied.withColumn("order", -F.col("score"))
-    frame = number_rows(tied, keys, ["order"]).settle()
+    frame = number_rows(tied, keys, ["order"])
     ranked = frame.running({"cum_pos": F.col("pos_n"), "cum_neg": F.col("neg_n")}).df
     above = F.col("cum_pos") - F.col("pos_n")
     sums = ranked.groupBy(*keys).agg(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.frame import Span, Step
 from tidemark.functions.numeric import ratio
 
-FAST_WINDOW = 192
+FAST_WINDOW = 64
 
 # Aggregates by name; each skips NULLs.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -135,7 +135,8 @@ def rolling(column: str, fn: str, w: int, name: str, future: bool = False, stric
     need = w if strict else min_count(w)
 
     def finish(value: Column, n: Column, span: Span) -> dict[str, Column]:
-        ok = n >= need
+        # an aggregate of no values is NULL by itself
+        ok = n >= need if need > 1 or fn == "count" else F.lit(True)
         if future:
             ok = ok & F.lead(F.lit(True), w).over(span.ordered).isNotNull()
         return {name: _relative(F.when(ok, value), rel_column, rel_factor)}

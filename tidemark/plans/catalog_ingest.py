@@ -14,6 +14,7 @@ from tidemark.operators.raster import Source, merge_sources, on_raster
 from tidemark.plans import inputs
 from tidemark.plans.catalog import register
 from tidemark.plans.inputs import EVENT_SQL, FILLED_SQL, SIGNALLED_SQL, TICKS_SQL
+from tidemark.plans.stages import locate_row, time_or_offset
 from tidemark.sources import bars as src
 from tidemark.streaming.bars import longer_interval_starts, retained
 
@@ -282,9 +283,9 @@ register("head_rows", POSITION, lambda s, d: inputs.ticks(s, d).drop_tail(60).df
 register("every_nth_row", POSITION, lambda s, d: inputs.ticks(s, d).every_nth(7), TICKS_SQL,
          "SELECT series, pos, price FROM ticks WHERE pos % 7 = 0")
 register("range_by_time", "series:s ts:b close:d",
-         lambda s, d: inputs.bars(s, d).df.where("ts >= timestamp'2024-01-05 00:00:00' AND ts < timestamp'2024-01-20 12:00:00'"),
+         lambda s, d: time_or_offset(inputs.bars(s, d), "2024-01-05 00:00:00", "2024-01-20 12:00:00").df,
          EVENT_SQL, f"SELECT series, {EPOCH}, close FROM bars b WHERE b.ts >= TIMESTAMP '2024-01-05' AND b.ts < TIMESTAMP '2024-01-20 12:00:00'")
-register("range_by_row_offset", POSITION, lambda s, d: inputs.ticks(s, d).drop_head(100).drop_tail(100).df, TICKS_SQL,
+register("range_by_row_offset", POSITION, lambda s, d: time_or_offset(inputs.ticks(s, d), 100, 100).df, TICKS_SQL,
          "SELECT series, pos, price FROM ticks t WHERE pos >= 100 AND pos < (SELECT count(*) FROM ticks x WHERE x.series = t.series) - 100")
 register("drop_null_rows", "series:s ts:b close:d", lambda s, d: inputs.bars(s, d).df.dropna(subset=["close", "high"]),
          EVENT_SQL, f"SELECT series, {EPOCH}, close FROM bars WHERE close IS NOT NULL AND high IS NOT NULL")
@@ -295,13 +296,7 @@ register("finite_values", "series:s ts:b x:d y:d",
          EVENT_SQL, f"SELECT series, {EPOCH}, close AS x, CASE WHEN trades > 3 THEN NULL ELSE open END AS y FROM bars")
 
 
-def _locate(spark, sf_dir):
-    frame = inputs.bars(spark, sf_dir)
-    rows = frame.attach(frame.bounds()).where(F.col("ts") == F.lit("2024-01-10 05:00:00").cast("timestamp"))
-    return rows.select("series", (F.col("pos") - F.col("first_pos")).alias("row_no"))
-
-
-register("locate_row", "series:s row_no:b", _locate, EVENT_SQL,
+register("locate_row", "series:s row_no:b", lambda s, d: locate_row(inputs.bars(s, d), "2024-01-10 05:00:00"), EVENT_SQL,
          """SELECT series, row_no FROM (SELECT series, ts, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS row_no FROM bars)
   WHERE ts = TIMESTAMP '2024-01-10 05:00:00'""")
 

@@ -12,10 +12,11 @@ from tidemark.operators import metrics as M
 from tidemark.operators import models as ML
 from tidemark.operators.rolling import future_aggregations, past_aggregations
 from tidemark.operators.scores import threshold_rule
-from tidemark.plans import inputs
+from tidemark.plans import inputs, stages
 from tidemark.plans.catalog import register
 from tidemark.plans.catalog_signals import LIVE_SQL
-from tidemark.plans.inputs import EVENT_SQL, TICKS_SQL
+from tidemark.plans.catalog_windows import crossing_sql, rolled
+from tidemark.plans.inputs import EVENT_SQL, FILLED_SQL, TICKS_SQL
 from tidemark.streaming import bars as stream
 from tidemark.streaming.stateful import rocksdb_state, stream_band_changes, stream_transactions
 
@@ -278,3 +279,33 @@ def _output_function(spark, sf_dir):
 
 
 register("stream_output_function", "series:s rows:b", _output_function, EVENT_SQL, 'SELECT series, count(*) AS "rows" FROM bars GROUP BY 1')
+
+
+# -- the whole chain -------------------------------------------------------------------------
+
+CHAIN_FEATURES = [
+    {"generator": "indicator", "config": {"columns": "close", "functions": ["SMA"], "windows": [4, 12], "interpolate": False,
+                                          "parameters": {"rel_base": "next", "rel_func": "diff"}}},
+    {"generator": "statistics", "config": {"columns": "close", "functions": ["std"], "windows": [12], "interpolate": False}}]
+CHAIN_LABELS = [{"generator": "highlow2", "config": {"columns": ["close", "high", "low"], "function": "high", "thresholds": [80.0],
+                                                     "tolerance": 0.5, "horizon": 12, "names": ["high_80"]}}]
+
+
+def _chain(spark, sf_dir):
+    frame, features = stages.feature_stage(inputs.filled(spark, sf_dir), CHAIN_FEATURES)
+    frame, labels = stages.feature_stage(frame, CHAIN_LABELS)
+    frame = stages.select_existing(frame, features, labels).settle()
+    algorithms = [{"name": "lc", "algo": "lc", "train": {"max_iter": 10, "reg": 0.01}}]
+    models = stages.training_stage(frame, features, labels, algorithms, label_horizon=12)
+    frame, scores = stages.scoring_stage(frame, features, labels, algorithms, models)
+    signals, _ = stages.feature_stage(frame, [{"generator": "threshold_rule", "config": {
+        "columns": scores, "names": ["buy", "sell"], "parameters": {"buy_signal_threshold": 0.5, "sell_signal_threshold": 0.2}}}])
+    return signals.df.withColumn("unscored", F.col(scores[0]).isNull())
+
+
+register("stages_end_to_end", "series:s ts:b close_SMA_4:d close_SMA_12:d close_std_12:d high_80:b unscored:b", _chain,
+         FILLED_SQL + f""",
+c AS (SELECT series, ts, pos, {rolled('close', 'mean', 4, 4)} AS a, {rolled('close', 'mean', 12, 12)} AS b, {rolled('close', 'std', 12)} AS d,
+  {crossing_sql('close', 'high', 80.0, 12)} AS x, {crossing_sql('close', 'low', -40.0, 12)} AS y FROM filled)""",
+         """SELECT series, epoch(ts) AS ts, a - b AS close_SMA_4, b AS close_SMA_12, d AS close_std_12,
+  x IS NOT NULL AND (y IS NULL OR x <= y) AS high_80, a - b IS NULL OR b IS NULL OR d IS NULL AS unscored FROM c""")
