@@ -76,17 +76,17 @@ register("past_weighted", spec(["close_vwap_5", "close_vwap_24"]),
 
 # The long-window forms: a year of ticks under windows of hundreds of rows.
 LONG = [288, 672]
-long_names = [f"price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG] + [f"price_trend_{w}" for w in LONG]
+long_names = [f"price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG] + [f"level_trend_{w}" for w in LONG]
 register("long_windows", spec(long_names),
-         lambda s, d: inputs.ticks(s, d).derive(
+         lambda s, d: inputs.ticks(s, d).with_columns({"level": F.col("price") / 10000.0}).derive(
              [x for fn in ("mean", "max", "min") for x in R.past_aggregations("price", fn, LONG, rel_column="price", rel_factor=100.0)]
-             + R.linear_trends("price", LONG)).df,
+             + R.linear_trends("level", LONG)).df,
          TICKS_SQL + ",\nw AS (SELECT series, pos, price, " + ", ".join(
              [f"{rolled('price', fn, w)} AS price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG]
-             + [f"{sloped('price', w)} AS price_trend_{w}" for w in LONG]) + " FROM ticks)",
+             + [f"{sloped('level', w)} AS level_trend_{w}" for w in LONG]) + " FROM (SELECT *, price / 10000.0 AS level FROM ticks))",
          "SELECT series, pos, " + ", ".join(
              [f"100 * (price_{fn}_{w} - price) / nullif(price, 0) AS price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG]
-             + [f"price_trend_{w}" for w in LONG]) + " FROM w")
+             + [f"level_trend_{w}" for w in LONG]) + " FROM w")
 
 register("tick_windows", spec(["price_mean_20", "price_std_20", "price_max_20", "size_sum_50"]),
          lambda s, d: inputs.ticks(s, d).derive([
