@@ -85,6 +85,14 @@ class _Search:
         return np.where(found, hit if side == RIGHT else self.n - 1 - hit, NONE)
 
 
+def _directed(x: np.ndarray, top: bool, searches: dict[bool, tuple]) -> tuple[np.ndarray, _Search]:
+    """Values with tops pointing up, and their search tables, made once per direction."""
+    if top not in searches:
+        y = x if top else -x
+        searches[top] = (y, _Search(y, y))
+    return searches[top]
+
+
 def _outcome(side: int, hit: np.ndarray, guard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rejected, open) flags; a guard in the very row of the hit is left to a closer look."""
     none = np.iinfo(np.int64).max
@@ -139,10 +147,9 @@ def extremum_labels(frame: SeriesFrame, column: str, labels: list[ExtremumLabel]
     def find_open(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         head, pos = [pdf[k].iloc[0] for k in keys], pdf["pos"].to_numpy()
-        x, out = pdf["x"].to_numpy(dtype=float), []
+        x, out, searches = pdf["x"].to_numpy(dtype=float), [], {}
         for (top, level), members in groups.items():
-            y = x if top else -x
-            search = _Search(y, y)
+            y, search = _directed(x, top, searches)
             c = _candidates(search, y, level)
             is_open = (c.level[LEFT] == NONE) | (c.level[RIGHT] == NONE)
             c = _Candidates(c.at[is_open], {s: h[is_open] for s, h in c.level.items()})
@@ -182,10 +189,9 @@ def extremum_labels(frame: SeriesFrame, column: str, labels: list[ExtremumLabel]
         table = table.sort_by(pos_name)
         pos = table[pos_name].to_numpy()
         x = table[column].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
-        steps = np.zeros((len(labels), len(x) + 1), dtype=np.int64)
+        steps, searches = np.zeros((len(labels), len(x) + 1), dtype=np.int64), {}
         for (top, level), members in groups.items():
-            y = x if top else -x
-            search = _Search(y, y)
+            y, search = _directed(x, top, searches)
             c = _candidates(search, y, level)
             closed = (c.level[LEFT] != NONE) & (c.level[RIGHT] != NONE)
             c = _Candidates(c.at[closed], {s: h[closed] for s, h in c.level.items()})
@@ -295,7 +301,7 @@ def _intervals(solved: DataFrame, keys: list[str], labels: list[ExtremumLabel],
 def top_or_bottom(frame: SeriesFrame, column: str, function: str, level: float, tolerances, names: list[str]):
     """One level, several tolerances given as fractions of the level."""
     if function not in ("top", "bot"):
-        raise ValueError(f"unknown function {function!r}: only 'top' and 'bot' are possible")
+        raise ValueError(f"direction must be top or bot, not {function!r}")
     tolerances = tolerances if isinstance(tolerances, list) else [tolerances]
     if len(names) != len(tolerances):
         raise ValueError("one name is needed for each tolerance")

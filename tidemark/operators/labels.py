@@ -151,7 +151,7 @@ def first_cross_labels(frame: SeriesFrame, columns: list[str], function: str, th
     Crossing both in the same row counts as True.
     """
     if function not in ("high", "low"):
-        raise ValueError(f"unknown function {function!r}: only 'high' and 'low' are possible")
+        raise ValueError(f"direction must be high or low, not {function!r}")
     thresholds = thresholds if isinstance(thresholds, list) else [thresholds]
     if len(names) != len(thresholds):
         raise ValueError("one name is needed for each threshold")

@@ -230,7 +230,7 @@ def sweep(frame: SeriesFrame, scores: list[str], price: str, grid: dict[str, lis
     traded = transaction_profits(events, price).df
     if direction:
         if direction not in DIRECTION_SIDE:
-            raise ValueError(f"unknown direction {direction!r}: only 'long' or 'short' are possible")
+            raise ValueError(f"direction must be long, short or empty, not {direction!r}")
         traded = traded.where(F.col("side") == DIRECTION_SIDE[direction])
     totals = traded.groupBy("param_id", *frame.keys).agg(*_measures(exact=not direction))
     span = base.groupBy(*frame.keys).agg(months(F.min(frame.ts), F.max(frame.ts)).alias("months"))

@@ -224,25 +224,32 @@ def _sweep(spark, sf_dir):
     return T.sweep(inputs.scored(spark, sf_dir), ["trade_score"], "close", GRID, "long", top=4)
 
 
-# The same state machine, once per parameter pair.
-SWEEP_SQL = SCORED_SQL + """,
-params AS (SELECT row_number() OVER (ORDER BY b, s DESC) - 1 AS param_id, b, s
-  FROM (SELECT unnest([0.1, 0.2, 0.3]) AS b), (SELECT unnest([-0.05, -0.15]) AS s)),
-rows_ AS (SELECT param_id, series, pos, close, coalesce(trade_score >= b, false) AS buy, coalesce(trade_score <= s, false) AS sell,
-  row_number() OVER (PARTITION BY param_id, series ORDER BY pos) AS k FROM scored, params WHERE close IS NOT NULL AND close <> 0),
+
+
+def sweep_sql(params: str, buy: str, sell: str, side: str, ctes: str = SCORED_SQL, source: str = "scored") -> str:
+    """The same state machine, once per parameter set."""
+    change = "close - before" if side == "SELL" else "before - close"
+    return ctes + f""",
+params AS ({params}),
+rows_ AS (SELECT param_id, series, pos, close, coalesce({buy}, false) AS buy, coalesce({sell}, false) AS sell,
+  row_number() OVER (PARTITION BY param_id, series ORDER BY pos) AS k FROM {source}, params WHERE close IS NOT NULL AND close <> 0),
 walk AS (
   SELECT param_id, series, k, pos, close, buy AS long, CASE WHEN buy THEN 'BUY' END AS side FROM rows_ WHERE k = 1
   UNION ALL
   SELECT r.param_id, r.series, r.k, r.pos, r.close, CASE WHEN w.long THEN NOT r.sell ELSE r.buy END,
     CASE WHEN w.long AND r.sell THEN 'SELL' WHEN NOT w.long AND r.buy THEN 'BUY' END
   FROM walk w JOIN rows_ r ON r.series = w.series AND r.param_id = w.param_id AND r.k = w.k + 1),
-sold AS (SELECT param_id, series, close, lag(close) OVER (PARTITION BY param_id, series ORDER BY pos) AS before FROM walk WHERE side = 'SELL'),
-done AS (SELECT *, coalesce(close - before, 0) AS profit, coalesce(100 * (close - before) / before, 0) AS profit_percent FROM sold),
+taken AS (SELECT param_id, series, close, lag(close) OVER (PARTITION BY param_id, series ORDER BY pos) AS before FROM walk WHERE side = '{side}'),
+done AS (SELECT *, coalesce({change}, 0) AS profit, coalesce(100 * ({change}) / before, 0) AS profit_percent FROM taken),
 span AS (SELECT series, (epoch(max(ts)) - epoch(min(ts))) / 2628000.0 AS months FROM scored GROUP BY 1),
-totals AS (SELECT param_id, series, """ + measures_sql(False) + """ FROM done GROUP BY 1, 2),
-ranked AS (SELECT span.series, params.param_id, b, s, coalesce(transactions, 0) AS transactions, coalesce(profit, 0) AS profit,
+totals AS (SELECT param_id, series, {measures_sql(False)} FROM done GROUP BY 1, 2),
+ranked AS (SELECT span.series, params.*, coalesce(transactions, 0) AS transactions, coalesce(profit, 0) AS profit,
   round(coalesce(profit_percent, 0) / months, 2) AS profit_percent_per_month
   FROM span CROSS JOIN params LEFT JOIN totals ON totals.series = span.series AND totals.param_id = params.param_id)"""
+
+
+SWEEP_SQL = sweep_sql("""SELECT row_number() OVER (ORDER BY b, s DESC) - 1 AS param_id, b, s
+  FROM (SELECT unnest([0.1, 0.2, 0.3]) AS b), (SELECT unnest([-0.05, -0.15]) AS s)""", "trade_score >= b", "trade_score <= s", "SELL")
 register("parameter_sweep", "series:s param_id:b buy_signal_threshold:d sell_signal_threshold:d transactions:b profit:d profit_percent_per_month:d place:b",
          _sweep, SWEEP_SQL,
          """SELECT series, param_id, b AS buy_signal_threshold, s AS sell_signal_threshold, transactions, profit, profit_percent_per_month,
@@ -257,7 +264,12 @@ def _sweep_two(spark, sf_dir):
     return T.sweep(frame, ["trade_score", "slow_score"], "close", grid, "short", buy_sell_equal=True, top=None)
 
 
-register("parameter_sweep_two_scores", "series:s param_id:b buy_signal_threshold:d sell_signal_threshold_2:d transactions:b profit:d", _sweep_two)
+register("parameter_sweep_two_scores", "series:s param_id:b buy_signal_threshold:d sell_signal_threshold_2:d transactions:b profit:d", _sweep_two,
+         sweep_sql("""SELECT row_number() OVER (ORDER BY b, c) - 1 AS param_id, b, c
+  FROM (SELECT unnest([0.1, 0.2]) AS b), (SELECT unnest([0.0, 0.1]) AS c)""", "trade_score >= b AND slow_score >= c",
+                   "trade_score <= -b AND slow_score <= -c", "BUY",
+                   SCORED_SQL + f", two AS (SELECT *, {rolled('trade_score', 'mean', 4)} AS slow_score FROM scored)", "two"),
+         "SELECT series, param_id, b AS buy_signal_threshold, -c AS sell_signal_threshold_2, transactions, profit FROM ranked")
 
 
 # -- depth -----------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators import bundles, extremum, labels
 from tidemark.operators import rolling as R
@@ -166,7 +167,7 @@ register("constant_change", spec(["x_plus", "x_close_mul"]),
          EVENT_SQL, "SELECT series, pos, close + 2.5 AS x_plus, close * 3 AS x_close_mul FROM bars")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _spread(values: pd.Series) -> float:
     return float(values.max() - values.min()) if values.notna().any() else float("nan")
 
@@ -465,20 +466,26 @@ register("first_cross_labels", KEY + "high_60:b high_90:b low_60:b low_90:b", _h
          "SELECT series, pos, " + ", ".join(f"({n}_1 IS NOT NULL AND ({n}_2 IS NULL OR {n}_1 <= {n}_2)) AS {n}" for n in ("high_60", "high_90", "low_60", "low_90")) + " FROM c")
 
 
-def extremum_sql(specs: list[extremum.ExtremumLabel]) -> tuple[str, str]:
-    ctes, flags = [FILLED_SQL], []
-    for i, s in enumerate(specs):
-        y = "close" if s.top else "-close"
-        near = "(SELECT {agg}(b.pos) FROM y{i} b WHERE b.series = a.series AND b.pos {op} a.pos AND b.y < a.y - {share} * abs(a.y))"
-        edge = {f"{n}{side}": near.format(i=i, agg=agg, op=op, share=share) for side, agg, op in (("l", "max", "<"), ("r", "min", ">"))
-                for n, share in (("", s.level), ("t", s.tolerance))}
-        guard = "NOT EXISTS (SELECT 1 FROM y{i} b WHERE b.series = e.series AND b.pos > {lo} AND b.pos < {hi} AND b.y {op} e.y)"
-        ctes.append(f"""y{i} AS (SELECT series, pos, {y} AS y FROM filled WHERE close IS NOT NULL),
-e{i} AS (SELECT series, pos, y, {', '.join(f'{q} AS {n}' for n, q in edge.items())} FROM y{i} a),
-x{i} AS (SELECT series, greatest(l, tl) AS a, least(r, tr) AS b FROM e{i} e WHERE l IS NOT NULL AND r IS NOT NULL
-  AND {guard.format(i=i, lo='e.l', hi='e.pos', op='>=')} AND {guard.format(i=i, lo='e.pos', hi='e.r', op='>')})""")
-        flags.append(f"EXISTS (SELECT 1 FROM x{i} x WHERE x.series = f.series AND f.pos > x.a AND f.pos < x.b) AS {s.name}")
-    return ",\n".join(ctes), "SELECT f.series, f.pos, " + ", ".join(flags) + " FROM filled f"
+def extremum_sql(specs: list[extremum.ExtremumLabel], ctes: str = FILLED_SQL, source: str = "filled", column: str = "close") -> tuple[str, str]:
+    """Nearest rows below the level by subqueries, nothing as high in between, then runs inside the tolerance."""
+    parts = [ctes]
+    for n, (top, level) in enumerate(dict.fromkeys((s.top, s.level) for s in specs)):
+        near = "(SELECT {agg}(b.pos) FROM y{n} b WHERE b.series = a.series AND b.pos {op} a.pos AND b.y < a.y - {share} * abs(a.y))"
+        guard = "NOT EXISTS (SELECT 1 FROM y{n} b WHERE b.series = e.series AND b.pos > {lo} AND b.pos < {hi} AND b.y {op} e.y)"
+        parts.append(f"""y{n} AS MATERIALIZED (SELECT series, pos, {'' if top else '-'}{column} AS y FROM {source} WHERE {column} IS NOT NULL),
+e{n} AS MATERIALIZED (SELECT series, pos, y, {near.format(n=n, agg='max', op='<', share=level)} AS l, {near.format(n=n, agg='min', op='>', share=level)} AS r FROM y{n} a),
+x{n} AS MATERIALIZED (SELECT series, pos, y, l, r FROM e{n} e WHERE l IS NOT NULL AND r IS NOT NULL
+  AND {guard.format(n=n, lo='e.l', hi='e.pos', op='>=')} AND {guard.format(n=n, lo='e.pos', hi='e.r', op='>')})""")
+        for i, s in enumerate(specs):
+            if (s.top, s.level) == (top, level):
+                inner = "(SELECT {agg}(b.pos) FROM y{n} b WHERE b.series = x.series AND b.pos {op} x.pos AND b.y < x.y - {share} * abs(x.y))"
+                left, right = inner.format(n=n, agg="max", op="<", share=s.tolerance), inner.format(n=n, agg="min", op=">", share=s.tolerance)
+                parts.append(f"z{i} AS MATERIALIZED (SELECT series, greatest(l, {left}) AS a, least(r, {right}) AS b FROM x{n} x)")
+    marks = " UNION ALL ".join(f"SELECT series, a, b, {i} AS i FROM z{i}" for i in range(len(specs)))
+    parts.append(f"""marks AS (SELECT f.series, f.pos, list(DISTINCT i) AS hit FROM {source} f JOIN ({marks}) z
+  ON z.series = f.series AND f.pos > z.a AND f.pos < z.b GROUP BY 1, 2)""")
+    flags = ", ".join(f"coalesce(list_contains(hit, {i}), false) AS {s.name}" for i, s in enumerate(specs))
+    return ",\n".join(parts), f"SELECT f.series, f.pos, {flags} FROM {source} f LEFT JOIN marks m ON m.series = f.series AND m.pos = f.pos"
 
 
 EXTREMES = [extremum.ExtremumLabel("top_a", True, 0.5, 0.1), extremum.ExtremumLabel("top_b", True, 0.5, 0.25),
@@ -491,9 +498,13 @@ def _extremes(spark, sf_dir):
 
 register("extremum_labels", KEY + "top_a:b top_b:b bot_a:b", _extremes, *extremum_sql(EXTREMES))
 
-preset = [f"{d}{k}_{t}" for t in extremum.PRESET_TOLERANCES for d in ("top", "bot") for k in range(1, 6)]
-register("extremum_preset", KEY + " ".join(f"{n}:b" for n in preset),
-         lambda s, d: extremum.tops_and_bottoms(inputs.filled(s, d))[0].df)
+PRESET = [extremum.ExtremumLabel(f"{'top' if top else 'bot'}{k}_{text}", top, level, tolerance)
+          for text, tolerance in extremum.PRESET_TOLERANCES.items() for top in (True, False)
+          for k, level in enumerate(extremum.PRESET_LEVELS, 1)]
+register("extremum_preset", KEY + " ".join(f"{p.name}:b" for p in PRESET),
+         lambda s, d: extremum.tops_and_bottoms(inputs.filled(s, d))[0].df, *extremum_sql(PRESET))
+
+TICK_EXTREMES = [extremum.ExtremumLabel("top", True, 0.9, 0.5), extremum.ExtremumLabel("bot", False, 9.0, 4.0)]
 register("extremum_ticks", KEY + "top:b bot:b",
-         lambda s, d: extremum.extremum_labels(inputs.ticks(s, d), "price", [
-             extremum.ExtremumLabel("top", True, 0.9, 0.5), extremum.ExtremumLabel("bot", False, 9.0, 4.0)])[0].df)
+         lambda s, d: extremum.extremum_labels(inputs.ticks(s, d), "price", TICK_EXTREMES)[0].df,
+         *extremum_sql(TICK_EXTREMES, TICKS_SQL, "ticks", "price"))

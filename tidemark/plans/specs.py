@@ -124,7 +124,7 @@ def _threshold_rule_two(frame: SeriesFrame, config: dict):
 def _constant(frame: SeriesFrame, config: dict):
     column, fn, value = config["columns"], config["function"], config["parameter"]
     if fn not in ("add", "mul"):
-        raise ValueError(f"unknown function {fn!r}: only 'add' or 'mul' are possible")
+        raise ValueError(f"a constant can be used with add or mul, not {fn!r}")
     name = config.get("names") or f"{column}_{fn}"
     return frame.with_columns({name: F.col(column) + value if fn == "add" else F.col(column) * value}), [name]
 

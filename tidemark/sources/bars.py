@@ -35,7 +35,7 @@ TRANSACTION = T.StructType([
 def table_format(path: str) -> str:
     ext = os.path.splitext(path.rstrip("/"))[1]
     if ext not in (".csv", ".parquet"):
-        raise ValueError(f"unknown extension {ext!r}: only .csv and .parquet tables are supported")
+        raise ValueError(f"a table must end in .csv or .parquet, not {ext!r}")
     return ext[1:]
 
 
