@@ -162,19 +162,31 @@ class SeriesFrame:
 
     # -- unbounded frames ----------------------------------------------------------------
 
-    def _carry(self, rows: DataFrame, summary: list[Column], scan: Callable[[DataFrame, Span, Span], DataFrame]) -> DataFrame:
+    def _carry(self, rows: DataFrame, summary: list[Column], scan: Callable[[DataFrame, Span, Span], DataFrame],
+               inner: str | None = None) -> DataFrame:
         """Join each bucket with what its predecessors (or successors) hand over.
 
         ``summary`` are aggregates giving one row per bucket; ``scan`` turns these into
         carried columns, with one span over the buckets of a group and one over groups.
+        ``inner`` names a key with few values (a parameter grid) by which the placed rows
+        were multiplied: its states travel as one map per bucket, so that the join needs
+        the placement of the rows only and they stay where they are.
         """
         keys = list(self.keys)
         sums = rows.groupBy(*keys, BUCKET).agg(*summary)
         sums = sums.withColumn("__group", floor_div(F.col(BUCKET), GROUP_BUCKETS))
         within = Span(self.keys + ("__group",), BUCKET)
         across = Span(self.keys, "__group")
-        carried = scan(sums, within, across)
-        return rows.join(carried.drop("__group"), keys + [BUCKET], "left")
+        carried = scan(sums, within, across).drop("__group")
+        if inner is None:
+            return rows.join(carried, keys + [BUCKET], "left")
+        outer = [k for k in keys if k != inner] + [BUCKET]
+        states = [c for c in carried.columns if c not in (*keys, BUCKET)]
+        packed = carried.groupBy(*outer).agg(
+            F.map_from_entries(F.collect_list(F.struct(F.col(inner), F.struct(*states)))).alias("__states"))
+        joined = rows.join(packed, outer, "left")
+        mine = F.try_element_at("__states", F.col(inner))
+        return joined.withColumns({c: mine[c] for c in states}).drop("__states")
 
     def running(self, sums: dict[str, Column]) -> SeriesFrame:
         """Running totals from the start of the series, current row included."""

@@ -30,8 +30,8 @@ def freq_us(freq: str) -> int:
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since the epoch of a TIMESTAMP column."""
-    return F.unix_micros(ts)
+    """Microseconds since the epoch; a TIMESTAMP_NTZ column is read in the session time zone."""
+    return F.unix_micros(ts.cast("timestamp"))
 
 
 def _whole(us: Column, freq: str) -> Column:

@@ -7,7 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.frame import BUCKET, SeriesFrame, Span, floor_div, number_rows
+from tidemark.frame import BUCKET, SeriesFrame, Span, number_rows
+from tidemark.functions.intervals import micros
 from tidemark.functions.numeric import null_safe_false, ratio, round_down_text, round_text, truncate_decimal
 from tidemark.operators.scores import threshold_rule, threshold_rule_two
 
@@ -15,7 +16,7 @@ from tidemark.operators.scores import threshold_rule, threshold_rule_two
 MONTH_SECONDS = 2628000
 
 
-def alternating_transactions(frame: SeriesFrame, buy: str, sell: str, price: str) -> SeriesFrame:
+def alternating_transactions(frame: SeriesFrame, buy: str, sell: str, price: str, grid_key: str | None = None) -> SeriesFrame:
     """Take the next buy, then the next sell, and so on; one event per row at most.
 
     Every signal row maps the state (long or flat) to a state: a buy sets it, a sell clears
@@ -23,10 +24,12 @@ def alternating_transactions(frame: SeriesFrame, buy: str, sell: str, price: str
     'ends flat', 'flips' or 'keeps', and the composition is carried over the buckets.
     Rows without a price (NULL or 0) are skipped, rows without a signal change nothing.
     The result has the event rows only, with ``side``; positions are not dense any more.
+    ``grid_key`` is the key of a parameter grid, if there is one.
     """
     b, s = null_safe_false(F.col(buy)), null_safe_false(F.col(sell))
     rows = frame.df.where((b | s) & F.col(price).isNotNull() & (F.col(price) != 0))
-    rows = rows.withColumn(BUCKET, frame.home())
+    if BUCKET not in rows.columns:
+        rows = rows.withColumn(BUCKET, frame.home())
 
     def compose(df: DataFrame, span: Span, sets: Column, flips: Column, prefix: str) -> DataFrame:
         """State map from the start of the span up to each row: (known, value) and flip."""
@@ -58,7 +61,7 @@ def alternating_transactions(frame: SeriesFrame, buy: str, sell: str, price: str
         return both.select(*keys, BUCKET, "__group", F.coalesce(
             F.lag(after, 1).over(within.ordered), F.col("__entry")).alias("__before"))
 
-    joined = frame._carry(rows, [F.max_by(end, F.col(frame.pos)).alias("__end")], scan)
+    joined = frame._carry(rows, [F.max_by(end, F.col(frame.pos)).alias("__end")], scan, grid_key)
     state = F.coalesce(F.col("__rknown"), F.col("__rflip") != F.col("__before"))
     joined = joined.withColumn("__state", state)
     before = F.coalesce(F.lag("__state", 1).over(span.ordered), F.col("__before"))
@@ -138,7 +141,7 @@ def performance(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def months(first: Column, last: Column) -> Column:
     """Length of a time span in months."""
-    return (F.unix_micros(last) - F.unix_micros(first)) / (MONTH_SECONDS * 1e6)
+    return (micros(last) - micros(first)) / (MONTH_SECONDS * 1e6)
 
 
 def monthly_rates(totals: DataFrame, span: DataFrame, keys: list[str]) -> DataFrame:
@@ -168,7 +171,7 @@ def recent_statistics(transactions: SeriesFrame, now: Column, weeks: int = 4, pr
     prev = F.col("prev_close")
     percent = F.when(prev == 0, F.lit(0.0)).otherwise(ratio(F.col("profit") * 100.0, prev))
     recent = frame.df.where(
-        (F.unix_micros(F.col(frame.ts)) >= F.unix_micros(now) - weeks * 7 * 86400 * 1_000_000) & prev.isNotNull())
+        (micros(F.col(frame.ts)) >= micros(now) - weeks * 7 * 86400 * 1_000_000) & prev.isNotNull())
     recent = recent.withColumn("profit_percent", percent)
     keys = [*frame.keys, "side"]
     stats = recent.groupBy(*keys).agg(
@@ -215,7 +218,7 @@ def sweep(frame: SeriesFrame, scores: list[str], price: str, grid: dict[str, lis
     """
     params = grid_table(frame, grid, buy_sell_equal)
     base = frame.df.select(*frame.keys, frame.ts, frame.pos, price, *scores)
-    placed = base.withColumn("__home", floor_div(F.col(frame.pos), frame.bucket_rows)).repartition(*frame.keys, "__home").drop("__home")
+    placed = base.withColumn(BUCKET, frame.home()).repartition(*frame.keys, BUCKET)
     grown = placed.crossJoin(F.broadcast(params))
     if len(scores) == 1:
         buy, sell = threshold_rule(scores[0], F.col("buy_signal_threshold"), F.col("sell_signal_threshold"))
@@ -225,7 +228,7 @@ def sweep(frame: SeriesFrame, scores: list[str], price: str, grid: dict[str, lis
             (F.col("sell_signal_threshold"), F.col("sell_signal_threshold_2")))
     signals = SeriesFrame(grown.withColumns({"buy": buy, "sell": sell}), ("param_id", *frame.keys), frame.ts, frame.pos,
                           frame.step_us, frame.bucket_rows)
-    events = alternating_transactions(signals, "buy", "sell", price)
+    events = alternating_transactions(signals, "buy", "sell", price, "param_id")
     events = events.with_df(events.df.select("param_id", *frame.keys, frame.ts, frame.pos, price, "side")).settle()
     traded = transaction_profits(events, price).df
     if direction:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.frame import SeriesFrame
+from tidemark.functions.intervals import micros
 from tidemark.functions.numeric import clean
 from tidemark.operators import models as ML
 from tidemark.operators.metrics import score_columns_metrics
@@ -54,7 +55,7 @@ def time_or_offset(frame: SeriesFrame, start=None, end=None) -> SeriesFrame:
 def locate_row(frame: SeriesFrame, instant: str | Column) -> DataFrame:
     """Row number (from 0) of an instant in every series; an error when no series has it."""
     at = F.lit(instant).cast("timestamp") if isinstance(instant, str) else instant
-    rows = frame.attach(frame.bounds()).where(F.unix_micros(frame.ts) == F.unix_micros(at))
+    rows = frame.attach(frame.bounds()).where(micros(F.col(frame.ts)) == micros(at))
     found = rows.select(*frame.keys, (F.col(frame.pos) - F.col("first_pos")).alias("row_no"))
     if found.isEmpty():
         raise ValueError(f"no row at {instant!r}")
