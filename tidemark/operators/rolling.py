@@ -148,8 +148,10 @@ def rolling(column: str, fn: str, w: int, name: str, future: bool = False, stric
 
     def columns(span: Span) -> dict[str, Column]:
         frame = span.next(w) if future else span.past(w)
-        value = AGGREGATES[fn](F.col(column)).over(frame)
-        return finish(value, F.count(column).over(frame), span)
+        n = F.count(column).over(frame)
+        # the mean shares the count that the mask needs anyway
+        value = ratio(F.sum(column).over(frame), n) if fn == "mean" else AGGREGATES[fn](F.col(column)).over(frame)
+        return finish(value, n, span)
 
     return Step([name], [columns], 0 if future else w - 1, w if future else 0)
 
