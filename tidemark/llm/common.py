@@ -183,3 +183,23 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         inverse = np.array([pow(int(s), -1, 1 << 64) for s in first_of], np.uint64)
         hashed = hashed * inverse[start // block]
     return start, end, row, mix64(hashed ^ (end - start).astype(np.uint64))
+
+
+def row_runs(batch, at: int, most: int = 8 << 20):
+    """Runs of rows of an Arrow batch with about ``most`` bytes in column ``at``; a longer row is a run alone."""
+    import pyarrow.compute as pc
+
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + most, "right")))
+        yield batch.slice(a, b - a)
+        a = b
+
+
+def chain(values: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the runs [first, end) of ``values``; equal runs have equal hashes wherever they lie."""
+    up, down = _power_tables(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
+    return mix64((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, topk, vectors
+from tidemark.llm import language, mixing, packing, substring, topk, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def tokenizer_files() -> tuple[str, str]:
+    """The byte-level vocabulary, and the same as ranks; where they are is a parameter of ``packing.pack``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), *tokenizer_files())
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -27,7 +51,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op9_exact_top_k, op10_embedding_near_dedup)
+    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_language_id, op7_warc_round_trip, op8_pack_sequences, op9_exact_top_k, op10_embedding_near_dedup)
 }
 
 _COUNT = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -54,6 +78,23 @@ line AS (SELECT doc_id, d.source, size, n, target, floor(target + 1e-6) AS words
 SELECT doc_id, size, n::BIGINT AS source_size, target::DOUBLE AS target,
   (greatest(0, least(size, words - a)) + greatest(0, least(size, words - a - n)) + greatest(0, least(size, words - a - 2 * n)))::BIGINT AS taken
 FROM line""",
+    "op2_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+k AS MATERIALIZED (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS k FROM p),
+m AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT doc_id, i + j AS i FROM (SELECT doc_id, i, unnest(range(0, 13)) AS j FROM k JOIN m USING (k) WHERE least < doc_id)),
+u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+k2 AS (SELECT u.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY u.i) AS kept FROM u ANTI JOIN gone g ON u.doc_id = g.doc_id AND u.i = g.i GROUP BY u.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k2 ON d.doc_id = k2.doc_id""",
+    "op7_warc_round_trip": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+o AS (SELECT html, max(page_id) AS owner FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY html)
+SELECT page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+  CASE WHEN o.owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN o.owner <> page_id THEN o.owner END AS refers_to
+FROM p LEFT JOIN o ON p.html = o.html""",
     "op9_exact_top_k": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
