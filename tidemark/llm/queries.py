@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language, mixing, packing, substring, topk, vectors, warc
+from tidemark.llm import html, language, lines, minhash, mixing, packing, substring, topk, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,19 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_decisions(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("did").alias("doc_id"), "line", "kept")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "text")
+
+
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -51,7 +64,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_language_id, op7_warc_round_trip, op8_pack_sequences, op9_exact_top_k, op10_embedding_near_dedup)
+    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_language_id, op4_line_dedup, op5_html_text, op6_minhash_near_dedup, op7_warc_round_trip, op8_pack_sequences, op9_exact_top_k, op10_embedding_near_dedup)
 }
 
 _COUNT = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -88,6 +101,29 @@ u AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
 k2 AS (SELECT u.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY u.i) AS kept FROM u ANTI JOIN gone g ON u.doc_id = g.doc_id AND u.i = g.i GROUP BY u.doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k2 ON d.doc_id = k2.doc_id""",
+    # A variant is the text of the line with a mark where the word is missing.
+    "op4_line_dedup": r"""
+WITH o AS (SELECT doc_id, i - 1 AS line, array_to_string(regexp_extract_all(x, '[^\x20\x09-\x0D]+'), ' ') AS t
+  FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+l AS MATERIALIZED (SELECT * FROM o WHERE t <> ''),
+f AS MATERIALIZED (SELECT t, min((doc_id, line)) AS place, string_split(t, ' ') AS w FROM l GROUP BY t),
+j AS (SELECT t, place, w, unnest(range(1, len(w) + 2)) AS j FROM f WHERE len(w) >= 5),
+p AS (SELECT place, hash(array_to_string(list_slice(w, 1, j - 1), ' '), array_to_string(list_slice(w, j + d, len(w)), ' '), j - 1, len(w) - j - d + 1) AS k
+  FROM j, (SELECT 0 AS d UNION ALL SELECT 1) WHERE j + d <= len(w) + 1),
+n AS (SELECT DISTINCT p.place FROM p JOIN (SELECT k, min(place) AS leader FROM p GROUP BY k) m ON p.k = m.k AND m.leader < p.place)
+SELECT l.doc_id, l.line::BIGINT AS line, (doc_id, line) = f.place AND n.place IS NULL AS kept
+FROM l JOIN f ON l.t = f.t LEFT JOIN n ON f.place = n.place""",
+    "op6_minhash_near_dedup": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.c, d.doc_id)) AS component_id,
+  d.doc_id = least(d.doc_id, coalesce(c.c, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = d.doc_id""",
     "op7_warc_round_trip": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 o AS (SELECT html, max(page_id) AS owner FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY html)
