@@ -166,7 +166,7 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     end = np.flatnonzero(solid & ~after) + 1
     row = np.searchsorted(off, start, "right") - 1
     total = np.zeros(n + 1, np.uint64)
-    block = 1 << 22  # bounded memory for the powers
+    block = 1 << 19  # bounded memory for the powers
     up, down = _power_tables(min(n, block) + 1)
     carry = np.uint64(0)
     scale = np.uint64(1)

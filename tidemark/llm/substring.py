@@ -2,8 +2,8 @@
 
 A window is ``window`` consecutive words.  The minimiser of a window is the smallest hash of its runs
 of ``gram`` words; consecutive windows that share it travel as one packed string to the bucket of
-the minimiser, so equal windows meet, and the text goes out about three times instead of once per
-window.  A bucket sorts its windows, finds the smallest document of each, and replies to the groups
+the minimiser, so equal windows meet.  Before that, four bytes of each minimiser travel alone: equal
+windows have equal minimisers, so a string whose minimiser is in no other document stays at home.  A bucket sorts its windows, finds the smallest document of each, and replies to the groups
 of documents whose strings hold a window of an earlier document.
 
 Rules
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import chain, mix64, row_runs, text_buffer, words_of
 
 WINDOW = 13
-GRAM = 4
+GRAM = 3
 GROUP_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 #: A run of words is frequent if more than one document in so many has it; there are at most this
@@ -113,6 +113,12 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
+def _short(minimiser: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32 further bits of each minimiser."""
+    h = mix64(minimiser + np.uint64(1))
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), h.astype(np.uint32)
+
+
 def _ids(table: pa.Table) -> np.ndarray:
     return table.column("__id").fill_null(int(_LAST)).to_numpy()
 
@@ -141,21 +147,47 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
     size, rows = documents.agg(F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0)), F.count("*")).first()
     frequent = frequent_runs(documents, text, gram, max(64, rows // FREQUENT))
     n_groups, n_buckets = 1 + size // group_bytes, 1 + 3 * size // bucket_bytes
-    base = documents.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).cast("string").alias("__text"), F.struct("*").alias("__row"))
-    base = base.withColumn("__group", F.pmod(F.xxhash64("__id", F.length("__text")), F.lit(n_groups)).cast("long"))
-    schema = documents.schema
+    n_minimiser_buckets, columns = 1 + n_buckets // 8, documents.columns
+    base = documents.withColumn("__id", F.col(doc_id).cast("long"))
+    base = base.withColumn("__group", F.pmod(F.xxhash64("__id", F.length(text)), F.lit(n_groups)).cast("long"))
 
     def parse(table: pa.Table):
-        data, off = text_buffer(table.column("__text"))
+        data, off = text_buffer(table.column(text))
         start, end, row, words = words_of(data, off)
         first, stop, least = strings_of(words, row, frequent, window, gram)
         key = chain(words, first, stop + window - 1) if len(first) else np.zeros(0, np.uint64)
         return data, off, start, end, row, first, stop, least, key
 
-    def send(key: tuple, table: pa.Table) -> pa.Table:
+    def name_minimisers(key: tuple, table: pa.Table) -> pa.Table:
+        least = np.unique(parse(table)[7])
+        bucket, short = _short(least, n_minimiser_buckets)
+        order = np.lexsort((short, bucket))
+        bucket, short = bucket[order], short[order]
+        cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else bucket
+        blobs = [x.tobytes() for x in np.split(short, cuts[1:])] if len(bucket) else []
+        return pa.table({"bucket": pa.array(bucket[cuts], pa.int64()), "group": pa.array([key[0].as_py()] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    def shared_minimisers(key: tuple, table: pa.Table) -> pa.Table:
+        got = [np.frombuffer(b, np.uint32) for b in table.column("blob").to_pylist()]
+        found, n = np.unique(np.concatenate(got), return_counts=True)
+        found = found[n > 1]
+        blobs = [_pack(g[np.isin(g, found)]) for g in got]
+        return pa.table({"group": table.column("group"), "bucket": pa.array([key[0].as_py()] * len(blobs), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+
+    def send(key: tuple, table: pa.Table, shared: pa.Table) -> pa.Table:
         group = key[0].as_py()
         data, _, start, end, row, first, stop, least, name = parse(table)
         out_bucket, out_blob = [], []
+        if len(first):
+            # minimisers that another group has, or another document of this one
+            buckets, blobs = shared.column("bucket").to_numpy(), shared.column("blob").to_pylist()
+            parts = [(np.uint64(b) << np.uint64(32)) | _unpack(x, np.uint32)[0].astype(np.uint64) for b, x in zip(buckets.tolist(), blobs)]
+            bucket, short = _short(least, n_minimiser_buckets)
+            goes = np.isin((bucket.astype(np.uint64) << np.uint64(32)) | short, np.concatenate(parts)) if parts else np.zeros(len(least), bool)
+            order = np.lexsort((row[first], least))
+            twice = (least[order][1:] == least[order][:-1]) & (row[first][order][1:] != row[first][order][:-1])
+            goes |= np.isin(least, least[order][1:][twice])
+            first, stop, least, name = first[goes], stop[goes], least[goes], name[goes]
         if len(first):
             ids = _ids(table)[row[first]]
             bucket = (mix64(least) % np.uint64(n_buckets)).astype(np.int64)
@@ -230,11 +262,12 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM,
         for i in range(len(ids)):
             parts = raw[off[i] : off[i + 1]].split()
             texts.append(b" ".join(parts if n_kept[i] == n_words[i] else compress(parts, stays[edge[i] : edge[i + 1]])).decode())
-        rows = table.column("__row")
-        rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
-        return pa.Table.from_arrays([*rows.flatten(), pa.array(n_words), pa.array(n_words - n_kept), pa.array(texts, pa.string())], names=[*rows.type.names, "n_words", "n_removed", "kept_text"])
+        own = [table.column(c) for c in columns]
+        return pa.Table.from_arrays([*own, pa.array(n_words), pa.array(n_words - n_kept), pa.array(texts, pa.string())], names=[*columns, "n_words", "n_removed", "kept_text"])
 
-    strings = base.groupBy("__group").applyInArrow(send, "bucket long, group long, blob binary")
+    named = base.groupBy("__group").applyInArrow(name_minimisers, "bucket long, group long, blob binary")
+    shared = named.groupBy("bucket").applyInArrow(shared_minimisers, "group long, bucket long, blob binary").withColumnRenamed("group", "__group")
+    strings = base.groupBy("__group").cogroup(shared.groupBy("__group")).applyInArrow(send, "bucket long, group long, blob binary")
     replies = strings.groupBy("bucket").applyInArrow(count, "group long, blob binary").withColumnRenamed("group", "__group")
     out = documents.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_text")).schema
     return base.groupBy("__group").cogroup(replies.groupBy("__group")).applyInArrow(clean, out)
