@@ -17,8 +17,9 @@ Rules
       stay responses.  Equal payloads without any id stay responses.
     * An empty table gives no archives and no rows.
 
-Scale: digests are compared in an aggregate of one narrow row per page; pages are shuffled at most
-once, when they are joined with what it found (Spark splits a payload that very many pages share).
+Scale: digests are compared in an aggregate of one narrow row per page; pages are shuffled only
+if the payloads that repeat are too many to be sent to every executor (Spark then splits a payload
+that very many pages share).
 A file holds one task's rows, ``file_records`` at most, and is the unit that a task reads back.
 """
 
@@ -34,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path
+from tidemark.llm.common import keep, new_path
 
 LEAST_BYTES = 1000
 FILE_RECORDS = 20_000
 LEVEL = 6
+#: Repeated payloads (a row of about 100 bytes each) that are sent to every executor.
+SENT_ROWS = 200_000
 CHUNK = 1 << 20
 #: Output batches are cut at so many bytes.
 BATCH_BYTES = 8 << 20
@@ -52,7 +55,9 @@ def classify(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html"), F.octet_length(payload).cast("long").alias("bytes"), F.sha1(payload).alias("digest"))
     shared = rows.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(shared, ["digest", "bytes"], "left")
+    shared = keep(shared, "shared")
+    # pages stay where they are while the payloads that repeat are few; else both sides are shuffled
+    joined = rows.join(F.broadcast(shared) if shared.count() <= SENT_ROWS else shared, ["digest", "bytes"], "left")
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("owner")), F.col("owner"))).drop("owner")
 
 
@@ -219,51 +224,78 @@ def normalise(spark: SparkSession, path: str, to: str, index: str) -> None:
     _files(spark, to).mapInArrow(entries, schema).write.parquet(index)
 
 
+def _fields(path: str, offset: int, length: int, record: bytes) -> tuple:
+    fields, size, payload = parse(record)
+    digest = fields["warc-payload-digest"].removeprefix("sha1:")
+    if fields["warc-type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or size != len(payload)):
+        raise ValueError(f"digest of {fields.get('warc-record-id')} differs")
+    return path, offset, length, _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), size, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), payload
+
+
+def _in_batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[-1])
+        if size >= BATCH_BYTES:
+            yield _batch(out)
+            out, size = [], 0
+    yield _batch(out)
+
+
 def fetch(archives: DataFrame, index: DataFrame) -> DataFrame:
-    """The records of ``index`` (path, offset, length) from ``archives`` (path, content).
+    """The records of ``index`` (path, offset, length) from ``archives`` (path, content), each by its offset.
 
-    page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.  The digest of a
-    response is computed from its payload and must equal the one in its header.
+    path, offset, length, page_id, url, payload_bytes, payload_digest, record_type, refers_to,
+    payload.  The digest of a response is computed from its payload and must equal its header's.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _each(batches):
-            out, size = [], 0
-            for at in row["places"]:
-                record = b"".join(inflate(row["content"][at["offset"] : at["offset"] + at["length"]]))
-                fields, length, payload = parse(record)
-                digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                if fields["warc-type"] == "response" and (hashlib.sha1(payload).hexdigest() != digest or length != len(payload)):
-                    raise ValueError(f"digest of {fields.get('warc-record-id')} differs")
-                out.append((_page(fields.get("warc-record-id")), fields.get("warc-target-uri"), length, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), payload))
-                size += len(payload)
-                if size >= BATCH_BYTES:
-                    yield _batch(out)
-                    out, size = [], 0
-            yield _batch(out)
+            at = ((p["offset"], p["length"]) for p in row["places"])
+            yield from _in_batches(_fields(row["path"], o, n, b"".join(inflate(row["content"][o : o + n]))) for o, n in at)
 
     places = index.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
-    return archives.join(places, "path").select("content", "places").mapInArrow(read, ", ".join(f"{n} {s}" for n, s, _ in _FETCHED))
+    return archives.join(places, "path").select("path", "content", "places").mapInArrow(read, _SCHEMA)
+
+
+def read_all(archives: DataFrame) -> DataFrame:
+    """All records of ``archives`` (path, content), member by member, as ``fetch`` gives them."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            yield from _in_batches(_fields(row["path"], o, n, r) for o, n, r in members_in(row["content"]))
+
+    return archives.mapInArrow(read, _SCHEMA)
 
 
 _FETCHED = (
-    ("page_id", "long", pa.int64()), ("url", "string", pa.string()), ("payload_bytes", "long", pa.int64()), ("payload_digest", "string", pa.string()),
+    ("path", "string", pa.string()), ("offset", "long", pa.int64()), ("length", "long", pa.int64()), ("page_id", "long", pa.int64()), ("url", "string", pa.string()), ("payload_bytes", "long", pa.int64()), ("payload_digest", "string", pa.string()),
     ("record_type", "string", pa.string()), ("refers_to", "long", pa.int64()), ("payload", "binary", pa.binary()),
 )
 
 
+_SCHEMA = ", ".join(f"{n} {s}" for n, s, _ in _FETCHED)
+
+
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, _, t) in enumerate(_FETCHED)], names=[n for n, _, _ in _FETCHED])
 
 
 def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES, file_records: int = FILE_RECORDS) -> DataFrame:
-    """Archives of ``pages`` written, normalised and read back by their index; the monolithic files are replaced."""
+    """Archives of ``pages`` written, normalised and read back; the monolithic files are replaced.
+
+    Every record is read where the index has it, so files are read in place and only the fields of
+    the records meet the index; the payload itself is left out.
+    """
     spark = pages.sparkSession
     whole, split, index = (new_path(spark, n) for n in ("warc-whole", "warc", "warc-index"))
     write_archives(pages, whole, least_bytes, file_records)
     normalise(spark, whole, split, index)
     _delete(spark, whole)
-    return fetch(_files(spark, split), spark.read.schema("path string, offset long, length long, record_id string, record_type string").parquet(index))
+    entries = spark.read.schema("path string, offset long, length long, record_id string, record_type string").parquet(index)
+    found = keep(read_all(_files(spark, split)).drop("payload"), "warc-records")
+    return found.join(entries.select("path", "offset", "length"), ["path", "offset", "length"])
 
 
 def _delete(spark: SparkSession, path: str) -> None:
