@@ -19,14 +19,11 @@ def walk(make_frame):
     return make_frame({"a": {"x": x, "v": v}, "b": {"x": random_walk(40, 3), "v": random_walk(40, 4)}}), x, v
 
 
-@pytest.mark.parametrize("fast", [False, True])
 @pytest.mark.parametrize("fn", ["mean", "max", "min", "sum", "std"])
 @pytest.mark.parametrize("future", [False, True])
-def test_aggregates(walk, column_of, monkeypatch, fast, fn, future):
-    if fast:
-        monkeypatch.setattr(R, "FAST_WINDOW", 2)
+def test_aggregates(walk, column_of, fn, future):
     frame, x, _ = walk
-    windows = [2, 5, 24]
+    windows = [1, 2, 5, 16, 24]
     steps = (R.future_aggregations if future else R.past_aggregations)("x", fn, windows)
     out = frame.derive(steps)
     for w in windows:
@@ -57,10 +54,7 @@ def _slope(values):
     return np.polyfit(np.arange(len(values))[ok], values[ok], 1)[0]
 
 
-@pytest.mark.parametrize("fast", [False, True])
-def test_slope(walk, column_of, monkeypatch, fast):
-    if fast:
-        monkeypatch.setattr(R, "FAST_WINDOW", 2)
+def test_slope(walk, column_of):
     frame, x, _ = walk
     out = frame.derive(R.linear_trends("x", [4, 30]))
     for w in (4, 30):
@@ -234,3 +228,26 @@ def test_exponential_mean(make_frame, column_of, nulls):
     np.testing.assert_allclose(
         column_of(out, "y"), pd.Series(x).ewm(span=9.0, min_periods=4, adjust=False).mean(), atol=1e-9)
     assert np.isnan(column_of(out, "y", "b")).all()
+
+
+@pytest.mark.parametrize("w", [5, 63, 64])
+def test_types_and_values_that_leave(make_frame, column_of, w):
+    n = 200
+    x = np.arange(n, dtype=float)
+    x[10], x[90] = np.inf, 1e300
+    frame = make_frame({"a": {"x": x, "k": np.arange(n)}}, bucket_rows=256)
+    out = frame.derive([*R.past_aggregations("x", "mean", w), *R.past_aggregations("k", "sum", w)])
+    assert dict(out.df.dtypes)[f"k_sum_{w}"] == "bigint"
+    got = column_of(out, f"x_mean_{w}")
+    for i in (w - 1 + 11, 89, n - 1):
+        if i - w >= 10 and not i - w < 90 <= i:
+            assert got[i] == pytest.approx(x[i - w + 1 : i + 1].mean())
+
+
+def test_null_series_is_a_series(spark):
+    from tidemark.frame import number_rows
+
+    df = spark.createDataFrame([(None, 3.0), (None, 1.0), ("a", 2.0)], "series string, x double")
+    frame = number_rows(df, "series", ["x"], ts="x")
+    rows = frame.tail(1).running({"total": F.col("x")}).derive(R.past_aggregations("x", "sum", 2)).df.collect()
+    assert sorted((str(r.series), r.pos, r.x, r.total) for r in rows) == [("None", 1, 3.0, 3.0), ("a", 0, 2.0, 2.0)]

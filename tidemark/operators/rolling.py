@@ -1,9 +1,10 @@
 """Rolling aggregates over past and future rows.
 
-Every function returns a ``Step`` for ``SeriesFrame.derive``.  Small windows use Spark's
-sliding frames.  These cost O(w) per row, so for windows of ``FAST_WINDOW`` rows and more
-sums, means and slopes come from differences of running totals, and extremes from running
-extremes of blocks of w rows: O(1) per row whatever the window.
+Every function returns a ``Step`` for ``SeriesFrame.derive``.  Sums, means and extremes of any
+window come from running aggregates of blocks of w rows, one forward and one backward: O(1) per row
+whatever the window.  A frame is the end of one block and the start of the next, so nothing is ever
+subtracted, and a value, be it huge or not finite, leaves with its window.  Other aggregates use
+Spark's sliding frames.
 """
 
 from __future__ import annotations
@@ -13,11 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from tidemark.frame import Span, Step
+from tidemark.frame import Span, Step, floor_div
 from tidemark.functions.numeric import ratio
 
-FAST_WINDOW = 64
-
 # Aggregates by name; each skips NULLs.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
@@ -46,82 +45,45 @@ def _relative(value: Column, base: str | None, factor: float) -> Column:
     return ratio((value - b) * factor, b)
 
 
-class _Helpers:
-    """Helper columns of the fast forms, shared by name among the windows of one column."""
-
-    def __init__(self, column: str):
-        self.column = column
+class _Blocks:
+    """Running aggregates of one column over blocks of ``w`` rows; names are shared among steps."""
 
-    def name(self, part: str, w: int | None = None) -> str:
-        return f"__{part}__{self.column}" + (f"__{w}" if w else "")
+    def __init__(self, column: str, fn: str, w: int):
+        self.column, self.agg, self.w, self.fn = column, AGGREGATES[fn], w, fn
+        self.block, self.head, self.tail, self.count = f"__b__{w}", f"__p{fn}__{column}__{w}", f"__q{fn}__{column}__{w}", f"__n__{column}"
 
-    def centre(self, span: Span) -> dict[str, Column]:
-        # Totals of deviations from the mean of the bucket lose no digits.
-        return {self.name("m"): F.avg(self.column).over(span.whole)}
+    def number(self, span: Span) -> dict[str, Column]:
+        return {self.block: floor_div(F.col(span.pos), self.w)}
 
-    def totals(self, span: Span) -> dict[str, Column]:
-        return {
-            self.name("s"): F.sum(F.coalesce(F.col(self.column) - F.col(self.name("m")), F.lit(0.0))).over(span.running),
-            self.name("n"): F.count(self.column).over(span.running),
-        }
+    def running(self, span: Span) -> dict[str, Column]:
+        part = Window.partitionBy(*span.partition, self.block)
+        upto = part.orderBy(span.pos).rowsBetween(Window.unboundedPreceding, 0)
+        since = part.orderBy(F.col(span.pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
+        value = F.col(self.column)
+        return {self.head: self.agg(value).over(upto), self.tail: self.agg(value).over(since), self.count: F.count(self.column).over(span.running)}
 
-    def difference(self, span: Span, part: str, w: int, future: bool) -> Column:
-        total = F.col(self.name(part))
+    def value(self, span: Span, future: bool) -> Column:
+        w, place = self.w, F.pmod(F.col(span.pos), F.lit(self.w).cast("long"))
         if future:
-            return F.lead(total, w).over(span.ordered) - total
-        return total - F.coalesce(F.lag(total, w).over(span.ordered), F.lit(0))
-
-    def blocks(self, span: Span, w: int) -> dict[str, Column]:
-        return {self.name("b", w): F.call_function("div", F.col(span.pos), F.lit(w).cast("long"))}
-
-    def block_extremes(self, fn: str, w: int) -> Callable[[Span], dict[str, Column]]:
-        agg = AGGREGATES[fn]
-
-        def build(span: Span) -> dict[str, Column]:
-            part = [*span.partition, self.name("b", w)]
-            asc = Window.partitionBy(*part).orderBy(span.pos).rowsBetween(Window.unboundedPreceding, 0)
-            desc = Window.partitionBy(*part).orderBy(F.col(span.pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
-            return {self.name(f"p{fn}", w): agg(F.col(self.column)).over(asc),
-                    self.name(f"q{fn}", w): agg(F.col(self.column)).over(desc)}
-
-        return build
-
-
-def _fast_extreme(column: str, fn: str, w: int, future: bool, finish: Callable[[Column, Column, Span], dict[str, Column]],
-                  names: list[str]) -> Step:
-    h = _Helpers(column)
-    pick = F.greatest if fn == "max" else F.least
-
-    def totals(span: Span) -> dict[str, Column]:
-        return {**h.block_extremes(fn, w)(span),
-                h.name("n"): F.count(column).over(span.running)}
-
-    def result(span: Span) -> dict[str, Column]:
-        head, tail = h.name(f"p{fn}", w), h.name(f"q{fn}", w)
-        if future:
-            # frame i+1 .. i+w: rest of the block of its first row, start of the block of its last
-            value = pick(F.lead(tail, 1).over(span.ordered), F.lead(head, w).over(span.ordered))
+            # rows i+1 .. i+w: the rest of the block of the first, the start of that of the last
+            early = F.lead(self.tail, 1).over(span.ordered)
+            late = F.when(place != w - 1, F.lead(self.head, w).over(span.ordered))
         else:
-            # Where the frame reaches over the start, its first row is the first of the bucket.
-            block = F.col(h.name("b", w))
+            # where the frame reaches over the start, its first row is the first of the bucket
             whole = F.lag(F.lit(True), w - 1).over(span.ordered).isNotNull()
-            early = F.when(F.first(block).over(span.running) < block, F.first(tail).over(span.running))
-            value = pick(F.col(head), F.when(whole, F.lag(tail, w - 1).over(span.ordered)).otherwise(early))
-        return finish(value, h.difference(span, "n", w, future), span)
-
-    return Step(names, [lambda s: h.blocks(s, w), totals, result], 0 if future else w - 1, w if future else 0)
-
-
-def _fast_mean(column: str, fn: str, w: int, future: bool, finish, names: list[str]) -> Step:
-    h = _Helpers(column)
-
-    def result(span: Span) -> dict[str, Column]:
-        s, n = h.difference(span, "s", w, future), h.difference(span, "n", w, future)
-        mean = ratio(s, n) + F.col(h.name("m"))
-        value = {"mean": mean, "sum": mean * n, "count": n}[fn]
-        return finish(value, n, span)
-
-    return Step(names, [h.centre, h.totals, result], 0 if future else w - 1, w if future else 0)
+            first = F.when(F.first(self.block).over(span.running) < F.col(self.block), F.first(self.tail).over(span.running))
+            early = F.when(whole, F.when(place != w - 1, F.lag(self.tail, w - 1).over(span.ordered))).otherwise(first)
+            late = F.col(self.head)
+        if self.fn == "sum":
+            return F.coalesce(early + late, early, late)
+        return (F.greatest if self.fn == "max" else F.least)(early, late)
+
+    def values(self, span: Span, future: bool) -> Column:
+        """Number of non-NULL values in the frame."""
+        total = F.col(self.count)
+        if future:
+            return F.lead(total, self.w).over(span.ordered) - total
+        return total - F.coalesce(F.lag(total, self.w).over(span.ordered), F.lit(0))
 
 
 def rolling(column: str, fn: str, w: int, name: str, future: bool = False, strict: bool = False,
@@ -141,19 +103,24 @@ def rolling(column: str, fn: str, w: int, name: str, future: bool = False, stric
             ok = ok & F.lead(F.lit(True), w).over(span.ordered).isNotNull()
         return {name: _relative(F.when(ok, value), rel_column, rel_factor)}
 
-    if w >= FAST_WINDOW and fn in ("max", "min"):
-        return _fast_extreme(column, fn, w, future, finish, [name])
-    if w >= FAST_WINDOW and fn in ("mean", "sum", "count"):
-        return _fast_mean(column, fn, w, future, finish, [name])
+    back, ahead = 0 if future else w - 1, w if future else 0
+    if fn in ("max", "min", "sum", "mean", "count"):
+        blocks = _Blocks(column, "sum" if fn in ("mean", "count") else fn, w)
+
+        def result(span: Span) -> dict[str, Column]:
+            n = blocks.values(span, future)
+            value = n if fn == "count" else ratio(blocks.value(span, future), n) if fn == "mean" else blocks.value(span, future)
+            return finish(value, n, span)
+
+        if fn == "count":
+            return Step([name], [lambda s: {blocks.count: F.count(column).over(s.running)}, result], back, ahead)
+        return Step([name], [blocks.number, blocks.running, result], back, ahead)
 
     def columns(span: Span) -> dict[str, Column]:
         frame = span.next(w) if future else span.past(w)
-        n = F.count(column).over(frame)
-        # the mean shares the count that the mask needs anyway
-        value = ratio(F.sum(column).over(frame), n) if fn == "mean" else AGGREGATES[fn](F.col(column)).over(frame)
-        return finish(value, n, span)
+        return finish(AGGREGATES[fn](F.col(column)).over(frame), F.count(column).over(frame), span)
 
-    return Step([name], [columns], 0 if future else w - 1, w if future else 0)
+    return Step([name], [columns], back, ahead)
 
 
 def past_aggregations(column: str, fn: str, windows, suffix: str | None = None, rel_column: str | None = None,
@@ -239,27 +206,6 @@ def slope(column: str, w: int, name: str, future: bool = False, need: int | None
             ok = ok & F.lead(F.lit(True), w - 1).over(span.ordered).isNotNull()
         return {name: F.when(ok, _slope_single(value, n))}
 
-    if w >= FAST_WINDOW and not future:
-        h = _Helpers(column)
-        x, y = f"__x__{column}", F.col(column) - F.col(h.name("m"))
-
-        def centre(span: Span) -> dict[str, Column]:
-            mid = F.avg(span.pos).over(span.whole)
-            return {**h.centre(span), x: F.when(F.col(column).isNotNull(), F.col(span.pos) - mid)}
-
-        def totals(span: Span) -> dict[str, Column]:
-            terms = {"sx": F.col(x), "sxx": F.col(x) * F.col(x), "sxy": F.col(x) * y}
-            return {**h.totals(span),
-                    **{h.name(k): F.sum(F.coalesce(c, F.lit(0.0))).over(span.running) for k, c in terms.items()}}
-
-        def result(span: Span) -> dict[str, Column]:
-            d = {k: h.difference(span, k, w, False) for k in ("s", "n", "sx", "sxx", "sxy")}
-            top = d["n"] * d["sxy"] - d["sx"] * d["s"]
-            bottom = d["n"] * d["sxx"] - d["sx"] * d["sx"]
-            return finish(ratio(top, bottom), d["n"], span)
-
-        return Step([name], [centre, totals, result], w - 1, 0)
-
     def columns(span: Span) -> dict[str, Column]:
         frame = span.next_with_current(w) if future else span.past(w)
         value = F.regr_slope(F.col(column), F.col(span.pos).cast("double")).over(frame)

@@ -97,6 +97,20 @@ register("tick_windows", spec(["price_mean_20", "price_std_20", "price_max_20",
   {rolled('price', 'max', 20)} AS price_max_20, {rolled('size', 'sum', 50)} AS size_sum_50 FROM ticks""")
 
 
+# A value that is not finite leaves with its window, and whole numbers stay whole, for any window.
+ANY_WIDTH = [5, 63, 64, 288]
+register("rolling_nonfinite", spec([f"x_mean_{w}" for w in ANY_WIDTH]) + " " + " ".join(f"{c}_{w}:b" for c in ("k_sum", "k_max") for w in ANY_WIDTH),
+         lambda s, d: inputs.ticks(s, d).with_columns({
+             "x": F.when(F.col("pos") % 701 == 3, F.lit(float("inf"))).when(F.col("pos") % 997 == 5, 1e290).otherwise(F.col("price") * 0.7310585786300049), "k": (F.col("size") * 3).cast("long")}).derive([
+                 *R.past_aggregations("x", "mean", ANY_WIDTH), *R.past_aggregations("k", "sum", ANY_WIDTH), *R.past_aggregations("k", "max", ANY_WIDTH)]).df.withColumns(
+                     {f"x_mean_{w}": F.when(F.col(f"x_mean_{w}") < 1e200, F.col(f"x_mean_{w}")) for w in ANY_WIDTH}),
+         TICKS_SQL + """,
+v AS (SELECT series, pos, CASE WHEN pos % 701 = 3 THEN 'inf'::DOUBLE WHEN pos % 997 = 5 THEN 1e290 ELSE price * 0.7310585786300049::DOUBLE END AS x, CAST(size * 3 AS BIGINT) AS k FROM ticks),
+w AS (SELECT series, pos, """ + ", ".join(
+             [f"{rolled('x', 'mean', w)} AS x_mean_{w}" for w in ANY_WIDTH] + [f"{rolled('k', fn, w)} AS k_{fn}_{w}" for fn in ("sum", "max") for w in ANY_WIDTH]) + " FROM v)",
+         "SELECT series, pos, " + ", ".join([f"CASE WHEN x_mean_{w} < 1e200 THEN x_mean_{w} END AS x_mean_{w}" for w in ANY_WIDTH] + [f"k_{fn}_{w}" for fn in ("sum", "max") for w in ANY_WIDTH]) + " FROM w")
+
+
 def area_sql(c: str, frame: str, enough: str, name: str) -> str:
     values = f"list({c}) FILTER ({c} IS NOT NULL) OVER {frame}"
     return (f"CASE WHEN {enough} AND {c} IS NOT NULL THEN list_sum(list_transform({values}, lambda x: x - {c})) "
