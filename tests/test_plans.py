@@ -1,5 +1,6 @@
 """Specs, sources, merging, models and streams."""
 
+import os
 import numpy as np
 import pandas as pd
 import pytest
@@ -187,3 +188,99 @@ def test_stateful_streams(spark, tmp_path):
         bands = [2 if v >= 0.6 else 1 if v >= 0.3 else -1 if v < -0.3 else 0 for _, _, v, _ in mine]
         changed = [b for i, b in enumerate(bands) if i == 0 or abs(b) != abs(bands[i - 1])]
         assert [r.band for r in got["b"] if r.series == s] == changed
+
+
+# -- the bar table against its batch form ----------------------------------------------------
+
+
+def _bar_rows(spark, rows):
+    return spark.createDataFrame([(s, h, v, n) for n, (s, h, v) in enumerate(rows)], "series string, h long, close double, n long").selectExpr(
+        "series", "timestamp_seconds(1704067200 + h * 3600) AS ts", "close", "n")
+
+
+def _bar_table(spark, tmp_path, batches, **options):
+    from tidemark.operators.rolling import past_aggregations
+    from tidemark.streaming.bars import BarTable
+
+    table = BarTable(f"{tmp_path}/bars", ("series",), "1h", lookback=3, derive=lambda f: f.derive(past_aggregations("close", "mean", 4)), arrival="n", **options)
+    for rows in batches:
+        table.upsert(_bar_rows(spark, rows))
+    last = {}
+    for rows in batches:
+        for s, h, v in rows:
+            last[s, h] = v
+    want = {}
+    for name in {s for s, _ in last}:
+        hours = [h for s, h in last if s == name]
+        for h in range(min(hours), max(hours) + 1):
+            known = [last[name, k] for k in range(h - 3, h + 1) if last.get((name, k)) is not None]
+            want[name, h] = (last.get((name, h)), sum(known) / len(known) if len(known) >= 2 else None)
+    got = [(r.series, r.h, r.close, r.close_mean_4) for r in table.read(spark).selectExpr("*", "(unix_seconds(ts) - 1704067200) div 3600 AS h").collect()]
+    return got, want
+
+
+def _assert_same(got, want):
+    assert len(got) == len(want)
+    for s, h, close, mean in got:
+        assert (close, mean) == (want[s, h][0], None if want[s, h][1] is None else pytest.approx(want[s, h][1]))
+
+
+def test_bar_table_repeated_key_in_batch(spark, tmp_path):
+    batches = [[("a", h, 10.0 + h) for h in range(6)] + [("a", 2, 99.0)], [("a", 6, 1.0), ("a", 6, 2.0), ("a", 3, 5.0), ("a", 3, 7.0)]]
+    _assert_same(*_bar_table(spark, tmp_path, batches))
+
+
+def test_bar_table_gap_and_late_rows(spark, tmp_path):
+    batches = [[(s, h, 1.0 * h) for s in "ab" for h in range(11)], [("a", 100, 5.0), ("b", 4, -3.0)], [("a", 50, 8.0), ("c", 7, 1.0), (None, 1, 2.0)], [("a", 101, 6.0), ("a", 1, 4.0), (None, 3, 4.0)]]
+    _assert_same(*_bar_table(spark, tmp_path, batches))
+
+
+def test_bar_table_is_trimmed(spark, tmp_path):
+    batches = [[("a", h, 1.0 * h) for h in range(60)], [("a", 60, 1.0), ("b", 59, 2.0)], [("b", 61, 2.0)]]
+    got, want = _bar_table(spark, tmp_path, batches, retain_rows=10)
+    assert sorted((s, h) for s, h, *_ in got) == [("a", h) for h in range(51, 61)] + [("b", 59), ("b", 60), ("b", 61)]
+    assert not list((tmp_path / "bars").glob("day=2024-01-01"))
+    _assert_same(got, {k: v for k, v in want.items() if k in {(s, h) for s, h, *_ in got}})
+
+
+def test_settled_rows_need_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark import frame
+
+    class Cluster:
+        conf = SimpleNamespace(get=lambda name, default=None: default)
+        sparkContext = SimpleNamespace(applicationId="cluster-1", master="spark://host:7077", getCheckpointDir=lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        frame.checkpoint_dir(Cluster())
+    kept = frame.settle(spark.range(5).toDF("x"))
+    frame.release(kept)
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in kept.inputFiles())
+
+
+def test_depth_bins_below_the_first_level(spark):
+    from tidemark.operators.depth import depth_bins
+
+    ladder = spark.createDataFrame([("s", 5.0, 2.0), ("s", 6.0, 4.0)], "snap string, price double, volume double")
+    got = {r.bin: r.volume for r in depth_bins(ladder, ["snap"], 2.0, 0.0).collect()}
+    assert got == {0: 0.0, 1: 0.0, 2: 1.0, 3: 4.0}
+
+
+def test_quantile_of_one_tie(spark):
+    from tidemark.operators.trades import exact_quantile
+
+    rows = [("a", 1.0)] * 40 + [("b", float(x)) for x in (4, 1, 3, 2)] + [(None, 2.0), (None, None)]
+    got = {r.k: r.m for r in exact_quantile(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", 0.5, "m").collect()}
+    assert got == {"a": 1.0, "b": 2.5, None: 2.0}
+
+
+def test_models_that_only_classify_refuse_regression():
+    from tidemark.operators import models
+
+    for algo in ("lc", "svc", "nn"):
+        with pytest.raises(ValueError, match="classifies"):
+            models._estimator(models.Algorithm(algo, algo, {"is_regression": True}, {}), 3, "f", 10)
+    with pytest.raises(ValueError):
+        models.resolve_folds(100, 5, 10, None, None)
+    assert [f.predict_start for f in models.resolve_folds(100, 5, None, 20, 3)] == [40, 60, 80]

@@ -21,6 +21,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,13 @@ def floor_div(value: Column, size: int) -> Column:
     return F.call_function("div", value - F.pmod(value, size_lit), size_lit)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, where NULL equals NULL; the keys of ``left`` stay."""
+    other = right.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"__key_{k}" for k in keys])
+
+
 def spread(home: Column, pos: Column, rows: int, back: int, ahead: int) -> Column:
     """Buckets that need a row: its own, the next one if it lies in the last ``back`` rows of
     its bucket, the previous one if it lies in the first ``ahead`` rows."""
@@ -179,12 +187,12 @@ class SeriesFrame:
         across = Span(self.keys, "__group")
         carried = scan(sums, within, across).drop("__group")
         if inner is None:
-            return rows.join(carried, keys + [BUCKET], "left")
+            return join_on(rows, carried, keys + [BUCKET], "left")
         outer = [k for k in keys if k != inner] + [BUCKET]
         states = [c for c in carried.columns if c not in (*keys, BUCKET)]
         packed = carried.groupBy(*outer).agg(
             F.map_from_entries(F.collect_list(F.struct(F.col(inner), F.struct(*states)))).alias("__states"))
-        joined = rows.join(packed, outer, "left")
+        joined = join_on(rows, packed, outer, "left")
         mine = F.try_element_at("__states", F.col(inner))
         return joined.withColumns({c: mine[c] for c in states}).drop("__states")
 
@@ -201,7 +209,7 @@ class SeriesFrame:
             earlier = across.ordered.rowsBetween(Window.unboundedPreceding, -1)
             groups = groups.select(
                 *keys, "__group", *[F.coalesce(F.sum(f"__g_{n}").over(earlier), F.lit(0)).alias(f"__a_{n}") for n in names])
-            return local.join(groups, keys + ["__group"]).select(
+            return join_on(local, groups, keys + ["__group"]).select(
                 *keys, BUCKET, "__group", *[(F.col(f"__w_{n}") + F.col(f"__a_{n}")).alias(f"__c_{n}") for n in names])
 
         joined = self._carry(rows, [F.sum(f"__in_{n}").alias(f"__t_{n}") for n in names], scan)
@@ -244,7 +252,7 @@ class SeriesFrame:
                 *keys, "__group",
                 *[last_before(across, f"__g_{n}").alias(f"__a_{n}") for n in backward],
                 *[first_after(across, f"__g_{n}").alias(f"__a_{n}") for n in forward])
-            return buckets.withColumns(local).join(groups, keys + ["__group"]).select(
+            return join_on(buckets.withColumns(local), groups, keys + ["__group"]).select(
                 *keys, BUCKET, "__group",
                 *[F.coalesce(F.col(f"__w_{n}"), F.col(f"__a_{n}")).alias(f"__c_{n}") for n in [*backward, *forward]])
 
@@ -273,7 +281,7 @@ class SeriesFrame:
         keys = list(self.keys)
         lo, hi = floor_div(F.col("first_pos"), self.bucket_rows), floor_div(F.col("last_pos"), self.bucket_rows)
         spread = facts.withColumn(BUCKET, F.explode(F.sequence(lo, hi)))
-        return self.df.withColumn(BUCKET, self.home()).join(spread, keys + [BUCKET]).drop(BUCKET)
+        return join_on(self.df.withColumn(BUCKET, self.home()), spread, keys + [BUCKET]).drop(BUCKET)
 
     # -- row selection by position -------------------------------------------------------
 
@@ -298,14 +306,38 @@ class SeriesFrame:
         return self.with_df(kept)
 
 
+_folders: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = conf or tempfile.mkdtemp(prefix="tidemark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    """A folder of this session below ``spark.checkpoint.dir``; it is deleted when the driver's JVM ends.
+
+    Only a local master may go without the setting and gets a temporary folder: the executors of a
+    cluster would each write to their own disk.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _folders:
+        base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if base is None:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}")
+        store = path.getFileSystem(context._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _folders[context.applicationId] = path.toString()
+    return _folders[context.applicationId]
+
+
+def release(df: DataFrame) -> None:
+    """Delete the folders of settled rows that ``df`` reads; nothing may read them afterwards."""
+    context = df.sparkSession.sparkContext
+    root = checkpoint_dir(df.sparkSession)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/settled/" in folder and root.split(":")[-1] in folder:
+            path = context._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -336,5 +368,5 @@ def number_rows(df: DataFrame, keys: str | Iterable[str], order: list[str], ts:
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per range partition and series in it: far fewer than rows
     starts = counts.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    numbered = placed.join(starts, [*keys, "__part"]).withColumn(pos, F.col("__id") + F.col("__shift"))
+    numbered = join_on(placed, starts, [*keys, "__part"]).withColumn(pos, F.col("__id") + F.col("__shift"))
     return SeriesFrame(numbered.drop("__part", "__id", "__shift"), tuple(keys), ts=ts, pos=pos)

@@ -34,5 +34,10 @@ def depth_bins(ladder: DataFrame, keys: list[str], bin_size: float, start: float
     parts = parts.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / bin_size), last_bin)))
     overlap = F.least("hi", (F.col("bin") + 1) * bin_size) - F.greatest("lo", F.col("bin") * bin_size)
     # bins below a given start are not reported
-    return parts.where(F.col("bin") >= 0).groupBy(*keys, "bin").agg(
+    bins = parts.where(F.col("bin") >= 0).groupBy(*keys, "bin").agg(
         ratio(F.sum(overlap * F.col("v")), F.lit(bin_size)).alias("volume"))
+    if start is None:
+        return bins
+    # nothing is offered between the start and the first level
+    empty = bins.groupBy(*keys).agg(F.min("bin").alias("first")).where("first > 0")
+    return bins.unionByName(empty.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("first") - 1)).alias("bin"), F.lit(0.0).alias("volume")))

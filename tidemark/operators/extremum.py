@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.frame import BUCKET, GROUP_BUCKETS, SeriesFrame, floor_div, settle
+from tidemark.frame import BUCKET, GROUP_BUCKETS, SeriesFrame, floor_div, settle, join_on
 
 LEFT, RIGHT = 0, 1
 NONE = -1
@@ -179,7 +179,7 @@ def extremum_labels(frame: SeriesFrame, column: str, labels: list[ExtremumLabel]
 
     df = frame.df.withColumn(BUCKET, frame.home())
     if spans is not None:
-        df = df.join(spans, [*keys, BUCKET], "left")
+        df = join_on(df, spans, [*keys, BUCKET], "left")
     names = [spec.name for spec in labels]
     schema = T.StructType(
         [f for f in frame.df.schema.fields if f.name not in names] + [T.StructField(n, T.BooleanType()) for n in names])
@@ -230,7 +230,7 @@ def _solve(queries: DataFrame, narrow: DataFrame, keys: list[str], key_ddl: str,
         """Search inside groups of ``size`` rows, starting beyond ``at``; group is ``cell``."""
         cell = floor_div(F.col("pos"), size) if size else F.lit(0).cast("long")
         table = table.withColumn("cell", cell)
-        table = table.join(asked.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi")
+        table = join_on(table, asked.select(*keys, "cell").distinct(), [*keys, "cell"], "left_semi")
 
         def answer(values: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
             if len(q) == 0 or len(values) == 0:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.frame import number_rows
+from tidemark.frame import number_rows, join_on
 from tidemark.functions.numeric import ratio
 from tidemark.operators.scores import label_and_algorithm
 
@@ -65,11 +65,10 @@ def _rounded(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def classification_metrics(df: DataFrame, keys: list[str], y_true: str = "y_true", y_hat: str = "y_hat") -> DataFrame:
-    """AUC, average precision, and F1, precision and recall at 0.5."""
-    actual = F.col(y_true) > 0
-    counts = df.groupBy(*keys).agg(*[c.alias(n) for n, c in _confusion(actual, F.col(y_hat) > 0.5).items()])
-    ranks = ranking_metrics(df, keys, actual, F.coalesce(F.col(y_hat).cast("double"), F.lit(0.0)))
-    return _rounded(ranks.join(counts, keys), keys)
+    """AUC, average precision, and F1, precision and recall at 0.5; a NULL score is 0 in all of them."""
+    actual, score = F.col(y_true) > 0, F.coalesce(F.col(y_hat).cast("double"), F.lit(0.0))
+    counts = df.groupBy(*keys).agg(*[c.alias(n) for n, c in _confusion(actual, score > 0.5).items()])
+    return _rounded(join_on(ranking_metrics(df, keys, actual, score), counts, keys), keys)
 
 
 def regression_metrics(df: DataFrame, keys: list[str], y_true: str = "y_true", y_hat: str = "y_hat") -> DataFrame:

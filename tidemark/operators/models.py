@@ -39,6 +39,8 @@ class Algorithm:
 
 def _estimator(a: Algorithm, n_features: int, features: str, n_rows: int | None):
     t = a.train
+    if a.params.get("is_regression") and a.algo != "gb":
+        raise ValueError(f"{a.algo} only classifies; is_regression needs gb")
     if a.algo == "lc":
         extra = {"weightCol": WEIGHT} if t.get("class_weight") == "balanced" else {}
         # C weighs the sum of losses, regParam the mean of losses
@@ -61,7 +63,7 @@ def _estimator(a: Algorithm, n_features: int, features: str, n_rows: int | None)
 
 
 def _is_regression(a: Algorithm) -> bool:
-    return str(a.train.get("objective", "")).startswith("regress")
+    return bool(a.params.get("is_regression")) or str(a.train.get("objective", "")).startswith("regress")
 
 
 def _complete(columns: list[str]) -> Column:
@@ -121,8 +123,11 @@ def score(df: DataFrame, model: PipelineModel, features: list[str], algorithm: A
 
 def train_all(df: DataFrame, features: list[str], labels: list[str], algorithms: list[dict], keys: list[str],
               order: list[str]) -> dict[str, PipelineModel]:
-    """One model per label and algorithm, by the name of its score column."""
-    models = {}
+    """One model per label and algorithm, by the name of its score column.
+
+    Rows with a NULL in any label are left out for all, so every model sees the same rows.
+    """
+    models, df = {}, settle(clean(df, labels).dropna(subset=labels))
     for label in labels:
         for spec in algorithms:
             a = Algorithm.of(spec)
@@ -169,24 +174,35 @@ def resolve_folds(length: int, label_horizon: int, start: int | None = None, siz
                   steps: int | None = None, train_length: int | None = None) -> list[Fold]:
     """Row ranges of all folds; any two of start, size and steps give the third.
 
-    The rows whose labels would look into the predicted range are left out of training.
+    The folds follow each other from ``start`` and must end within ``length`` rows: the missing
+    number is the one that fills the rows best.  The rows whose labels would look into the predicted
+    range are left out of training.
     """
-    if sum(bool(v) for v in (start, size, steps)) < 2:
-        raise ValueError("only one of start, size and steps can be left out")
-    if not start:
-        start = length - size * steps
-    elif not size:
-        size = (length - start) // steps
-    elif not steps:
-        steps = (length - start) // size
-    if start < 0 or length - start < steps * size:
+    match (start, size, steps):
+        case (None, int(), int()):
+            start = length - size * steps
+        case (int(), None, int()):
+            size = (length - start) // steps
+        case (int(), int(), None):
+            steps = (length - start) // size
+        case (int(), int(), int()):
+            pass
+        case _:
+            raise ValueError("only one of start, size and steps can be left out")
+    if start < 0 or size < 1 or start + size * steps > length:
         raise ValueError(f"not enough data for {steps} steps of {size} rows from {start}: {length} rows")
-    folds = []
-    for k in range(steps):
-        first = start + k * size
-        end = first - label_horizon - 1
-        folds.append(Fold(k, max(0, end - train_length) if train_length else 0, max(0, end), first, first + size))
-    return folds
+
+    def fold(step: int) -> Fold:
+        predicted = start + step * size
+        known = max(0, predicted - label_horizon - 1)
+        return Fold(step, max(0, known - train_length) if train_length else 0, known, predicted, predicted + size)
+
+    return [fold(k) for k in range(steps)]
+
+
+def longest(frame: SeriesFrame) -> int:
+    """Rows of the longest series, the length over which folds are laid."""
+    return frame.bounds().agg(F.max(F.col("last_pos") - F.col("first_pos") + 1)).first()[0] or 0
 
 
 def fold_table(spark: SparkSession, folds: list[Fold]) -> DataFrame:

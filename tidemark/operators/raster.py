@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.frame import BUCKET, BUCKET_ROWS, GROUP_BUCKETS, SeriesFrame, floor_div
+from tidemark.frame import BUCKET, BUCKET_ROWS, GROUP_BUCKETS, SeriesFrame, floor_div, join_on
 from tidemark.functions.intervals import freq_us, micros
 
 
@@ -52,7 +52,7 @@ def densify(df: DataFrame, keys, ts: str, freq: str, fill: dict[str, object] | N
     rows = df.withColumn("pos", floor_div(micros(F.col(ts)), size))
     bounds = rows.groupBy(*keys).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
     grid = positions(bounds, keys).select(*keys, "pos")
-    out = grid.join(rows.drop(ts), [*keys, "pos"], "left")
+    out = join_on(grid, rows.drop(ts), [*keys, "pos"], "left")
     out = out.withColumn(ts, F.timestamp_micros(F.col("pos") * F.lit(size).cast("long")))
     if fill:
         out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in fill.items()})
@@ -99,7 +99,7 @@ def merge_sources(sources: list[Source], keys, ts: str, freq: str, interpolate_g
     out = positions(bounds, keys)
     out = out.withColumn(ts, F.timestamp_micros(F.col("pos") * size_lit + F.col("__phase"))).select(*keys, ts, "pos")
     for df in tables:
-        out = out.join(df, [*keys, ts], "left")
+        out = join_on(out, df, [*keys, ts], "left")
     frame = SeriesFrame(out, tuple(keys), ts=ts, step_us=size)
     if interpolate_gaps:
         numeric = [f.name for f in out.schema.fields

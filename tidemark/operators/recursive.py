@@ -18,7 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.frame import BUCKET, GROUP_BUCKETS, SeriesFrame, Span, Step, floor_div
+from tidemark.frame import BUCKET, GROUP_BUCKETS, SeriesFrame, Span, Step, floor_div, join_on
 from tidemark.functions.numeric import ratio
 from tidemark.operators.rolling import rolling
 
@@ -130,12 +130,12 @@ def smooth(frame: SeriesFrame, wanted: dict[str, tuple[str, float]], need: dict[
         start = (first["y"], first["w"], first["count"])
         return states(pdf, BUCKET, start)[[*keys, BUCKET, "which", "y", "w", "count"]]
 
-    carried = summaries.join(starts, [*keys, "__group", "which"]).groupBy(*keys, "which", "__group").applyInPandas(
+    carried = join_on(summaries, starts, [*keys, "__group", "which"]).groupBy(*keys, "which", "__group").applyInPandas(
         chain_buckets, f"{key_ddl}, {BUCKET} long, which string, y double, w double, count double")
     carried = carried.groupBy(*keys, BUCKET).agg(
         F.map_from_entries(F.collect_list(F.struct("which", F.struct("y", "w", "count")))).alias("__state"))
     states_in = {f"__{i}_{p}": F.col("__state")[n][p] for i, n in enumerate(names) for p in ("y", "w", "count")}
-    joined = rows.join(carried, [*keys, BUCKET]).withColumns(states_in).drop("__state")
+    joined = join_on(rows, carried, [*keys, BUCKET]).withColumns(states_in).drop("__state")
     schema = T.StructType(frame.df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
     fields, pos_name = [f.name for f in frame.df.schema.fields], frame.pos
 

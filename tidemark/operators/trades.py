@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.frame import BUCKET, SeriesFrame, Span, number_rows
+from tidemark.frame import BUCKET, SeriesFrame, Span, number_rows, join_on
 from tidemark.functions.intervals import micros
 from tidemark.functions.numeric import null_safe_false, ratio, round_down_text, round_text, truncate_decimal
 from tidemark.operators.scores import threshold_rule, threshold_rule_two
@@ -56,7 +56,7 @@ def alternating_transactions(frame: SeriesFrame, buy: str, sell: str, price: str
         after_group = F.coalesce(F.col("__gknown"), F.col("__gflip"))
         groups = groups.select(*keys, "__group", F.coalesce(
             F.lag(after_group, 1).over(across.ordered), F.lit(False)).alias("__entry"))
-        both = inner.join(groups, [*keys, "__group"])
+        both = join_on(inner, groups, [*keys, "__group"])
         after = F.coalesce(F.col("__iknown"), F.col("__iflip") != F.col("__entry"))
         return both.select(*keys, BUCKET, "__group", F.coalesce(
             F.lag(after, 1).over(within.ordered), F.col("__entry")).alias("__before"))
@@ -146,7 +146,7 @@ def months(first: Column, last: Column) -> Column:
 
 def monthly_rates(totals: DataFrame, span: DataFrame, keys: list[str]) -> DataFrame:
     """Add per-month rates; ``span`` holds ``months`` per series."""
-    out = totals.join(span, keys)
+    out = join_on(totals, span, keys)
     return out.withColumns({
         "transactions_per_month": F.round(ratio(F.col("transactions").cast("double"), F.col("months")), 2),
         "profit_per_month": F.round(ratio(F.col("profit"), F.col("months")), 2),
@@ -154,14 +154,21 @@ def monthly_rates(totals: DataFrame, span: DataFrame, keys: list[str]) -> DataFr
 
 
 def exact_quantile(df: DataFrame, keys: list[str], column: str, q: float, name: str) -> DataFrame:
-    """Exact interpolated quantile per group, from sorted positions instead of collected groups."""
-    values = df.select(*keys, column).where(F.col(column).isNotNull())
-    frame = number_rows(values, keys, [column])
-    rows = frame.attach(frame.bounds())
-    at = F.col("last_pos") * q
-    near = rows.where((F.col("pos") >= F.floor(at)) & (F.col("pos") <= F.ceil(at)))
-    weight = F.when(F.floor(at) == F.ceil(at), 1.0).otherwise(1 - F.abs(F.col("pos") - at))
-    return near.groupBy(*keys).agg(F.sum(F.col(column) * weight).alias(name))
+    """Exact interpolated quantile per group, from the running count of its distinct values.
+
+    Equal values are one row before anything is sorted, however many there are.
+    """
+    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("rows_here"))
+    frame = number_rows(counted, keys, [column]).running({"rows_upto": F.col("rows_here")})
+    facts = frame.df.groupBy(*keys).agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.sum("rows_here").alias("rows_all"))
+    at = (F.col("rows_all") - 1) * q
+    part = at - F.floor(at)
+
+    def holds(row: Column) -> Column:
+        return ((F.col("rows_upto") - F.col("rows_here") <= row) & (row < F.col("rows_upto"))).cast("double")
+
+    weight = holds(F.floor(at)) * (1 - part) + holds(F.floor(at) + 1) * part
+    return frame.attach(facts).groupBy(*keys).agg(F.sum(F.col(column) * weight).alias(name))
 
 
 def recent_statistics(transactions: SeriesFrame, now: Column, weeks: int = 4, price: str = "price") -> DataFrame:
@@ -179,7 +186,7 @@ def recent_statistics(transactions: SeriesFrame, now: Column, weeks: int = 4, pr
         F.sum("profit_percent").alias("percent_sum"), F.avg("profit_percent").alias("percent_mean"),
         F.stddev_samp("profit_percent").alias("percent_std"), F.min("profit_percent").alias("percent_min"),
         F.max("profit_percent").alias("percent_max"))
-    return stats.join(exact_quantile(recent, keys, "profit_percent", 0.5, "percent_median"), keys, "left")
+    return join_on(stats, exact_quantile(recent, keys, "profit_percent", 0.5, "percent_median"), keys, "left")
 
 
 # -- parameter sweep -------------------------------------------------------------------------
@@ -238,7 +245,8 @@ def sweep(frame: SeriesFrame, scores: list[str], price: str, grid: dict[str, lis
     totals = traded.groupBy("param_id", *frame.keys).agg(*_measures(exact=not direction))
     span = base.groupBy(*frame.keys).agg(months(F.min(frame.ts), F.max(frame.ts)).alias("months"))
     every = span.crossJoin(F.broadcast(params))
-    measured = every.join(totals, ["param_id", *frame.keys], "left").fillna(0)
+    counted = [c for c in totals.columns if c not in ("param_id", *frame.keys)]
+    measured = join_on(every, totals, ["param_id", *frame.keys], "left").fillna(0, counted)
     measured = measured.withColumns({
         "transactions_per_month": F.round(ratio(F.col("transactions").cast("double"), F.col("months")), 2),
         "profit_per_month": F.round(ratio(F.col("profit"), F.col("months")), 2),

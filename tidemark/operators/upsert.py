@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.frame import join_on
+
 
 def combine_update(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Union of the rows; non-NULL new cells overwrite, all others keep the old value."""
@@ -24,13 +26,13 @@ def combine_update(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 def replace_from(old: DataFrame, new: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """Drop the old rows from the first new row of their series on, then append the new rows."""
     starts = new.groupBy(*keys).agg(F.min(ts).alias("__start"))
-    kept = old.join(starts, keys, "left").where(F.col("__start").isNull() | (F.col(ts) < F.col("__start"))).drop("__start")
+    kept = join_on(old, starts, keys, "left").where(F.col("__start").isNull() | (F.col(ts) < F.col("__start"))).drop("__start")
     return kept.unionByName(new)
 
 
 def replace_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """New rows replace old rows of equal key entirely."""
-    return old.join(new.select(*key), key, "left_anti").unionByName(new)
+    """New rows replace old rows of equal key entirely; a key may hold NULL."""
+    return join_on(old, new.select(*key), key, "left_anti").unionByName(new)
 
 
 def overlap_differences(previous: DataFrame, recomputed: DataFrame, key: list[str], columns: list[str],
