@@ -80,19 +80,19 @@ g AS (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS ts FROM
 
 
 def _bars_beside_transactions(spark, sf_dir):
-    bars = inputs.bars(spark, sf_dir).df.where("series = 'purchase'").withColumn("series", F.lit("all"))
-    flags = resample.resample_flags(_event_flags(spark, sf_dir), "series", "1h", ["buy_long", "sell_long"]).df.drop("pos")
-    return resample.bars_with_transactions(bars, flags, "series")
+    flags = _event_flags(spark, sf_dir).withColumn("series", F.when(F.col("buy_long"), "purchase").otherwise("error"))
+    flags = resample.resample_flags(flags, "series", "1h", ["buy_long", "sell_long"]).df.drop("pos")
+    return resample.bars_with_transactions(inputs.bars(spark, sf_dir).df, flags, "series")
 
 
 register("bars_beside_transactions", "series:s ts:b close:d buy_long:b sell_long:b", _bars_beside_transactions,
          EVENT_SQL + """,
-f AS (SELECT date_trunc('hour', ts) AS h, bool_or(event_type = 'purchase') AS b, bool_or(event_type = 'error') AS s
-  FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1),
-g AS (SELECT unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM f),
-flags AS (SELECT g.h, coalesce(b, false) AS b, coalesce(s, false) AS s FROM g LEFT JOIN f ON g.h = f.h)""",
-         f"""SELECT 'all' AS series, {EPOCH}, close, b AS buy_long, s AS sell_long
-  FROM bars LEFT JOIN flags ON ts = flags.h WHERE series = 'purchase'""")
+f AS (SELECT event_type AS series, date_trunc('hour', ts) AS h, bool_or(event_type = 'purchase') AS b, bool_or(event_type = 'error') AS s
+  FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1, 2),
+g AS (SELECT series, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM f GROUP BY series),
+flags AS (SELECT g.series, g.h, coalesce(b, false) AS b, coalesce(s, false) AS s FROM g LEFT JOIN f ON g.h = f.h AND g.series = f.series)""",
+         f"""SELECT bars.series, {EPOCH}, close, b AS buy_long, s AS sell_long
+  FROM bars LEFT JOIN flags ON ts = flags.h AND bars.series = flags.series""")
 
 
 # -- merging ---------------------------------------------------------------------------------

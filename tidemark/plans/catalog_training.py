@@ -80,7 +80,7 @@ ALGORITHMS = [
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    df, names = ML.embedding_features(inputs.table(spark, sf_dir, "embeddings"), "embedding", 8)
+    df, names = ML.embedding_features(inputs.table(spark, sf_dir, "embeddings"), "embedding", 64)
     # a missing input where the element is far out, to exercise the NULL rule
     df = df.withColumns({"e0": F.when(F.abs("e0") < 0.2, F.col("e0")), "low": (F.col("label") < 5).cast("int")})
     return df.drop("embedding"), names
@@ -145,32 +145,39 @@ def _walk(spark, sf_dir):
 WALK_FEATURES = ["close_mean_6", "close_mean_24", "close_std_24"]
 
 
-def _folds():
-    return ML.resolve_folds(700, 6, None, 100, 3, 300)
+def _folds(frame):
+    return ML.resolve_folds(ML.longest(frame), 6, None, 100, 3, 300)
 
 
 def _fold_counts(spark, sf_dir):
-    rows = ML.fold_rows(inputs.ticks(spark, sf_dir), ML.resolve_folds(5000, 24, None, 800, 4, 2000))
+    frame = inputs.ticks(spark, sf_dir)
+    length = ML.longest(frame)
+    rows = ML.fold_rows(frame, ML.resolve_folds(length, 24, None, length // 6, 4, 2000))
     return rows.groupBy("series", "step", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
 
 
 register("walk_forward_folds", "series:s step:b role:s n:b total:d", _fold_counts,
          TICKS_SQL + """,
-folds AS (SELECT k AS step, 1800 + k * 800 AS a, 1800 + k * 800 + 800 AS b, 1800 + k * 800 - 25 AS e FROM (SELECT unnest([0, 1, 2, 3]) AS k)),
+size AS (SELECT max(pos) + 1 AS n, (max(pos) + 1) // 6 AS s FROM ticks),
+folds AS (SELECT k AS step, n - (4 - k) * s AS a, n - (3 - k) * s AS b, n - (4 - k) * s - 25 AS e FROM size, (SELECT unnest([0, 1, 2, 3]) AS k)),
 r AS (SELECT step, 'train' AS role, greatest(0, e - 2000) AS lo, e AS hi FROM folds UNION ALL SELECT step, 'predict', a, b FROM folds)""",
          "SELECT series, step, role, count(*) AS n, sum(price) AS total FROM ticks JOIN r ON pos >= lo AND pos < hi GROUP BY 1, 2, 3")
 
 register("walk_forward", "series:s ts:b step:b rise:b rise_lc:d",
-         lambda s, d: ML.walk_forward(_walk(s, d), WALK_FEATURES, ["rise"], [{"name": "lc", "algo": "lc", "train": {"max_iter": 10, "reg": 0.01}}], _folds())[0])
+         lambda s, d: ML.walk_forward((f := _walk(s, d).settle()), WALK_FEATURES, ["rise"], [{"name": "lc", "algo": "lc", "train": {"max_iter": 10, "reg": 0.01}}], _folds(f))[0])
 
 
 def _walk_coverage(spark, sf_dir):
-    scored, _ = ML.walk_forward(_walk(spark, sf_dir), WALK_FEATURES, ["rise"], [{"name": "gb", "algo": "gb", "train": {"max_depth": 2, "num_boost_round": 2}}], _folds())
+    frame = _walk(spark, sf_dir).settle()
+    scored, _ = ML.walk_forward(frame, WALK_FEATURES, ["rise"], [{"name": "gb", "algo": "gb", "train": {"max_depth": 2, "num_boost_round": 2}}], _folds(frame))
     return scored.groupBy("series", "step").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count("rise_gb").alias("scored"))
 
 
-register("walk_forward_coverage", "series:s step:b first_row:b last_row:b scored:b", _walk_coverage, EVENT_SQL,
-         "SELECT series, step, 400 + 100 * step AS first_row, 499 + 100 * step AS last_row, 100 AS scored FROM (SELECT DISTINCT series FROM bars), (SELECT unnest([0, 1, 2]) AS step)")
+register("walk_forward_coverage", "series:s step:b first_row:b last_row:b scored:b", _walk_coverage, EVENT_SQL + """,
+r AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY pos) - 1 AS k FROM bars),
+size AS (SELECT max(k) + 1 AS n FROM r),
+folds AS (SELECT step, n - 300 + 100 * step AS a FROM size, (SELECT unnest([0, 1, 2]) AS step))""",
+         "SELECT series, step, min(k) AS first_row, max(k) AS last_row, count(*) AS scored FROM r JOIN folds ON k >= a AND k < a + 100 GROUP BY series, step")
 
 
 def _fitted(spark, sf_dir):
