@@ -96,9 +96,11 @@ def within_one_word(a: Column, b: Column) -> Column:
 
 def line_decisions(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """did, line, kept for every line with words of ``documents`` (doc_id, text); did is the id, or the largest number for NULL."""
-    lines = _line_rows(documents)
+    # texts are split and hashed once; from here on a line is its place, its hash and the keys of its halves
+    halves = F.when(F.col("n") >= min_words, _half_keys()).alias("halves")
+    lines = keep(_line_rows(documents).select(*_AT, *_ID, halves), "lines")
     firsts = keep(lines.groupBy(*_ID).agg(F.min(F.struct(*_AT)).alias("at")).select(*_ID, "at.did", "at.line"), "firsts")
-    halves = lines.where(F.col("n") >= min_words).select(*_AT, "t1", F.explode(_half_keys()).alias("key"))
+    halves = lines.select(*_AT, "t1", F.explode("halves").alias("key"))
     shared = keep(halves.groupBy("key").agg(F.min("t1").alias("a"), F.max("t1").alias("b")).where("a < b").select("key"), "halves")
     # lines that share a half, and which
     found = halves.drop("t1").join(shared, "key").groupBy(*_AT).agg(F.max(F.col("key").bitwiseAND(F.lit(1)) == 0).alias("first_half"), F.max(F.col("key").bitwiseAND(F.lit(1)) == 1).alias("last_half"))
