@@ -128,9 +128,9 @@ def line_decisions(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``documents`` with the lines that stay as text, and n_lines and n_removed."""
-    gone = line_decisions(documents.select("doc_id", "text"), min_words).where("not kept").groupBy("did").agg(F.collect_set(F.col("line").cast("int")).alias("__gone"))
+    gone = line_decisions(documents.select("doc_id", "text"), min_words).where("not kept").groupBy("did").agg(F.collect_set(F.col("line").cast("int")).alias("__gone")).withColumnRenamed("did", "__of")
     ids = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
-    rows = documents.withColumn("__did", ids).join(gone, F.col("__did") == F.col("did"), "left").drop("did", "__did")
+    rows = documents.withColumn("__did", ids).join(gone, F.col("__did") == F.col("__of"), "left").drop("__of", "__did")
     rows = rows.withColumn("__lines", F.split(F.col("text").cast("string"), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("__lines", i)), "\n"))
