@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from conftest_llm import prose, words
+from samples_llm import docs_of, prose, words  # noqa: F401
 
 from tidemark.llm import html, language, mixing, packing
 from tidemark.llm.queries import tokenizer_files

@@ -3,7 +3,7 @@
 import hashlib
 
 import pytest
-from conftest_llm import prose, words
+from samples_llm import docs_of, prose, words  # noqa: F401
 
 from tidemark.llm import lines, minhash, substring
 
