@@ -16,10 +16,13 @@ Rules
 
 Scale: equal sets become one node before anything else.  Inside a bucket nothing is paired with
 everything: its most popular member is compared with the rest, and those not yet in one component
-go on with more such pivots (four times as many each round) until every bucket is one component or
-all its pairs are decided.  A hot bucket costs its size, not its square, if its members are alike;
-nothing is capped.  Sets are made again from the text for candidates only, and the pairs of a
-popular pivot are a join that Spark may split.
+go on with more such pivots (sixteen times as many each round) until every bucket is one component
+or all its pairs are decided.  From the second round on the join of a bucket with its pivots looks
+at sketches first, one bit for each of 1024 hashes of a set: only pairs whose sketches agree as
+often as those of similar sets do, less four standard deviations, come out of it and are confirmed.
+That may miss a link once in thirty thousand, as the bands may.  Nothing is capped.  Sets and
+sketches are made again from the text for candidates only, and the pairs of a popular pivot are a
+join that Spark may split.
 """
 
 from __future__ import annotations
@@ -36,12 +39,17 @@ SHINGLE = 5
 PERMUTATIONS = 32
 BAND_VALUES = 4
 PERCENT = 85
-GROWTH = 4
+GROWTH = 16
+#: Bits of a sketch, two from each permutation, and how far below the expected agreement a pair may be.
+SKETCH_BITS = 1024
+DEVIATIONS = 4.0
 PIECE_BYTES = 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLY = mix64(np.arange(1000, 1000 + PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix64(np.arange(5000, 5000 + PERMUTATIONS, dtype=np.uint64))
+_SKETCH_MULTIPLY = mix64(np.arange(20_000, 20_000 + SKETCH_BITS // 2, dtype=np.uint64)) | np.uint64(1)
+_SKETCH_ADD = mix64(np.arange(30_000, 30_000 + SKETCH_BITS // 2, dtype=np.uint64))
 
 
 def shingle_sets(array) -> tuple[np.ndarray, np.ndarray]:
@@ -98,12 +106,40 @@ def _sign(batches):
             yield pa.RecordBatch.from_arrays([part.column(0), *cols, lists], names=["doc_id", "n", "d1", "d2", "bands"])
 
 
+def sketches(owner: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
+    """One bit of the smallest and of the largest hash of each set under further permutations, as 64-bit words."""
+    have, first = np.unique(owner, return_index=True)
+    out = np.zeros((rows, SKETCH_BITS // 64), np.uint64)
+    for p in range(SKETCH_BITS // 2 if len(have) else 0):
+        x = shingle * _SKETCH_MULTIPLY[p] + _SKETCH_ADD[p]
+        x ^= x >> np.uint64(32)
+        word, place = divmod(2 * p, 64)
+        low, high = mix64(np.minimum.reduceat(x, first)) & np.uint64(1), mix64(np.maximum.reduceat(x, first)) & np.uint64(1)
+        out[have, word] |= (low << np.uint64(place)) | (high << np.uint64(place + 1))
+    return out
+
+
 def _sets(batches):
     for batch in batches:
         for part in row_runs(batch, 1, PIECE_BYTES):
             owner, shingle = shingle_sets(part.column(1))
             at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64)))], names=["node", "shingles"])
+            bits = sketches(owner, shingle, part.num_rows)
+            words = np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64))), pa.ListArray.from_arrays(pa.array(words), pa.array(bits.view(np.int64).ravel()))],
+                names=["node", "shingles", "sketch"],
+            )
+
+
+def _may_be_similar(a: str, b: str, percent: int) -> Column:
+    """Whether two sketches agree as often as those of similar sets, less some deviations."""
+    agree = (1 + percent / 100) / 2
+    least = SKETCH_BITS * agree - DEVIATIONS * (SKETCH_BITS * agree * (1 - agree)) ** 0.5
+    differ = F.lit(0)
+    for k in range(SKETCH_BITS // 64):
+        differ = differ + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
+    return differ <= int(SKETCH_BITS - least)
 
 
 def _similar(percent: int) -> Column:
@@ -126,9 +162,14 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
     popular = members.groupBy("node").agg(F.sum("size").alias("popular"))
     members = keep(members.drop("size").join(popular, "node"), "members")
     wanted = popular.select("node")
-    sets = keep(docs.join(wanted, docs["doc_id"] == wanted["node"]).select("doc_id", "text").mapInArrow(_sets, "node long, shingles array<long>"), "sets")
-    links = spark.createDataFrame([], "a long, b long")
-    component = spark.createDataFrame([], "id long, component long")
+    sets = keep(docs.join(wanted, docs["doc_id"] == wanted["node"]).select("doc_id", "text").mapInArrow(_sets, "node long, shingles array<long>, sketch array<long>"), "sets")
+    # rows that share an id but not a set are one node
+    own = nodes.select(F.col("n").alias("sn"), F.col("d1").alias("s1"), F.col("d2").alias("s2"), "node")
+    placed = rows.join(own, (rows["n"] == own["sn"]) & (rows["d1"] == own["s1"]) & (rows["d2"] == own["s2"]) & rows["doc_id"].isNotNull(), "left")
+    placed = keep(placed.select("doc_id", "n", "node"), "placed")
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("doc_id", "b")
+    links = keep(placed.join(several, "doc_id").where("node > b").select(F.col("node").alias("a"), "b"), "pairs")
+    component = spark.createDataFrame([], "id long, component long") if links.isEmpty() else components(links)
     slices = 1
     while True:
         # buckets that are not one component yet, and their pivots
@@ -141,14 +182,19 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
         part = F.pmod(F.xxhash64("node", F.lit(slices)), F.lit(slices))
         pivots = keep(open_rows.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("popular", -F.col("node"), "component", "n")).alias("p")).select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.component").alias("pivot_component"), F.col("p.n").alias("pivot_n")), "pivots")
         near = (F.col("component") != F.col("pivot_component")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-        pairs = open_rows.join(pivots, "bucket").where(near).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+        if slices > 1:
+            open_sides = open_rows.join(sets.select("node", "sketch"), "node")
+            pivot_sides = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
+            near = near & _may_be_similar("sketch", "pivot_sketch", percent)
+        else:
+            open_sides, pivot_sides = open_rows, pivots
+        pairs = open_sides.join(pivot_sides, "bucket").where(near).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
         found = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         links = keep(links.union(found.where(_similar(percent)).select("a", "b")), "pairs")
         component = components(links)
         # a pivot has met its whole bucket; where rows share an id, their node leaves with it
         members = keep(open_rows.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "popular"), "members")
         slices *= GROWTH
-    named = nodes.join(component, nodes["node"] == component["id"], "left").select(F.col("n").alias("sn"), F.col("d1").alias("s1"), F.col("d2").alias("s2"), F.coalesce("component", "node").alias("component"))
-    out = rows.join(named, (rows["n"] == named["sn"]) & (rows["d1"] == named["s1"]) & (rows["d2"] == named["s2"]) & rows["doc_id"].isNotNull(), "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = placed.join(component, placed["node"] == component["id"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
