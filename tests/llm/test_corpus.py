@@ -210,6 +210,23 @@ def test_html(page, text):
     assert html.page_text(page).replace("\n\n> r", "\n\n> r") == text
 
 
+IMPLIED_BODY = [
+    ("<html><head><title>T</title><p>Hello <b>all</b></html>", "Hello all"),
+    ("<head><meta charset=utf-8><link rel=x>\n Hello<p>you", "Hello\n\nyou"),
+    ("<head><title>T</title><style>p{}</style><script>1<2</script><noscript><img alt=no></noscript><h1>A</h1><body class=x>b</body>", "A\n\nb"),
+    ("<p>a<head><title>T</title><p>b</head>c", "a\n\nbc"),
+    ("<head></head><head><title>T</title>a<head>b", "ab"),
+    ("<head><title>T</title><html lang=en><body><p>a", "a"),
+    ("<head><title>T</title></head>a", "a"),
+    ("<head><template><p>no</template> <body>a", "a"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), IMPLIED_BODY)
+def test_html_head_ends_where_the_body_begins(page, text):
+    assert html.page_text(page) == text
+
+
 def test_html_keeps_all_visible_words():
     rng = np.random.default_rng(7)
     tags = ["p", "div", "b", "ul", "li", "table", "tr", "td", "span", "h2", "pre", "ol", "section", "dd"]

@@ -11,6 +11,8 @@ Rules
     * Hidden are head, script, style, template, noscript and the like, ``hidden`` attributes, styles
       with ``display: none`` or ``visibility: hidden``, and hidden inputs.  An element nested deeper
       than ``max_depth`` is taken as a child of the one at that depth.
+    * A head ends at its end tag, or where something starts that is no part of a head: text, or any
+      element that is not of a head.  Later head tags are skipped.
     * Rows that repeat an id, NULL ids and extra columns pass through.
 
 Each page is rendered alone, in one Arrow batch at a time; pages need no shuffle.
@@ -33,6 +35,7 @@ MAX_DEPTH = 200
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript title meta link base iframe object audio video canvas svg math datalist select noembed noframes".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
     "hr html legend li main menu nav ol p pre search section summary table ul tr caption xmp".split()
@@ -71,12 +74,23 @@ def build(page: str, max_depth: int = MAX_DEPTH) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     open_nodes, at = [root], 0
+    begun = False
 
     def close(upto: int) -> None:
         del open_nodes[max(1, upto) :]
 
+    def begin_body() -> None:
+        nonlocal begun
+        begun = True
+        if open_nodes[-1].name == "head":
+            body = Node("body", {})
+            open_nodes[-2].children.append(body)
+            open_nodes[-1] = body
+
     def add_text(text: str) -> None:
         if text:
+            if _SPACE.sub("", text):
+                begin_body()
             open_nodes[-1].children.append(unescape(text))
 
     while found := _TAG.search(page, at):
@@ -97,8 +111,12 @@ def build(page: str, max_depth: int = MAX_DEPTH) -> Node:
                     open_nodes[-1].children.append(Node("p", {}))
             continue
         attributes = {a[0].lower(): unescape(a[1] or a[2] or a[3]) for a in _ATTRIBUTE.findall(found[3])}
-        if name in ("html", "body") and any(n.name == name for n in open_nodes[name == "html" :]):
+        if name == "html" and len(open_nodes) > 1 or name == "head" and begun or name == "body" and any(n.name == name for n in open_nodes):
             continue
+        if name == "head":
+            begun = True
+        elif name != "body" and name != "html" and name not in HEAD:
+            begin_body()
         if name in ENDS:
             ended, barrier = ENDS[name]
             lowest = None
