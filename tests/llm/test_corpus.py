@@ -227,6 +227,37 @@ def test_html_head_ends_where_the_body_begins(page, text):
     assert html.page_text(page) == text
 
 
+SHOWN = [
+    ("a<svg viewBox='0 0 1 1'><title>no</title><defs><text>no</text></defs>no<g><text x=1>one<tspan x=1>two</tspan></text><text/><text>three</text></g></svg>b", "a one two three b"),
+    ("<svg><defs/><style>p > q</style><title/><path d='M0'/><text><a href=x>l</a>k<![CDATA[<m>&]]></text><foreignObject><p>f</p></foreignObject></svg>x", "lk<m>&\n\nf\n\nx"),
+    ("<svg><g><path d='M0'><p>after<text>x", "afterx"),
+    ("<svg><text visibility=hidden>no<tspan visibility=visible>yes</tspan></text><text display=none>no</text></svg>", "yes"),
+    ("if <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><mphantom><mi>no</mi></mphantom><mtext>so</mtext></math>.", "if x=1 2 so."),
+    ("<math><semantics><mi>y</mi><annotation encoding=tex>no</annotation></semantics></math>", "y"),
+    ("Size <select><option>S<option selected>M<option>L</select>!", "Size M !"),
+    ("<select><option disabled>no<optgroup label=no disabled><option>no</optgroup><optgroup label=no><option label=two>no</select>", "two"),
+    ("<select multiple><optgroup label=g><option>a<option>b</select>c", "g\na\nb\nc"),
+    ("<select><option>a<input value=b>c", "a bc"),
+    ("a<![CDATA[no>b]]>c", "ab]]>c"),
+    ("a<!-->b<p>c<!--->d<!-- no > --!>e<!-- no", "ab\n\ncde"),
+    ("<div style='visibility:hidden'>no<p>no <b style='visibility: visible'>yes <i>too</i></b><img alt=no></div>", "yes too"),
+    ("<ol style='visibility:hidden'><li>no<li style='visibility:visible'>b</ol><p style='visibility:hidden;VISIBILITY:visible'>c", "2. b\n\nc"),
+    ("<table><tr style='visibility:collapse'><td style='visibility:visible'>no<tr><td>a</table>", "a"),
+    ("<p style='backface-visibility:hidden'>a<p style='display:none;display:block'>b<p style='/* x */display:none'>no", "a\n\nb"),
+    ("<pre>a <select><option>b</select><img alt=c></pre>", "a bc"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SHOWN)
+def test_html_shows_what_a_browser_shows(page, text):
+    assert html.page_text(page) == text
+
+
+def test_html_text_below_the_depth():
+    assert "w" in html.page_text("<svg>" + "<g>" * 500 + "<text>w").split()
+    assert "w" in html.page_text("<svg><foreignObject>" * 500 + "w").split()
+
+
 def test_html_keeps_all_visible_words():
     rng = np.random.default_rng(7)
     tags = ["p", "div", "b", "ul", "li", "table", "tr", "td", "span", "h2", "pre", "ol", "section", "dd"]
