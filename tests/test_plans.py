@@ -1,6 +1,8 @@
 """Specs, sources, merging, models and streams."""
 
 import os
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -114,6 +116,26 @@ def test_folds():
         ML.resolve_folds(100, 5, start=90, size=10, steps=4)
 
 
+def test_every_series_is_walked_over_its_own_length(make_frame, monkeypatch):
+    """As the query walk_forward calls it: series of 400, 37 and 2 rows."""
+    from tidemark.plans import catalog_training as C
+    from tidemark.plans.catalog import CATALOGUE
+
+    rng = np.random.default_rng(5)
+    sizes = {"a": 400, "b": 37, "c": 2}
+    data = {k: {c: rng.normal(size=n) for c in C.WALK_FEATURES} | {"rise": rng.integers(0, 2, n).astype(int)} for k, n in sizes.items()}
+    frame, trained = make_frame(data), []
+    monkeypatch.setattr(C, "_walk", lambda spark, sf_dir: frame)
+    train_all = ML.train_all
+    monkeypatch.setattr(ML, "train_all", lambda df, *rest: trained.append(Counter(r.series for r in df.collect())) or train_all(df, *rest))
+    rows = CATALOGUE["walk_forward"].build(None, None).collect()
+    got = {(r.series, int(r.ts) // 3600 - 5): r.step for r in rows}
+    assert len(got) == len(rows)
+    assert got == {(k, i): step for k, n in sizes.items() for step in range(3) for i in range(n * (step + 1) // 4, n * (step + 2) // 4)}
+    known = [{k: max(0, n * (step + 1) // 4 - 7) for k, n in sizes.items()} for step in range(3)]
+    assert sorted(map(dict, trained), key=lambda x: x["a"]) == [{k: v for k, v in x.items() if v} for x in known]
+
+
 @pytest.mark.parametrize("algo", ["lc", "gb", "svc", "nn"])
 def test_rows_with_nulls_keep_their_place(spark, algo):
     train = spark.createDataFrame([(float(x), float(x * 2), y) for x, y in zip([1, 2, 3, 2, 1], [0, 1, 0, 1, 0])] * 4, "x double, z double, y int")

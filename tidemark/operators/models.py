@@ -200,6 +200,27 @@ def resolve_folds(length: int, label_horizon: int, start: int | None = None, siz
     return [fold(k) for k in range(steps)]
 
 
+@dataclass(frozen=True)
+class SeriesFolds:
+    """Folds over each series' own length.
+
+    A series is cut into steps + 1 parts whose lengths differ by one row at most; step k predicts part
+    k + 1 and trains on the rows before it whose labels do not look into it, ``train_length`` of them
+    if given.  Every row after a series' first part is predicted once, however short the series is.
+    """
+
+    steps: int
+    label_horizon: int
+    train_length: int | None = None
+
+    def ranges(self, step: int) -> list[Column]:
+        """Start and end of training and of prediction, from the rows of a series (``n_rows``)."""
+        cut = lambda part: F.expr(f"n_rows * {part} div {self.steps + 1}")
+        known = F.greatest(F.lit(0), cut(step + 1) - self.label_horizon - 1)
+        first = F.greatest(F.lit(0), known - self.train_length) if self.train_length else F.lit(0)
+        return [first, known, cut(step + 1), cut(step + 2)]
+
+
 def longest(frame: SeriesFrame) -> int:
     """Rows of the longest series, the length over which folds are laid."""
     return frame.bounds().agg(F.max(F.col("last_pos") - F.col("first_pos") + 1)).first()[0] or 0
@@ -220,25 +241,30 @@ def fold_rows(frame: SeriesFrame, folds: list[Fold]) -> DataFrame:
     return rows.join(F.broadcast(table), inside).drop("first_row", "end_row")
 
 
-def walk_forward(frame: SeriesFrame, features: list[str], labels: list[str], algorithms: list[dict], folds: list[Fold],
+def walk_forward(frame: SeriesFrame, features: list[str], labels: list[str], algorithms: list[dict], folds: list[Fold] | SeriesFolds,
                  parallel: int = 2) -> tuple[DataFrame, list[str]]:
     """Train on the past and score the next rows, fold by fold; returns the scored rows.
 
     The rows are written once; the folds are independent Spark jobs started side by side.
     """
     keys, order = list(frame.keys), [frame.ts]
-    rows = frame.attach(frame.bounds()).withColumn("row_no", F.col(frame.pos) - F.col("first_pos")).drop("first_pos", "last_pos")
-    rows = settle(rows)
+    rows = frame.attach(frame.bounds()).withColumns({"row_no": F.col(frame.pos) - F.col("first_pos"), "n_rows": F.col("last_pos") - F.col("first_pos") + 1})
+    rows = settle(rows.drop("first_pos", "last_pos"))
+    if isinstance(folds, SeriesFolds):
+        ranges = [(k, *folds.ranges(k)) for k in range(folds.steps)]
+    else:
+        ranges = [(f.step, f.train_start, f.train_end, f.predict_start, f.predict_end) for f in folds]
     names = [f"{label}_{a['name']}" for label in labels for a in algorithms]
 
-    def run(fold: Fold) -> DataFrame:
-        train = rows.where((F.col("row_no") >= fold.train_start) & (F.col("row_no") < fold.train_end))
+    def run(fold: tuple) -> DataFrame:
+        step, train_start, train_end, predict_start, predict_end = fold
+        train = rows.where((F.col("row_no") >= train_start) & (F.col("row_no") < train_end)).drop("n_rows")
         models = train_all(train, features, labels, algorithms, keys, order)
-        ahead = rows.where((F.col("row_no") >= fold.predict_start) & (F.col("row_no") < fold.predict_end))
-        return predict_all(ahead, features, labels, algorithms, models)[0].withColumn("step", F.lit(fold.step))
+        ahead = rows.where((F.col("row_no") >= predict_start) & (F.col("row_no") < predict_end)).drop("n_rows")
+        return predict_all(ahead, features, labels, algorithms, models)[0].withColumn("step", F.lit(step))
 
     with ThreadPoolExecutor(max_workers=parallel) as pool:
-        parts = list(pool.map(run, folds))
+        parts = list(pool.map(run, ranges))
     return reduce(DataFrame.unionByName, parts), names
 
 

@@ -164,7 +164,7 @@ r AS (SELECT step, 'train' AS role, greatest(0, e - 2000) AS lo, e AS hi FROM fo
          "SELECT series, step, role, count(*) AS n, sum(price) AS total FROM ticks JOIN r ON pos >= lo AND pos < hi GROUP BY 1, 2, 3")
 
 register("walk_forward", "series:s ts:b step:b rise:b rise_lc:d",
-         lambda s, d: ML.walk_forward((f := _walk(s, d).settle()), WALK_FEATURES, ["rise"], [{"name": "lc", "algo": "lc", "train": {"max_iter": 10, "reg": 0.01}}], _folds(f))[0])
+         lambda s, d: ML.walk_forward(_walk(s, d).settle(), WALK_FEATURES, ["rise"], [{"name": "lc", "algo": "lc", "train": {"max_iter": 10, "reg": 0.01}}], ML.SeriesFolds(3, 6))[0])
 
 
 def _walk_coverage(spark, sf_dir):
