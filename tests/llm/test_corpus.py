@@ -107,6 +107,25 @@ def test_phrases_are_longest_matches():
     assert has.tolist() == [True, True, True, False, False, False, True, True, True, True, True]
 
 
+@pytest.mark.parametrize("most", [0, 1, 6])
+def test_rare_characters_are_parsed_too(most):
+    samples = {"ja": "日本語の文字を読む日本の人", "ko": "한국어 글자를 읽는 한국 사람", "zh": "中文字读日本中文的人们"}
+    texts = ["日本の文字", "中文的人们读中文", "한국 사람 abc", "人人人日本語", "x", "읽는日本"]
+    p = language.Parser(samples, block=5, max_alphabet=most)
+    cost, _ = p.costs(texts)
+    assert np.allclose(cost / p.price[:, None], [[greedy_phrases(samples[k], t, 5) for t in texts] for k in p.languages])
+
+
+def test_languages_of_long_texts_only_are_learned(docs_of):
+    long = {"de": "der und nicht straße " * 60, "en": "12 " * 400 + "the and not street " * 60}
+    rows = [*((i, long[k], k) for i, k in enumerate(["de", "en"] * 3)), (8, "le la et rue", "fr"), (9, "la maison " * 60, "fr")]
+    samples = language.fit(docs_of(rows), doc_chars=100, language_chars=400)
+    assert set(samples) == {"de", "en", "fr"} and all(len(v) <= 400 for v in samples.values())
+    assert samples["en"].startswith("the and") and samples["fr"].startswith("le la et rue la maison")
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs_of([(1, "nicht der", None), (2, "not the", None), (3, "la rue", None)]), samples).collect()}
+    assert got == {1: "de", 2: "en", 3: "fr"}
+
+
 def test_language(docs_of):
     rng = np.random.default_rng(1)
     vocab = {"de": "der die und nicht über straße haus", "en": "the and of house not over street", "fr": "le la et maison ne pas déjà rue"}

@@ -6,7 +6,8 @@ language that needs the fewest phrases, each priced by what naming a place in it
 
 Rules
     * Letters are taken in lower case; a run of anything else is one space.  Characters that no
-      labelled text has, or that are beyond the ``max_alphabet`` most frequent, are phrases alone.
+      learned text has are phrases alone.  The ``max_alphabet`` most frequent ones are looked up in a
+      dense table, rarer ones in a sorted list; this changes the time only.
     * Texts are parsed in blocks of ``block`` characters, so that a very long text is many short
       parses; a phrase ends where its block ends.
     * NULL texts and texts without a letter are ``und`` with score 0; so is every text if nothing was
@@ -15,8 +16,9 @@ Rules
     * Other columns than text do not enter a prediction and pass through.
 
 Fitting takes at most ``sample_docs`` labelled documents of each language, in the order of a hash of
-their ids, none longer than ``doc_chars``, and of their text at most ``language_chars`` characters:
-documents are taken whole while they fit.  Every document is classified, over its whole text.
+their ids, and of their text at most ``language_chars`` characters: documents of up to ``doc_chars``
+characters come first and are taken whole while they fit, then longer ones with the ``doc_chars``
+characters from their first letter on.  Every document is classified, over its whole text.
 """
 
 from __future__ import annotations
@@ -63,8 +65,8 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
 
 
-def automaton(symbols: list[int], width: int) -> np.ndarray:
-    """Transitions of the suffix automaton of a sequence: next state by (state, symbol), -1 for none."""
+def automaton(symbols: list[int]) -> list[dict[int, int]]:
+    """Transitions of the suffix automaton of a sequence: for each state, the next state by symbol."""
     link, length, edges = [-1], [0], [{}]
     last = 0
     for c in symbols:
@@ -90,19 +92,16 @@ def automaton(symbols: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(edges), width), -1, np.int32)
-    for s, e in enumerate(edges):
-        for c, t in e.items():
-            table[s, c] = t
-    return table
+    return edges
 
 
 class Parser:
     """Cross parsing against the automata of several languages at once.
 
-    Symbols are numbers below ``width``, 0 for unknown characters.  In the joint table a missing
+    Symbols are numbers below ``width``, 0 for unknown characters, and from ``width`` on for rare ones.  In the joint table a missing
     transition leads to where the symbol leads from the start of a new phrase, and is marked; a
     symbol that starts no phrase leads to a state of its own that every symbol leaves with a mark.
+    Transitions by rare symbols are a sorted list of state and symbol.
     """
 
     def __init__(self, samples: dict[str, str], block: int = BLOCK, max_alphabet: int = MAX_ALPHABET):
@@ -111,27 +110,47 @@ class Parser:
         seen = Counter()
         for t in texts.values():
             seen.update(t.tolist())
-        alphabet = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:max_alphabet]]
+        found = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        alphabet, rare = found[:max_alphabet], found[max_alphabet:]
         self.width = width = 1 << len(alphabet).bit_length()
         self.symbol = np.zeros(0x110000, np.int32)
         self.symbol[alphabet] = np.arange(1, len(alphabet) + 1)
-        tables = [automaton([int(x) for x in self.symbol[texts[k]] if x], width) for k in self.languages]
+        self.symbol[rare] = width + np.arange(len(rare))
+        self.rare = len(rare)
+        tables = [automaton(self.symbol[texts[k]].tolist()) for k in self.languages]
         total = sum(len(t) + 1 for t in tables) * width
         self.bits = 30 if total < 1 << 30 else 60
         mark, kind = 1 << self.bits, np.int32 if self.bits == 30 else np.int64
-        parts, self.start, base = [], [], 0
-        for t in tables:
-            alone = len(t)
-            t = np.vstack([t, np.full((1, width), -1, t.dtype)]).astype(np.int64)
+        parts, self.start, base, steps = [], [], 0, []
+        self.rare_root = np.zeros((len(tables), self.rare), np.int64)
+        for k, edges in enumerate(tables):
+            alone = len(edges)
+            t = np.full((alone + 1, width), -1, np.int64)
+            self.rare_root[k] = (base + alone) * width + mark
+            for s, e in enumerate(edges):
+                for c, to in e.items():
+                    if c < width:
+                        t[s, c] = to
+                    else:
+                        steps.append(((base + s) * self.rare + c - width, (base + to) * width))
+                        if s == 0:
+                            self.rare_root[k, c - width] = (base + to) * width + mark
             root = np.where(t[0] >= 0, t[0], alone)
             joint = np.where(t >= 0, (t + base) * width, (root[None, :] + base) * width + mark)
             parts.append(joint.astype(kind).ravel())
             self.start.append((base + alone) * width)
             base += alone + 1
         self.table = np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.rare_keys, self.rare_to = np.array(sorted(steps), np.int64).reshape(-1, 2).T
         # a phrase names a place in its language's text
         self.price = np.array([np.log2(max(2, len(texts[k]))) for k in self.languages])
 
+    def _rare_step(self, state: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """What the joint table would hold for rare symbols."""
+        key = state.astype(np.int64) // self.width * self.rare + rare
+        at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+        return np.where(self.rare_keys[at] == key, self.rare_to[at], self.rare_root[:, rare])
+
     def phrases(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each block under each language; blocks come longest first."""
         n, kind = len(starts), self.table.dtype.type
@@ -140,7 +159,13 @@ class Parser:
         live = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1 if n else 1), "right")
         low = kind((1 << self.bits) - 1)
         for t, m in enumerate(live.tolist()):
-            got = self.table.take(state[:, :m] + symbols[starts[:m] + t])
+            symbol = symbols[starts[:m] + t]
+            rare = np.flatnonzero(symbol >= self.width) if self.rare else ()
+            if len(rare):
+                got = self.table.take(state[:, :m] + np.where(symbol < self.width, symbol, 0))
+                got[:, rare] = self._rare_step(state[:, rare], symbol[rare] - self.width)
+            else:
+                got = self.table.take(state[:, :m] + symbol)
             count[:, :m] += (got >> self.bits).astype(np.int32)
             state[:, :m] = got & low
         return count
@@ -189,9 +214,11 @@ def parser(samples: tuple[tuple[str, str], ...], block: int, max_alphabet: int)
 
 def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", order: Column | None = None, sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_CHARS, language_chars: int = LANGUAGE_CHARS) -> dict[str, str]:
     """Sample text by language; at most sample_docs * doc_chars characters of each reach the driver."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= doc_chars))
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), (order if order is not None else F.xxhash64(text)).alias("order"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    long = F.length(text) > doc_chars
+    part = F.when(long, F.substring(F.regexp_extract(text, r"(?s)\p{L}.*", 0), 1, doc_chars)).otherwise(F.col(text))
+    rows = rows.select(F.col(lang).alias("lang"), long.alias("long"), part.alias("text"), (order if order is not None else F.xxhash64(text)).alias("order"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("long", "order", "text"))
     out: dict[str, str] = {}
     for r in rows.withColumn("nth", nth).where(F.col("nth") <= sample_docs).orderBy("lang", "nth").collect():
         have = out.setdefault(r.lang, "")
