@@ -150,6 +150,27 @@ def test_near_duplicates_nulls_and_empty(docs_of):
     assert minhash.near_duplicates(df.where("doc_id > 100")).count() == 0
 
 
+def test_sketches_rule_out_no_link(spark):
+    """Pairs at and around the threshold, of small and large sets."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets, pairs = [], []
+    for n in (1, 5, 20, 100, 700, 4000):
+        for d in sorted({0, 1, n // 12, n // 7, n // 4, n // 2}):
+            x = rng.integers(0, 1 << 63, n + d, dtype=np.uint64)
+            sets += [x[:n], x[d:]]
+            pairs.append((len(sets) - 2, len(sets) - 1, n, n, n - d if n > d else 0))
+    bits = minhash.sketches(np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate(sets), len(sets)).view(np.int64)
+    for a, b, n, m, both in pairs:
+        assert sum(int(x).bit_count() for x in (bits[a] ^ bits[b]).view(np.uint64)) <= n + m - 2 * both
+    df = spark.createDataFrame([(bits[a].tolist(), bits[b].tolist(), n, m, both) for a, b, n, m, both in pairs], "a array<long>, b array<long>, n int, m int, both int")
+    for percent in (80, 85):
+        got = df.withColumn("may", minhash._may_be_similar("a", "b", "n", "m", percent)).collect()
+        assert all(r.may for r in got if 100 * r.both >= percent * (r.n + r.m - r.both))
+        assert any(not r.may for r in got if r.n == 700) and any(not r.may for r in got if r.n == 20)
+
+
 def test_bands_find_similar_sets():
     import numpy as np
 

@@ -18,9 +18,10 @@ Scale: equal sets become one node before anything else.  Inside a bucket nothing
 everything: its most popular member is compared with the rest, and those not yet in one component
 go on with more such pivots (sixteen times as many each round) until every bucket is one component
 or all its pairs are decided.  From the second round on the join of a bucket with its pivots looks
-at sketches first, one bit for each of 1024 hashes of a set: only pairs whose sketches agree as
-often as those of similar sets do, less four standard deviations, come out of it and are confirmed.
-That may miss a link once in thirty thousand, as the bands may.  Nothing is capped.  Sets and
+at sketches first: the shingles of a set fall into 1024 cells, and a bit tells whether their number
+in a cell is odd.  Where the bits of two sets differ, at least one shingle is in one of them only, so
+the sketches bound the intersection from above; only pairs that the bound rules out are not
+confirmed, and no link is lost.  Nothing is capped.  Sets and
 sketches are made again from the text for candidates only, and the pairs of a popular pivot are a
 join that Spark may split.
 """
@@ -40,16 +41,13 @@ PERMUTATIONS = 32
 BAND_VALUES = 4
 PERCENT = 85
 GROWTH = 16
-#: Bits of a sketch, two from each permutation, and how far below the expected agreement a pair may be.
+#: Cells of a sketch, a power of two.
 SKETCH_BITS = 1024
-DEVIATIONS = 4.0
 PIECE_BYTES = 4 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLY = mix64(np.arange(1000, 1000 + PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix64(np.arange(5000, 5000 + PERMUTATIONS, dtype=np.uint64))
-_SKETCH_MULTIPLY = mix64(np.arange(20_000, 20_000 + SKETCH_BITS // 2, dtype=np.uint64)) | np.uint64(1)
-_SKETCH_ADD = mix64(np.arange(30_000, 30_000 + SKETCH_BITS // 2, dtype=np.uint64))
 
 
 def shingle_sets(array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,16 +105,11 @@ def _sign(batches):
 
 
 def sketches(owner: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
-    """One bit of the smallest and of the largest hash of each set under further permutations, as 64-bit words."""
-    have, first = np.unique(owner, return_index=True)
-    out = np.zeros((rows, SKETCH_BITS // 64), np.uint64)
-    for p in range(SKETCH_BITS // 2 if len(have) else 0):
-        x = shingle * _SKETCH_MULTIPLY[p] + _SKETCH_ADD[p]
-        x ^= x >> np.uint64(32)
-        word, place = divmod(2 * p, 64)
-        low, high = mix64(np.minimum.reduceat(x, first)) & np.uint64(1), mix64(np.maximum.reduceat(x, first)) & np.uint64(1)
-        out[have, word] |= (low << np.uint64(place)) | (high << np.uint64(place + 1))
-    return out
+    """The parity of each set's shingles in every cell, as 64-bit words."""
+    cell = mix64(shingle) & np.uint64(SKETCH_BITS - 1)
+    out = np.zeros(rows * (SKETCH_BITS // 64), np.uint64)
+    np.bitwise_xor.at(out, owner * (SKETCH_BITS // 64) + (cell >> np.uint64(6)).astype(np.int64), np.uint64(1) << (cell & np.uint64(63)))
+    return out.reshape(rows, SKETCH_BITS // 64)
 
 
 def _sets(batches):
@@ -132,14 +125,13 @@ def _sets(batches):
             )
 
 
-def _may_be_similar(a: str, b: str, percent: int) -> Column:
-    """Whether two sketches agree as often as those of similar sets, less some deviations."""
-    agree = (1 + percent / 100) / 2
-    least = SKETCH_BITS * agree - DEVIATIONS * (SKETCH_BITS * agree * (1 - agree)) ** 0.5
+def _may_be_similar(a: str, b: str, size_a: str, size_b: str, percent: int) -> Column:
+    """Whether two sets of these sketches and sizes can be a link: as many bits differ, as many shingles are in one set only."""
     differ = F.lit(0)
     for k in range(SKETCH_BITS // 64):
         differ = differ + F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k))))
-    return differ <= int(SKETCH_BITS - least)
+    total = (F.col(size_a) + F.col(size_b)).cast("long")
+    return (100 + percent) * (total - differ) >= 2 * percent * total
 
 
 def _similar(percent: int) -> Column:
@@ -183,9 +175,9 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
         pivots = keep(open_rows.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("popular", -F.col("node"), "component", "n")).alias("p")).select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.component").alias("pivot_component"), F.col("p.n").alias("pivot_n")), "pivots")
         near = (F.col("component") != F.col("pivot_component")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
         if slices > 1:
-            open_sides = open_rows.join(sets.select("node", "sketch"), "node")
-            pivot_sides = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot")
-            near = near & _may_be_similar("sketch", "pivot_sketch", percent)
+            open_sides = open_rows.join(sets.select("node", "sketch", F.size("shingles").alias("sketch_n")), "node")
+            pivot_sides = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch"), F.size("shingles").alias("pivot_sketch_n")), "pivot")
+            near = near & _may_be_similar("sketch", "pivot_sketch", "sketch_n", "pivot_sketch_n", percent)
         else:
             open_sides, pivot_sides = open_rows, pivots
         pairs = open_sides.join(pivot_sides, "bucket").where(near).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
