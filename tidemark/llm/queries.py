@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html, language, lines, minhash, mixing, packing, substring, topk, vectors, warc
+from tidemark.llm import exact, html, language, lines, minhash, mixing, packing, substring, topk, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.deduplicate(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_language_id, op4_line_dedup, op5_html_text, op6_minhash_near_dedup, op7_warc_round_trip, op8_pack_sequences, op9_exact_top_k, op10_embedding_near_dedup)
+    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_language_id, op4_line_dedup, op5_html_text, op6_minhash_near_dedup, op7_warc_round_trip, op8_pack_sequences, op9_exact_top_k, op10_embedding_near_dedup, op11_exact_dedup)
 }
 
 _COUNT = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -147,4 +151,8 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(c
   e.vec_id = least(e.vec_id, coalesce(c.c, e.vec_id)) AS kept
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a = e.vec_id
   LEFT JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) c ON c.a = e.vec_id""",
+    "op11_exact_dedup": """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t""",
 }
