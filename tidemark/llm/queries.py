@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, html, language, lines, minhash, mixing, packing, substring, topk, vectors, warc
+from tidemark.llm import exact, html, language, lines, minhash, mixing, packing, substring, topk, trie, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,12 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(spark, f"{sf_dir}/documents.parquet")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_language_id, op4_line_dedup, op5_html_text, op6_minhash_near_dedup, op7_warc_round_trip, op8_pack_sequences, op9_exact_top_k, op10_embedding_near_dedup, op11_exact_dedup)
+    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_language_id, op4_line_dedup, op5_html_text, op6_minhash_near_dedup, op7_warc_round_trip, op8_pack_sequences, op9_exact_top_k, op10_embedding_near_dedup, op11_exact_dedup, op12_prefix_trie)
 }
 
 _COUNT = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -155,4 +159,30 @@ FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) n ON n.a
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(d.t) AS text_sha256 FROM d JOIN g ON d.t = g.t""",
+    # CRC-32 byte by byte, prefixes as lists, each node added to all its ancestors.
+    "op12_prefix_trie": """
+WITH RECURSIVE bits(i, k, v) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+t AS MATERIALIZED (SELECT i, v FROM bits WHERE k = 8),
+c AS MATERIALIZED (SELECT conv_id AS c, count(*) AS n FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+crc(c, j, v) AS (SELECT c, 0, 4294967295::BIGINT FROM c UNION ALL
+  SELECT c, j + 1, xor(t.v, crc.v // 256) FROM crc JOIN t ON t.i = xor(crc.v, ascii(substr(c::VARCHAR, j + 1, 1))::BIGINT) % 256 WHERE j < len(c::VARCHAR)),
+h AS (SELECT c, xor(v, 4294967295) % 9 AS h FROM crc WHERE j = len(c::VARCHAR)),
+o AS MATERIALIZED (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations),
+k AS MATERIALIZED (SELECT c.c, h, least(h, coalesce(p.n, 0)) AS k, c.n FROM c JOIN h ON h.c = c.c LEFT JOIN c p ON p.c = c.c - c.c % 5),
+r AS MATERIALIZED (SELECT k.c, k + i - h AS d, role, text FROM k JOIN o ON o.c = k.c AND i > h
+  UNION ALL SELECT k.c, i, role, text FROM k JOIN o ON o.c = k.c - k.c % 5 AND i <= h),
+p AS (SELECT c, d, strlen(text) AS b, list({'r': role, 't': text}) OVER (PARTITION BY c ORDER BY d) AS s FROM r),
+a AS MATERIALIZED (SELECT c, d, b, min(c) OVER (PARTITION BY d, s) AS o FROM p UNION ALL SELECT c, 0, 0, (SELECT min(c) FROM c) FROM c),
+e AS (SELECT c, max(d) AS d FROM a GROUP BY c),
+n AS (SELECT o AS c, d, count(*) AS n, (count(*) - 1) * min(b) AS saved,
+    sha256(coalesce(string_agg(CASE WHEN last THEN c::VARCHAR END, ',' ORDER BY c), '')) AS ends
+  FROM (SELECT a.*, e.c IS NOT NULL AS last FROM a LEFT JOIN e ON e.c = a.c AND e.d = a.d) GROUP BY o, d),
+q AS MATERIALIZED (SELECT n.*, u.o AS parent FROM n LEFT JOIN a u ON u.c = n.c AND u.d = n.d - 1),
+m AS MATERIALIZED (SELECT q.*, coalesce(x.x, 0) AS children FROM q LEFT JOIN (SELECT parent, d - 1 AS d, count(*) AS x FROM q WHERE d > 0 GROUP BY ALL) x ON x.parent = q.c AND x.d = q.d),
+z AS (SELECT a.o AS c, a.d, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved FROM m JOIN a ON a.c = m.c AND a.d <= m.d GROUP BY a.o, a.d)
+SELECT m.c AS conv_id, m.d::BIGINT AS depth, parent AS parent_conv_id, m.n AS n_convs, children::BIGINT AS n_children, z.leaves::BIGINT AS n_leaves,
+  z.saved::BIGINT AS saved_tokens, ends AS ends_sha256
+FROM m JOIN z ON z.c = m.c AND z.d = m.d""",
 }
