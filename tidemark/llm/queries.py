@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact, html, language, lines, minhash, mixing, packing, substring, topk, trie, vectors, warc
+from tidemark.llm import exact, html, language, lines, minhash, mixing, packing, search, substring, topk, trie, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,12 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_language_id, op4_line_dedup, op5_html_text, op6_minhash_near_dedup, op7_warc_round_trip, op8_pack_sequences, op9_exact_top_k, op10_embedding_near_dedup, op11_exact_dedup, op12_prefix_trie)
+    f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_language_id, op4_line_dedup, op5_html_text, op6_minhash_near_dedup, op7_warc_round_trip, op8_pack_sequences, op9_exact_top_k, op10_embedding_near_dedup, op11_exact_dedup, op12_prefix_trie, op13_lexical_search)
 }
 
 _COUNT = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -185,4 +189,15 @@ z AS (SELECT a.o AS c, a.d, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS lea
 SELECT m.c AS conv_id, m.d::BIGINT AS depth, parent AS parent_conv_id, m.n AS n_convs, children::BIGINT AS n_children, z.leaves::BIGINT AS n_leaves,
   z.saved::BIGINT AS saved_tokens, ends AS ends_sha256
 FROM m JOIN z ON z.c = m.c AND z.d = m.d""",
+    "op13_lexical_search": r"""
+WITH x AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+p AS MATERIALIZED (SELECT doc_id, t, count(*) AS tf FROM x GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM d),
+f AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY t),
+i AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark) GROUP BY ALL),
+s AS (SELECT item_id, p.doc_id, sum(i.c * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // l))))::BIGINT AS score
+  FROM i JOIN p ON p.t = i.t JOIN f ON f.t = i.t JOIN d ON d.doc_id = p.doc_id, c GROUP BY item_id, p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10""",
 }
