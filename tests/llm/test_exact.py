@@ -85,7 +85,7 @@ def test_state_goes_on(spark, tmp_path, batch_bytes):
         rows, ids = got(found.decisions())
         assert sorted((*x, r.digest) for x, r in zip(ids, rows)) == want(all_rows)
         assert one_stays(rows)
-    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) != exact._ROCKSDB
+    assert all(spark.conf.get(k, None) != v for k, v in exact._STORE.items())
 
 
 @pytest.mark.parametrize("weak", [lambda t: F.lit("same"), lambda t: F.length(t).cast("string")])

@@ -34,8 +34,11 @@ from tidemark.llm.common import keep, new_path
 
 #: Bytes of input files that one micro-batch reads.
 BATCH_BYTES = 1 << 40
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a store takes the space it fills and no more, as a store per partition may be small.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -48,16 +51,18 @@ def sha256(text: Column) -> Column:
 
 @contextmanager
 def _on_disk(spark: SparkSession) -> Iterator[None]:
-    """Streams started here keep their state in RocksDB; the setting is as before afterwards."""
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKSDB)
+    """Streams and state used here lie in RocksDB; the settings are as before afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _STORE}
+    for k, v in _STORE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_STORE)
-        else:
-            spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def _pattern(path: str) -> str:
@@ -119,7 +124,8 @@ class ExactDedup:
 
     def decisions(self) -> DataFrame:
         """(id, digest, keep_id, group_size, kept) of every document so far."""
-        found = keep(self.seen().join(self.entries(), "digest"), "found")
+        with _on_disk(self.spark):
+            found = keep(self.seen().join(self.entries(), "digest"), "found")
         hits = keep(found.where("n > 1").select("file", "row"), "hits")
         texts = self.texts().join(hits, ["file", "row"]).withColumn("digest", self.digest(F.col("text")))
         mixed = texts.groupBy("digest").agg((F.min("text") < F.max("text")).alias("mixed")).where("mixed")
