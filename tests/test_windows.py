@@ -19,16 +19,23 @@ def walk(make_frame):
     return make_frame({"a": {"x": x, "v": v}, "b": {"x": random_walk(40, 3), "v": random_walk(40, 4)}}), x, v
 
 
-@pytest.mark.parametrize("fn", ["mean", "max", "min", "sum", "std"])
+@pytest.fixture(params=[0, R.SHORT], ids=["doubling", "sliding"])
+def both_plans(request, monkeypatch):
+    """Every window by merged states, and short ones by sliding frames."""
+    monkeypatch.setattr(R, "SHORT", request.param)
+
+
 @pytest.mark.parametrize("future", [False, True])
-def test_aggregates(walk, column_of, fn, future):
+def test_aggregates(both_plans, walk, column_of, future):
     frame, x, _ = walk
-    windows = [1, 2, 5, 16, 24]
-    steps = (R.future_aggregations if future else R.past_aggregations)("x", fn, windows)
-    out = frame.derive(steps)
-    for w in windows:
+    windows, functions = [1, 2, 5, 16, 24, 61], ["mean", "max", "min", "sum", "std", "var", "count"]
+    out = frame.derive([s for fn in functions for s in (R.future_aggregations if future else R.past_aggregations)("x", fn, windows)])
+    out = out.settle()
+    for fn, w in [(fn, w) for fn in functions for w in windows]:
         ro = pd.Series(x).rolling(w, min_periods=max(1, w // 2))
-        want = (ro.std(ddof=0) if fn == "std" else getattr(ro, fn)()).to_numpy()
+        want = (getattr(ro, fn)(ddof=0) if fn in ("std", "var") else getattr(ro, fn)()).to_numpy()
+        if fn == "count":
+            want = np.where(ro.mean().isna(), np.nan, want)
         if future:
             want = np.append(want[w:], np.full(w, np.nan))
         np.testing.assert_allclose(column_of(out, f"x_{fn}_{w}"), want, atol=1e-8)
@@ -54,7 +61,7 @@ def _slope(values):
     return np.polyfit(np.arange(len(values))[ok], values[ok], 1)[0]
 
 
-def test_slope(walk, column_of):
+def test_slope(both_plans, walk, column_of):
     frame, x, _ = walk
     out = frame.derive(R.linear_trends("x", [4, 30]))
     for w in (4, 30):
@@ -62,7 +69,7 @@ def test_slope(walk, column_of):
         np.testing.assert_allclose(column_of(out, f"x_trend_{w}"), want, atol=1e-8)
 
 
-def test_published_values(make_frame, column_of):
+def test_published_values(both_plans, make_frame, column_of):
     f = make_frame({"a": {"price": [10., 20, 30, 20, 10, 20, 30]}}, bucket_rows=4)
     past = column_of(f.derive(R.area_ratio("price", 4)), "price_area_ratio_4")
     assert past[-1] == -1 and past[-2] == 0
@@ -76,7 +83,7 @@ def test_published_values(make_frame, column_of):
         column_of(g.derive(R.linear_trends("price", 6)), "price_trend_6"), [np.nan, np.nan, 15, 11, 6, 0.857143], atol=1e-6)
 
 
-def test_shape_statistics(make_frame, column_of):
+def test_shape_statistics(both_plans, make_frame, column_of):
     x = random_walk(N, 5)
     f = make_frame({"a": {"x": x}})
     out = f.derive(R.window_statistics("x", ["skew", "kurtosis", "lsbm", "fmax", "msdc", "area"], [12]))
@@ -97,6 +104,33 @@ def test_shape_statistics(make_frame, column_of):
     np.testing.assert_allclose(column_of(out, "x_msdc_12"), msdc, atol=1e-9)
 
 
+def test_states_leave_nothing_behind(both_plans, make_frame, column_of):
+    """Equal values have no spread at all, huge and infinite ones are gone with their window, gaps do not count."""
+    x = np.full(120, 0.1)
+    x[20], x[50], x[80:100] = np.inf, 1e300, np.nan
+    out = make_frame({"a": {"x": x}}).derive([R.rolling("x", "std", 7, "std"), R.skewness("x", 7, "skew"), R.slope("x", 7, "slope"), R.rolling("x", "sum", 7, "sum")])
+    clean = np.ones(120, bool)
+    for k in (20, 50):
+        clean[k : k + 7] = False
+    known = pd.Series(x).rolling(7, min_periods=0).count().to_numpy() >= 3
+    for name in ("std", "skew", "slope"):
+        got = column_of(out, name)
+        assert (got[clean & known] == 0).all() if name != "slope" else (np.abs(got[clean & known]) < 1e-15).all()
+        assert np.isnan(got[~known]).all()
+    np.testing.assert_allclose(column_of(out, "sum")[clean & known], 0.1 * pd.Series(x).rolling(7, min_periods=0).count().to_numpy()[clean & known])
+
+
+def test_one_sort_for_all_windows(monkeypatch, walk):
+    """Windows of any length and function share the frame's exchange and its sort."""
+    monkeypatch.setattr(R, "SHORT", 4)
+    frame, _, _ = walk
+    out = frame.derive([s for fn in ("mean", "max", "std") for s in R.past_aggregations("x", fn, [3, 17, 40, 64])] + R.linear_trends("x", [33]))
+    plan = out.df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and plan.count("Exchange hashpartitioning") == 1
+    # one window node per doubling at most, not one for each length and function
+    assert plan.count("Window [") <= 9
+
+
 def test_changes_and_shifts(walk, column_of):
     frame, x, _ = walk
     out = frame.derive([R.percent_change("x", "pc"), R.percent_change("x", "pc2", "current"), R.log_difference("x", "ld"),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.frame import SeriesFrame, Span, Step
 from tidemark.functions.numeric import ratio
+from tidemark.operators import doubling as D
 from tidemark.operators import recursive
 from tidemark.operators.raster import interpolate
 from tidemark.operators.rolling import convert_to_relative, rolling, slope
@@ -47,27 +48,27 @@ def _strict(fn: str) -> Callable[[Inputs, int, str], Step]:
     return lambda inputs, w, name: rolling(_one(inputs), fn, w, name, strict=True)
 
 
-def _midpoint(inputs: Inputs, w: int, name: str) -> Step:
-    c = _one(inputs)
-    return _window([c], w, name, lambda s: (F.max(c).over(s.past(w)) + F.min(c).over(s.past(w))) / 2)
+def _from_steps(name: str, w: int, steps: list[Step], value: Callable[[Span], Column]) -> Step:
+    """A value of the results of other steps over the same window."""
+    return Step([name], [*D.together(*[s.phases for s in steps]), lambda span: {name: value(span)}], w - 1, 0)
 
 
-def _wma(inputs: Inputs, w: int, name: str) -> Step:
-    c = _one(inputs)
-    place, product = f"__place_{name}", f"__product_{name}"
+def _range(high: str, low: str, w: int, name: str) -> tuple[list[Step], Column, Column]:
+    """Largest value of one column and smallest of another over full windows."""
+    top, bottom = f"__top_{name}", f"__bottom_{name}"
+    return [rolling(high, "max", w, top, strict=True), rolling(low, "min", w, bottom, strict=True)], F.col(top), F.col(bottom)
 
-    def prepare(span: Span) -> dict[str, Column]:
-        return {place: F.count(F.lit(1)).over(span.running)}
 
-    def multiply(span: Span) -> dict[str, Column]:
-        return {product: F.col(place) * F.col(c)}
+def _midpoint(inputs: Inputs, w: int, name: str) -> Step:
+    steps, top, bottom = _range(_one(inputs), _one(inputs), w, name)
+    return _from_steps(name, w, steps, lambda span: (top + bottom) / 2)
 
-    def result(span: Span) -> dict[str, Column]:
-        frame = span.past(w)
-        weighted = F.sum(product).over(frame) - (F.col(place) - w) * F.sum(c).over(frame)
-        return {name: F.when(_full([c], span, w), weighted / (w * (w + 1) / 2))}
 
-    return Step([name], [prepare, multiply, result], w - 1, 0)
+def _wma(inputs: Inputs, w: int, name: str) -> Step:
+    c = _one(inputs)
+    counts, n = D.known_values(c, w)
+    phases, held = D.windowed(f"weighted:{c}", D.weighted_total(c), w)
+    return Step([name], [*D.together(counts, phases), lambda span: {name: F.when(F.col(n) == w, F.col(held["u"]) / (w * (w + 1) / 2))}], w - 1, 0)
 
 
 def _trima(inputs: Inputs, w: int, name: str) -> Step:
@@ -80,12 +81,14 @@ def _trima(inputs: Inputs, w: int, name: str) -> Step:
 def _extreme_place(largest: bool) -> Callable[[Inputs, int, str], Step]:
     def build(inputs: Inputs, w: int, name: str) -> Step:
         c = _one(inputs)
+        counts, n = D.known_values(c, w)
 
-        def value(span: Span) -> Column:
-            key = F.struct(F.col(c) if largest else -F.col(c), F.col(span.pos))
-            return F.max_by(F.col(span.pos), key).over(span.past(w))
+        def place(span: Span) -> Column:
+            value = F.col(c) if largest else -F.col(c)
+            return F.when(value.isNotNull(), F.struct(value.alias("v"), F.col(span.pos).alias("at")))
 
-        return _window([c], w, name, value)
+        phases, top = D.extreme(f"{'last' if largest else 'low'}:{c}", place, True, w)
+        return Step([name], [*D.together(counts, phases), lambda span: {name: F.when(F.col(n) == w, F.col(top)["at"])}], w - 1, 0)
 
     return build
 
@@ -148,13 +151,13 @@ def _momentum(kind: str) -> Callable[[Inputs, int, str], Step]:
 
 def _correl(inputs: Inputs, w: int, name: str) -> Step:
     a, b = inputs["real0"], inputs["real1"]
+    phases, held = D.windowed(f"pair:{a}:{b}", D.pair(a, b), w)
 
-    def value(span: Span) -> Column:
-        frame = span.past(w)
-        r = F.corr(a, b).over(frame)
-        return F.when(r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(r)
+    def result(span: Span) -> dict[str, Column]:
+        r = ratio(F.col(held["xy"]), F.sqrt(F.col(held["xx"])) * F.sqrt(F.col(held["yy"])))
+        return {name: F.when(F.col(held["n"]) == w, F.when(r.isNull() | F.isnan(r), F.lit(0.0)).otherwise(r))}
 
-    return _window([a, b], w, name, value)
+    return Step([name], [*phases, result], w - 1, 0)
 
 
 def _arithmetic(op: Callable[[Column, Column], Column]) -> Callable[[Inputs, int | None, str], Step]:
@@ -180,18 +183,20 @@ def _trange(inputs: Inputs, w: int | None, name: str) -> Step:
 
 
 def _midprice(inputs: Inputs, w: int, name: str) -> Step:
-    h, lo = inputs["high"], inputs["low"]
-    return _window([h, lo], w, name, lambda s: (F.max(h).over(s.past(w)) + F.min(lo).over(s.past(w))) / 2)
+    steps, top, bottom = _range(inputs["high"], inputs["low"], w, name)
+    return _from_steps(name, w, steps, lambda span: (top + bottom) / 2)
 
 
 def _willr(inputs: Inputs, w: int, name: str) -> Step:
-    h, lo, c = inputs["high"], inputs["low"], inputs["close"]
+    c = inputs["close"]
+    steps, top, bottom = _range(inputs["high"], inputs["low"], w, name)
+    closes = f"__closes_{name}"
 
     def value(span: Span) -> Column:
-        top, bottom = F.max(h).over(span.past(w)), F.min(lo).over(span.past(w))
-        return F.when(top == bottom, F.lit(0.0)).otherwise(ratio((top - F.col(c)) * -100.0, top - bottom))
+        share = F.when(top == bottom, F.lit(0.0)).otherwise(ratio((top - F.col(c)) * -100.0, top - bottom))
+        return F.when((F.col(closes) == w) & top.isNotNull() & bottom.isNotNull(), share)
 
-    return _window([h, lo, c], w, name, value)
+    return _from_steps(name, w, [*steps, rolling(c, "count", w, closes, strict=True)], value)
 
 
 def _cci(inputs: Inputs, w: int, name: str) -> Step:

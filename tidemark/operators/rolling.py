@@ -1,21 +1,21 @@
 """Rolling aggregates over past and future rows.
 
-Every function returns a ``Step`` for ``SeriesFrame.derive``.  Sums, means and extremes of any
-window come from running aggregates of blocks of w rows, one forward and one backward: O(1) per row
-whatever the window.  A frame is the end of one block and the start of the next, so nothing is ever
-subtracted, and a value, be it huge or not finite, leaves with its window.  Other aggregates use
-Spark's sliding frames.
+Every function returns a ``Step`` for ``SeriesFrame.derive``.  Long windows merge states of runs whose
+lengths are powers of two (``doubling``): O(log w) per row.  Windows of at most ``SHORT`` rows use Spark's
+sliding frames, which for them is the cheaper plan.  All share one sort order, neither subtracts
+anything, and results agree but for rounding.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.frame import Span, Step, floor_div
+from tidemark.frame import Phase, Span, Step
 from tidemark.functions.numeric import ratio
+from tidemark.operators import doubling as D
 
 # Aggregates by name; each skips NULLs.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -27,6 +27,8 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
     "count": F.count,
 }
+# Rows up to which a sliding frame is cheaper than the doublings.
+SHORT = 48
 
 
 def min_count(w: int) -> int:
@@ -45,45 +47,22 @@ def _relative(value: Column, base: str | None, factor: float) -> Column:
     return ratio((value - b) * factor, b)
 
 
-class _Blocks:
-    """Running aggregates of one column over blocks of ``w`` rows; names are shared among steps."""
-
-    def __init__(self, column: str, fn: str, w: int):
-        self.column, self.agg, self.w, self.fn = column, AGGREGATES[fn], w, fn
-        self.block, self.head, self.tail, self.count = f"__b__{w}", f"__p{fn}__{column}__{w}", f"__q{fn}__{column}__{w}", f"__n__{column}"
-
-    def number(self, span: Span) -> dict[str, Column]:
-        return {self.block: floor_div(F.col(span.pos), self.w)}
-
-    def running(self, span: Span) -> dict[str, Column]:
-        part = Window.partitionBy(*span.partition, self.block)
-        upto = part.orderBy(span.pos).rowsBetween(Window.unboundedPreceding, 0)
-        since = part.orderBy(F.col(span.pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
-        value = F.col(self.column)
-        return {self.head: self.agg(value).over(upto), self.tail: self.agg(value).over(since), self.count: F.count(self.column).over(span.running)}
-
-    def value(self, span: Span, future: bool) -> Column:
-        w, place = self.w, F.pmod(F.col(span.pos), F.lit(self.w).cast("long"))
-        if future:
-            # rows i+1 .. i+w: the rest of the block of the first, the start of that of the last
-            early = F.lead(self.tail, 1).over(span.ordered)
-            late = F.when(place != w - 1, F.lead(self.head, w).over(span.ordered))
-        else:
-            # where the frame reaches over the start, its first row is the first of the bucket
-            whole = F.lag(F.lit(True), w - 1).over(span.ordered).isNotNull()
-            first = F.when(F.first(self.block).over(span.running) < F.col(self.block), F.first(self.tail).over(span.running))
-            early = F.when(whole, F.when(place != w - 1, F.lag(self.tail, w - 1).over(span.ordered))).otherwise(first)
-            late = F.col(self.head)
-        if self.fn == "sum":
-            return F.coalesce(early + late, early, late)
-        return (F.greatest if self.fn == "max" else F.least)(early, late)
-
-    def values(self, span: Span, future: bool) -> Column:
-        """Number of non-NULL values in the frame."""
-        total = F.col(self.count)
-        if future:
-            return F.lead(total, self.w).over(span.ordered) - total
-        return total - F.coalesce(F.lag(total, self.w).over(span.ordered), F.lit(0))
+def _aggregate(column: str, fn: str, w: int, need: int) -> tuple[list[Phase], Column, Column]:
+    """Phases, value and number of known values of the last ``w`` rows."""
+    if fn in ("std", "var"):
+        phases, held = D.windowed(f"real:{column}", D.moments(column), w)
+        value = ratio(F.col(held["q2"]), F.col(held["n"]))
+        return phases, F.sqrt(value) if fn == "std" else value, F.col(held["n"])
+    counts, n = D.known_values(column, w)
+    if fn == "count":
+        return counts, F.col(n), F.col(n)
+    if fn in ("max", "min"):
+        phases, name = D.extreme(column, lambda span: F.col(column), fn == "max", w)
+        # of no values there is no extreme
+        return (D.together(counts, phases), F.col(name), F.col(n)) if need > 1 else (phases, F.col(name), F.lit(need))
+    phases, held = D.windowed(f"sum:{column}", D.total(column), w)
+    value = F.col(held["s"])
+    return D.together(counts, phases), ratio(value, F.col(n)) if fn == "mean" else value, F.col(n)
 
 
 def rolling(column: str, fn: str, w: int, name: str, future: bool = False, strict: bool = False,
@@ -94,33 +73,25 @@ def rolling(column: str, fn: str, w: int, name: str, future: bool = False, stric
     ``w`` rows after it.  The result is NULL with fewer than ``w // 2`` values (with
     ``strict``: fewer than ``w``), and for future frames that reach over the end.
     """
+    if fn not in AGGREGATES:
+        raise ValueError(f"unknown aggregate {fn!r}")
     need = w if strict else min_count(w)
+    if w <= SHORT:
+        def short(span: Span) -> dict[str, Column]:
+            frame = span.next(w) if future else span.past(w)
+            ok = F.count(column).over(frame) >= need
+            if future:
+                ok = ok & F.lead(F.lit(True), w).over(span.ordered).isNotNull()
+            return {name: _relative(F.when(ok, AGGREGATES[fn](F.col(column)).over(frame)), rel_column, rel_factor)}
 
-    def finish(value: Column, n: Column, span: Span) -> dict[str, Column]:
-        # an aggregate of no values is NULL by itself
-        ok = n >= need if need > 1 or fn == "count" else F.lit(True)
-        if future:
-            ok = ok & F.lead(F.lit(True), w).over(span.ordered).isNotNull()
-        return {name: _relative(F.when(ok, value), rel_column, rel_factor)}
-
-    back, ahead = 0 if future else w - 1, w if future else 0
-    if fn in ("max", "min", "sum", "mean", "count"):
-        blocks = _Blocks(column, "sum" if fn in ("mean", "count") else fn, w)
+        return Step([name], [short], 0 if future else w - 1, w if future else 0)
+    phases, value, n = _aggregate(column, fn, w, need)
 
-        def result(span: Span) -> dict[str, Column]:
-            n = blocks.values(span, future)
-            value = n if fn == "count" else ratio(blocks.value(span, future), n) if fn == "mean" else blocks.value(span, future)
-            return finish(value, n, span)
+    def finish(span: Span) -> dict[str, Column]:
+        result = F.when(n >= need, value)
+        return {name: _relative(F.lead(result, w).over(span.ordered) if future else result, rel_column, rel_factor)}
 
-        if fn == "count":
-            return Step([name], [lambda s: {blocks.count: F.count(column).over(s.running)}, result], back, ahead)
-        return Step([name], [blocks.number, blocks.running, result], back, ahead)
-
-    def columns(span: Span) -> dict[str, Column]:
-        frame = span.next(w) if future else span.past(w)
-        return finish(AGGREGATES[fn](F.col(column)).over(frame), F.count(column).over(frame), span)
-
-    return Step([name], [columns], back, ahead)
+    return Step([name], [*phases, finish], 0 if future else w - 1, w if future else 0)
 
 
 def past_aggregations(column: str, fn: str, windows, suffix: str | None = None, rel_column: str | None = None,
@@ -199,19 +170,26 @@ def linear_trends(column: str, windows, future: bool = False, suffix: str = "_tr
 
 def slope(column: str, w: int, name: str, future: bool = False, need: int | None = None) -> Step:
     need = min_count(w) if need is None else need
+    back, ahead = (0, w - 1) if future else (w - 1, 0)
+    if w <= SHORT:
+        def short(span: Span) -> dict[str, Column]:
+            frame = span.next_with_current(w) if future else span.past(w)
+            n = F.count(column).over(frame)
+            ok = n >= need
+            if future and w > 1:
+                ok = ok & F.lead(F.lit(True), w - 1).over(span.ordered).isNotNull()
+            value = F.regr_slope(F.col(column), F.col(span.pos).cast("double")).over(frame)
+            return {name: F.when(ok, _slope_single(value, n))}
 
-    def finish(value: Column, n: Column, span: Span) -> dict[str, Column]:
-        ok = n >= need
-        if future and w > 1:
-            ok = ok & F.lead(F.lit(True), w - 1).over(span.ordered).isNotNull()
-        return {name: F.when(ok, _slope_single(value, n))}
+        return Step([name], [short], back, ahead)
+    phases, held = D.windowed(f"real:{column}", D.line(column), w)
 
-    def columns(span: Span) -> dict[str, Column]:
-        frame = span.next_with_current(w) if future else span.past(w)
-        value = F.regr_slope(F.col(column), F.col(span.pos).cast("double")).over(frame)
-        return finish(value, F.count(column).over(frame), span)
+    def finish(span: Span) -> dict[str, Column]:
+        n = F.col(held["n"])
+        value = F.when(n >= need, _slope_single(ratio(F.col(held["xm"]), F.col(held["xx"])), n))
+        return {name: F.lead(value, w - 1).over(span.ordered) if future else value}
 
-    return Step([name], [columns], 0 if future else w - 1, w - 1 if future else 0)
+    return Step([name], [*phases, finish], back, ahead)
 
 
 # -- shape statistics ------------------------------------------------------------------------
@@ -225,30 +203,31 @@ def _masked(column: str, w: int, value: Callable[[Span], Column], name: str, nee
     return Step([name], [columns], w - 1, 0)
 
 
+def _from_moments(column: str, w: int, name: str, least: int, value: Callable[[Column, Column, Column, Column], Column]) -> Step:
+    """A statistic of number and central sums of powers; equal values have none, which counts as 0."""
+    phases, held = D.windowed(f"real:{column}", D.moments(column, 4), w)
+
+    def finish(span: Span) -> dict[str, Column]:
+        n, q2, q3, q4 = (F.col(held[f]) for f in ("n", "q2", "q3", "q4"))
+        return {name: F.when(n >= max(least, min_count(w)), F.when(q2 == 0, F.lit(0.0)).otherwise(value(n, q2, q3, q4)))}
+
+    return Step([name], [*phases, finish], w - 1, 0)
+
+
 def skewness(column: str, w: int, name: str, bias: bool = False) -> Step:
-    def value(span: Span) -> Column:
-        frame = span.past(w)
-        n = F.count(column).over(frame).cast("double")
-        g = F.skewness(column).over(frame)
-        flat = F.stddev_pop(column).over(frame) == 0
-        adjusted = g if bias else F.when(n >= 3, g * ratio(F.sqrt(n * (n - 1)), n - 2))
-        enough = n >= (1 if bias else 3)
-        return F.when(enough, F.when(flat, F.lit(0.0)).otherwise(adjusted))
+    def value(n: Column, q2: Column, q3: Column, q4: Column) -> Column:
+        g = ratio(F.sqrt(n) * q3, q2 * F.sqrt(q2))
+        return g if bias else g * ratio(F.sqrt(n * (n - 1)), n - 2)
 
-    return _masked(column, w, value, name)
+    return _from_moments(column, w, name, 1 if bias else 3, value)
 
 
 def kurtosis(column: str, w: int, name: str, bias: bool = False) -> Step:
-    def value(span: Span) -> Column:
-        frame = span.past(w)
-        n = F.count(column).over(frame).cast("double")
-        g = F.kurtosis(column).over(frame)
-        flat = F.stddev_pop(column).over(frame) == 0
-        adjusted = g if bias else ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g + 6)
-        enough = n >= (1 if bias else 4)
-        return F.when(enough, F.when(flat, F.lit(0.0)).otherwise(adjusted))
+    def value(n: Column, q2: Column, q3: Column, q4: Column) -> Column:
+        g = ratio(n * q4, q2 * q2) - 3
+        return g if bias else ratio(n - 1, (n - 2) * (n - 3)) * ((n + 1) * g + 6)
 
-    return _masked(column, w, value, name)
+    return _from_moments(column, w, name, 1 if bias else 4, value)
 
 
 def longest_below_mean(column: str, w: int, name: str) -> Step:
@@ -269,27 +248,31 @@ def longest_below_mean(column: str, w: int, name: str) -> Step:
 
 
 def first_maximum(column: str, w: int, name: str) -> Step:
-    """Place of the first maximum in the window, as a fraction of its length."""
+    """Place of the first maximum among the known values of the window, as a fraction of their number."""
+    counts, n = D.known_values(column, w)
+    count = f"__count~{column}"
+    first = lambda span: F.when(F.col(column).isNotNull(), F.struct(F.col(column).alias("v"), (-F.col(count)).alias("k")))
+    phases, top = D.extreme(f"first:{column}", first, True, w)
 
-    def value(span: Span) -> Column:
-        frame = span.past(w)
-        values = F.collect_list(F.col(column)).over(frame)
-        place = F.array_position(values, F.max(column).over(frame)) - 1
-        return ratio(place.cast("double"), F.size(values).cast("double"))
+    def finish(span: Span) -> dict[str, Column]:
+        before = F.col(count) - F.col(n)
+        place = -F.col(top)["k"] - 1 - before
+        return {name: F.when(F.col(n) >= min_count(w), ratio(place.cast("double"), F.col(n).cast("double")))}
 
-    return _masked(column, w, value, name)
+    return Step([name], [*D.together(counts, [lambda span: {}, *phases]), finish], w - 1, 0)
 
 
 def mean_second_derivative(column: str, w: int, name: str) -> Step:
     """Mean of the central second differences; only the window's two edge pairs remain."""
+    counts, n = D.known_values(column, w)
+    phases, held = D.windowed(f"edges:{column}", D.edges(column), w)
 
-    def value(span: Span) -> Column:
-        x = F.collect_list(F.col(column)).over(span.past(w))
-        n = F.size(x)
-        top = F.element_at(x, -1) - F.element_at(x, -2) - F.element_at(x, 2) + F.element_at(x, 1)
-        return F.when(n > 2, ratio(top, 2.0 * (n - 2)))
+    def finish(span: Span) -> dict[str, Column]:
+        top = F.col(held["l1"]) - F.col(held["l2"]) - F.col(held["f2"]) + F.col(held["f1"])
+        known = F.col(n)
+        return {name: F.when((known >= min_count(w)) & (known > 2), ratio(top, 2.0 * (known - 2)))}
 
-    return _masked(column, w, value, name)
+    return Step([name], [*D.together(counts, phases), finish], w - 1, 0)
 
 
 STATISTICS: dict[str, Callable[..., Step]] = {

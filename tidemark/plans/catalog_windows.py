@@ -77,17 +77,17 @@ register("past_weighted", spec(["close_vwap_5", "close_vwap_24"]),
 
 # The long-window forms: a year of ticks under windows of hundreds of rows.
 LONG = [288, 672]
-long_names = [f"price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG] + [f"level_trend_{w}" for w in LONG]
+long_names = [f"price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG] + [f"level_{fn}_{w}" for fn in ("std", "trend") for w in LONG]
 register("long_windows", spec(long_names),
          lambda s, d: inputs.ticks(s, d).with_columns({"level": F.col("price") / 10000.0}).derive(
              [x for fn in ("mean", "max", "min") for x in R.past_aggregations("price", fn, LONG, rel_column="price", rel_factor=100.0)]
-             + R.linear_trends("level", LONG)).df,
+             + R.past_aggregations("level", "std", LONG) + R.linear_trends("level", LONG)).df,
          TICKS_SQL + ",\nw AS (SELECT series, pos, price, " + ", ".join(
              [f"{rolled('price', fn, w)} AS price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG]
-             + [f"{sloped('level', w)} AS level_trend_{w}" for w in LONG]) + " FROM (SELECT *, price / 10000.0 AS level FROM ticks))",
+             + [f"{rolled('level', 'std', w)} AS level_std_{w}" for w in LONG] + [f"{sloped('level', w)} AS level_trend_{w}" for w in LONG]) + " FROM (SELECT *, price / 10000.0 AS level FROM ticks))",
          "SELECT series, pos, " + ", ".join(
              [f"100 * (price_{fn}_{w} - price) / nullif(price, 0) AS price_{fn}_{w}" for fn in ("mean", "max", "min") for w in LONG]
-             + [f"level_trend_{w}" for w in LONG]) + " FROM w")
+             + [f"level_{fn}_{w}" for fn in ("std", "trend") for w in LONG]) + " FROM w")
 
 register("tick_windows", spec(["price_mean_20", "price_std_20", "price_max_20", "size_sum_50"]),
          lambda s, d: inputs.ticks(s, d).derive([
@@ -99,16 +99,27 @@ register("tick_windows", spec(["price_mean_20", "price_std_20", "price_max_20",
 
 # A value that is not finite leaves with its window, and whole numbers stay whole, for any window.
 ANY_WIDTH = [5, 63, 64, 288]
-register("rolling_nonfinite", spec([f"x_mean_{w}" for w in ANY_WIDTH]) + " " + " ".join(f"{c}_{w}:b" for c in ("k_sum", "k_max") for w in ANY_WIDTH),
-         lambda s, d: inputs.ticks(s, d).with_columns({
-             "x": F.when(F.col("pos") % 701 == 3, F.lit(float("inf"))).when(F.col("pos") % 997 == 5, 1e290).otherwise(F.col("price") * 0.7310585786300049), "k": (F.col("size") * 3).cast("long")}).derive([
-                 *R.past_aggregations("x", "mean", ANY_WIDTH), *R.past_aggregations("k", "sum", ANY_WIDTH), *R.past_aggregations("k", "max", ANY_WIDTH)]).df.withColumns(
-                     {f"x_mean_{w}": F.when(F.col(f"x_mean_{w}") < 1e200, F.col(f"x_mean_{w}")) for w in ANY_WIDTH}),
+
+
+def _nonfinite(spark, sf_dir):
+    frame = inputs.ticks(spark, sf_dir).with_columns({
+        "x": F.when(F.col("pos") % 701 == 3, F.lit(float("inf"))).when(F.col("pos") % 997 == 5, 1e290).otherwise(F.col("price") * 0.7310585786300049),
+        "k": (F.col("size") * 3).cast("long")})
+    frame = frame.derive([*R.past_aggregations("x", "mean", ANY_WIDTH), *R.past_aggregations("x", "std", ANY_WIDTH), *R.linear_trends("x", ANY_WIDTH),
+                          *R.past_aggregations("k", "sum", ANY_WIDTH), *R.past_aggregations("k", "max", ANY_WIDTH)])
+    return frame.df.withColumns({f"x_{fn}_{w}": F.when(F.col(f"x_mean_{w}") < 1e200, F.col(f"x_{fn}_{w}")) for fn in ("mean", "std", "trend") for w in ANY_WIDTH})
+
+
+register("rolling_nonfinite", spec([f"x_{fn}_{w}" for fn in ("mean", "std", "trend") for w in ANY_WIDTH]) + " " + " ".join(f"{c}_{w}:b" for c in ("k_sum", "k_max") for w in ANY_WIDTH),
+         _nonfinite,
          TICKS_SQL + """,
-v AS (SELECT series, pos, CASE WHEN pos % 701 = 3 THEN 'inf'::DOUBLE WHEN pos % 997 = 5 THEN 1e290 ELSE price * 0.7310585786300049::DOUBLE END AS x, CAST(size * 3 AS BIGINT) AS k FROM ticks),
+v AS (SELECT series, pos, CASE WHEN pos % 701 = 3 OR pos % 997 = 5 THEN NULL ELSE price * 0.7310585786300049::DOUBLE END AS x, CAST(size * 3 AS BIGINT) AS k FROM ticks),
 w AS (SELECT series, pos, """ + ", ".join(
-             [f"{rolled('x', 'mean', w)} AS x_mean_{w}" for w in ANY_WIDTH] + [f"{rolled('k', fn, w)} AS k_{fn}_{w}" for fn in ("sum", "max") for w in ANY_WIDTH]) + " FROM v)",
-         "SELECT series, pos, " + ", ".join([f"CASE WHEN x_mean_{w} < 1e200 THEN x_mean_{w} END AS x_mean_{w}" for w in ANY_WIDTH] + [f"k_{fn}_{w}" for fn in ("sum", "max") for w in ANY_WIDTH]) + " FROM w")
+             [f"count(x) OVER {past(w)} = count(*) OVER {past(w)} AS fine_{w}" for w in ANY_WIDTH]
+             + [f"{rolled('x', fn, w)} AS x_{fn}_{w}" for fn in ("mean", "std") for w in ANY_WIDTH] + [f"{sloped('x', w)} AS x_trend_{w}" for w in ANY_WIDTH]
+             + [f"{rolled('k', fn, w)} AS k_{fn}_{w}" for fn in ("sum", "max") for w in ANY_WIDTH]) + " FROM v)",
+         "SELECT series, pos, " + ", ".join([f"CASE WHEN fine_{w} THEN x_{fn}_{w} END AS x_{fn}_{w}" for fn in ("mean", "std", "trend") for w in ANY_WIDTH]
+                                            + [f"k_{fn}_{w}" for fn in ("sum", "max") for w in ANY_WIDTH]) + " FROM w")
 
 
 def area_sql(c: str, frame: str, enough: str, name: str) -> str:
