@@ -6,9 +6,13 @@ import pytest
 from conftest import random_walk
 from pyspark.sql import functions as F
 
+from tidemark.frame import Kernel
 from tidemark.operators import rolling as R
 from tidemark.operators.indicators import indicators
+from tidemark.operators.labels import first_crossings
+from tidemark.operators.levels import Tree, window
 from tidemark.operators.raster import interpolate
+from tidemark.operators.recursive import exponential_mean
 
 N = 150
 
@@ -120,6 +124,57 @@ def test_states_leave_nothing_behind(both_plans, make_frame, column_of):
     np.testing.assert_allclose(column_of(out, "sum")[clean & known], 0.1 * pd.Series(x).rolling(7, min_periods=0).count().to_numpy()[clean & known])
 
 
+@pytest.mark.parametrize(("n", "w", "future"), [(1, 1, False), (7, 3, True), (50, 50, False), (200, 37, True), (333, 64, False), (100, 1000, False)])
+def test_merge_sort_tree(n, w, future):
+    rng = np.random.default_rng(n)
+    x = np.round(rng.normal(0, 3, n), 1)
+    x[rng.random(n) < 0.2] = np.nan
+    level = np.where(rng.random(n) < 0.5, x, np.round(rng.normal(0, 3, n), 1))
+    first, end = window(n, w, future)
+    parts = Tree(x, w).parts(first, end, level)
+    for i in range(n):
+        v = x[first[i] : end[i]]
+        v = v[~np.isnan(v)]
+        assert parts.n[i] == len(v) and abs(parts.total[i] - v.sum()) < 1e-9
+        if not np.isnan(level[i]):
+            below, upto = v[v < level[i]], v[v <= level[i]]
+            assert (parts.n_below[i], parts.n_upto[i]) == (len(below), len(upto))
+            assert abs(parts.below[i] - below.sum()) < 1e-9 and abs(parts.upto[i] - upto.sum()) < 1e-9
+
+
+def test_tree_forgets_huge_values(make_frame, column_of):
+    """A value that is huge or infinite counts in the windows that hold it, and in no other."""
+    x = random_walk(100, 11)
+    y = x.copy()
+    y[30], y[60] = 1e300, np.inf
+    a, b = (column_of(make_frame({"a": {"x": v}}).derive(R.area_ratio("x", 8)), "x_area_ratio_8") for v in (x, y))
+    clean = np.ones(100, bool)
+    clean[30:38] = clean[60:68] = False
+    np.testing.assert_allclose(a[clean], b[clean], atol=1e-12)
+
+
+def test_kernels_get_their_columns_only(make_frame):
+    """What goes to Python are keys, position and the columns that a kernel names."""
+    frame = make_frame({"a": {"x": random_walk(60, 1), "v": random_walk(60, 2), "other": random_walk(60, 3)}})
+    frame = frame.with_columns({"text": F.lit("wide")})
+    for out in (first_crossings(frame, 5, {"up": ("x", "v", 1.0)}), frame.derive(R.area_ratio("x", 9)), exponential_mean(frame, "x", 5.0, "smooth")):
+        plan = out.df._jdf.queryExecution().optimizedPlan().toString()
+        sent = [line for line in plan.splitlines() if "FlatMapGroupsInArrow" in line or "FlatMapGroupsInPandas" in line]
+        assert sent and not any("other" in line or "text" in line for line in sent)
+        rows = out.df.collect()
+        assert len(rows) == 60 and {"other", "text", "x", "v"} <= set(out.df.columns)
+
+
+def test_kernels_follow_steps(make_frame, column_of):
+    """A kernel may read what steps of an earlier stage made, and later steps what a kernel made."""
+    frame = make_frame({"a": {"x": random_walk(80, 4)}})
+    double = Kernel({"__twice": "double"}, ["__m"], lambda pos, v: {"__twice": v["__m"] * 2}, 0, 0)
+    out = frame.derive(R.rolling("x", "mean", 3, "__m"), [double, R.rolling("x", "max", 4, "top")], R.rolling("__twice", "sum", 2, "y"))
+    m = column_of(frame.derive(R.rolling("x", "mean", 3, "m")), "m")
+    np.testing.assert_allclose(column_of(out, "y"), 2 * pd.Series(m).rolling(2, min_periods=1).sum())
+    assert not [c for c in out.df.columns if c.startswith("__")] and "top" in out.df.columns
+
+
 def test_one_sort_for_all_windows(monkeypatch, walk):
     """Windows of any length and function share the frame's exchange and its sort."""
     monkeypatch.setattr(R, "SHORT", 4)

@@ -8,7 +8,8 @@ A window over a bare series key would put a whole series into one task.  Because
 is dense, a row frame of ``w`` rows equals ``w`` positions, so the series is cut into
 buckets of equal length:
 
-* ``derive``  - bounded frames: every bucket is given the edge rows of its neighbours.
+* ``derive``  - bounded frames: every bucket is given the edge rows of its neighbours.  Steps are column
+  expressions, or numpy kernels, to which only the columns they name are sent.
 * ``running`` and ``fill`` - unbounded frames: every bucket is summarised to one row, the
   summaries are scanned in two levels, and the result is carried into the bucket.
 
@@ -23,10 +24,17 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
+# All keys as one value, which is never NULL: rows that are placed by it and their bucket stay where they
+# are in plain joins, while a join on NULL-safe keys places both sides anew.
+KEY = "__key"
+# The position, in tables of results that are joined to the rows.
+PLACE = "__place"
 # Rows per bucket.  A bucket is the unit of work of a task and of numpy kernels: large
 # enough to make the duplicated edge rows cheap, small enough to sort in memory.
 BUCKET_ROWS = 8192
@@ -102,6 +110,39 @@ class Step:
     lookahead: int = 0
 
 
+#: Arrays of a bucket and its edge rows, in order of position: positions and columns (float, NaN for NULL).
+KernelFunction = Callable[[np.ndarray, dict[str, np.ndarray]], "dict[str, np.ndarray | pa.Array]"]
+
+
+@dataclass(frozen=True)
+class Kernel:
+    """Columns computed by numpy from a bounded neighbourhood.
+
+    ``outputs`` maps names to types.  ``function`` gets the named ``columns`` of a bucket together with the
+    last ``lookback`` rows before it and the first ``lookahead`` after it, and returns an array of the same
+    length for every output; NaN, or a null of an Arrow array, becomes NULL.
+    """
+
+    outputs: dict[str, str]
+    columns: list[str]
+    function: KernelFunction
+    lookback: int = 0
+    lookahead: int = 0
+
+    @property
+    def names(self) -> list[str]:
+        return list(self.outputs)
+
+
+def renamed(s: Step | Kernel, name: str) -> Step | Kernel:
+    """The same step with another name for its only output."""
+    old = s.names[0]
+    if isinstance(s, Kernel):
+        return replace(s, outputs={name: s.outputs[old]}, function=lambda pos, values: {name: s.function(pos, values)[old]})
+    last = s.phases[-1]
+    return Step([name], [*s.phases[:-1], lambda span: {name: last(span)[old]}], s.lookback, s.lookahead)
+
+
 def step(names: str | list[str], columns: Phase, lookback: int = 0, lookahead: int = 0) -> Step:
     return Step([names] if isinstance(names, str) else list(names), [columns], lookback, lookahead)
 
@@ -134,19 +175,37 @@ class SeriesFrame:
     def home(self, rows: int | None = None) -> Column:
         return floor_div(F.col(self.pos), rows or self.bucket_rows)
 
+    def placed(self, df: DataFrame | None = None) -> DataFrame:
+        """The rows (or those of ``df``) with ``KEY`` and ``BUCKET``."""
+        df = self.df if df is None else df
+        return df.withColumns({KEY: F.struct(*self.keys), BUCKET: self.home()})
+
     def settle(self) -> SeriesFrame:
         """Write the rows to the reliable checkpoint folder and go on from there."""
         return self.with_df(settle(self.df))
 
     # -- bounded frames ------------------------------------------------------------------
 
-    def derive(self, *stages: Step | Iterable[Step]) -> SeriesFrame:
+    def derive(self, *stages: Step | Kernel | Iterable[Step | Kernel]) -> SeriesFrame:
         """Add the columns of the given steps.
 
         The steps of one stage do not depend on each other; a later stage may read the
-        columns of an earlier one.  All stages share one shuffle.
+        columns of an earlier one.  Stages of column expressions share one shuffle; the kernels of a
+        stage share another, of the columns they name.
         """
-        groups = [[s] if isinstance(s, Step) else list(s) for s in stages]
+        frame, waiting = self, []
+        for stage in stages:
+            group = [stage] if isinstance(stage, (Step, Kernel)) else list(stage)
+            waiting.append([s for s in group if isinstance(s, Step)])
+            kernels = [s for s in group if isinstance(s, Kernel)]
+            if kernels:
+                frame, waiting = frame._framed(waiting)._run(kernels), []
+        out = frame._framed(waiting).df
+        helpers = [c for c in out.columns if c.startswith("__")]
+        return self.with_df(out.drop(*helpers)) if out is not self.df else self
+
+    def _framed(self, groups: list[list[Step]]) -> SeriesFrame:
+        """Columns of steps, helper columns included."""
         groups = [g for g in groups if g]
         if not groups:
             return self
@@ -154,8 +213,8 @@ class SeriesFrame:
         ahead = sum(max(s.lookahead for s in g) for g in groups)
         rows = max(self.bucket_rows, 4 * max(back, ahead))
         home = self.home(rows)
-        df = self.df.withColumn(BUCKET, spread(home, F.col(self.pos), rows, back, ahead))
-        span = Span(self.keys + (BUCKET,), self.pos)
+        df = self.df.withColumns({KEY: F.struct(*self.keys), BUCKET: spread(home, F.col(self.pos), rows, back, ahead)})
+        span = Span((BUCKET, KEY), self.pos)
         for group in groups:
             for n in range(max(len(s.phases) for s in group)):
                 columns: dict[str, Column] = {}
@@ -166,28 +225,62 @@ class SeriesFrame:
                     df = df.withColumns(columns)
         if back or ahead:
             df = df.where(F.col(BUCKET) == home)
-        return self.with_df(df.drop(*[c for c in df.columns if c.startswith("__")]))
+        return self.with_df(df.drop(BUCKET, KEY))
+
+    def _run(self, kernels: list[Kernel]) -> SeriesFrame:
+        """Columns of kernels: keys, position and the named columns go to numpy, the results are joined to the rows."""
+        back, ahead = max(k.lookback for k in kernels), max(k.lookahead for k in kernels)
+        rows = max(self.bucket_rows, 4 * max(back, ahead))
+        columns = list(dict.fromkeys(c for k in kernels for c in k.columns))
+        outputs = {n: t for k in kernels for n, t in k.outputs.items()}
+        pos = F.col(self.pos).cast("long")
+        sent = self.df.select(F.struct(*self.keys).alias(KEY), spread(self.home(rows), pos, rows, back, ahead).alias(BUCKET), pos.alias(PLACE),
+                              *[F.col(c).cast("double").alias(c) for c in columns])
+
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by(PLACE)
+            pos = table[PLACE].to_numpy()
+            values = {c: table[c].to_numpy() for c in columns}
+            found: dict[str, np.ndarray | pa.Array] = {}
+            for k in kernels:
+                found |= k.function(pos, {c: values[c] for c in k.columns})
+            for n, x in found.items():
+                if isinstance(x, np.ndarray):
+                    found[n] = pa.array(x, mask=np.isnan(x)) if x.dtype.kind == "f" else pa.array(x)
+            mine = (pos - pos % rows) // rows == table[BUCKET][0].as_py()
+            out = pa.Table.from_arrays([table[KEY], table[PLACE], *[found[n] for n in outputs]], [KEY, PLACE, *outputs])
+            return out.filter(pa.array(mine))
+
+        schema = ", ".join([f"{KEY} {sent.schema[KEY].dataType.simpleString()}", f"{PLACE} long", *[f"`{n}` {t}" for n, t in outputs.items()]])
+        return self.with_rows(sent.groupBy(BUCKET, KEY).applyInArrow(run, schema))
+
+    def with_rows(self, found: DataFrame) -> SeriesFrame:
+        """The rows with the other columns of ``found``, which has one row for each by ``KEY`` and ``PLACE``."""
+        fresh = [c for c in found.columns if c not in (KEY, PLACE)]
+        mine = self.df.drop(*fresh).withColumns({KEY: F.struct(*self.keys), PLACE: F.col(self.pos).cast("long")})
+        return self.with_df(mine.join(found, [PLACE, KEY]).drop(PLACE, KEY))
 
     # -- unbounded frames ----------------------------------------------------------------
 
-    def _carry(self, rows: DataFrame, summary: list[Column], scan: Callable[[DataFrame, Span, Span], DataFrame],
+    def _carry(self, rows: DataFrame, summary: list[Column], scan: Callable[[DataFrame, Span, Span, list[str]], DataFrame],
                inner: str | None = None) -> DataFrame:
         """Join each bucket with what its predecessors (or successors) hand over.
 
-        ``summary`` are aggregates giving one row per bucket; ``scan`` turns these into
-        carried columns, with one span over the buckets of a group and one over groups.
+        ``rows`` come from ``placed``.  ``summary`` are aggregates giving one row per bucket; ``scan`` turns
+        these into carried columns, with one span over the buckets of a group, one over groups and
+        the columns that tell series apart.
         ``inner`` names a key with few values (a parameter grid) by which the placed rows
         were multiplied: its states travel as one map per bucket, so that the join needs
         the placement of the rows only and they stay where they are.
         """
-        keys = list(self.keys)
-        sums = rows.groupBy(*keys, BUCKET).agg(*summary)
+        keys = [KEY] if inner is None else list(self.keys)
+        sums = rows.groupBy(BUCKET, *keys).agg(*summary)
         sums = sums.withColumn("__group", floor_div(F.col(BUCKET), GROUP_BUCKETS))
-        within = Span(self.keys + ("__group",), BUCKET)
-        across = Span(self.keys, "__group")
-        carried = scan(sums, within, across).drop("__group")
+        within = Span(("__group", *keys), BUCKET)
+        across = Span(tuple(keys), "__group")
+        carried = scan(sums, within, across, keys).drop("__group")
         if inner is None:
-            return join_on(rows, carried, keys + [BUCKET], "left")
+            return rows.join(carried, [BUCKET, KEY], "left")
         outer = [k for k in keys if k != inner] + [BUCKET]
         states = [c for c in carried.columns if c not in (*keys, BUCKET)]
         packed = carried.groupBy(*outer).agg(
@@ -199,21 +292,20 @@ class SeriesFrame:
     def running(self, sums: dict[str, Column]) -> SeriesFrame:
         """Running totals from the start of the series, current row included."""
         names = list(sums)
-        keys = list(self.keys)
-        rows = self.df.withColumn(BUCKET, self.home()).withColumns({f"__in_{n}": c for n, c in sums.items()})
+        rows = self.placed(self.df.withColumns({f"__in_{n}": c for n, c in sums.items()}))
 
-        def scan(buckets: DataFrame, within: Span, across: Span) -> DataFrame:
+        def scan(buckets: DataFrame, within: Span, across: Span, keys: list[str]) -> DataFrame:
             before = within.ordered.rowsBetween(Window.unboundedPreceding, -1)
             local = buckets.withColumns({f"__w_{n}": F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)) for n in names})
             groups = buckets.groupBy(*keys, "__group").agg(*[F.sum(f"__t_{n}").alias(f"__g_{n}") for n in names])
             earlier = across.ordered.rowsBetween(Window.unboundedPreceding, -1)
             groups = groups.select(
                 *keys, "__group", *[F.coalesce(F.sum(f"__g_{n}").over(earlier), F.lit(0)).alias(f"__a_{n}") for n in names])
-            return join_on(local, groups, keys + ["__group"]).select(
+            return local.join(groups, ["__group", *keys]).select(
                 *keys, BUCKET, "__group", *[(F.col(f"__w_{n}") + F.col(f"__a_{n}")).alias(f"__c_{n}") for n in names])
 
         joined = self._carry(rows, [F.sum(f"__in_{n}").alias(f"__t_{n}") for n in names], scan)
-        span = Span(self.keys + (BUCKET,), self.pos)
+        span = Span((BUCKET, KEY), self.pos)
         out = joined.withColumns({
             n: F.coalesce(F.sum(f"__in_{n}").over(span.running), F.lit(0)) + F.coalesce(F.col(f"__c_{n}"), F.lit(0))
             for n in names})
@@ -227,14 +319,13 @@ class SeriesFrame:
         current row itself is left out.  Values may be structs.
         """
         backward, forward = dict(backward or {}), dict(forward or {})
-        keys = list(self.keys)
         inputs = {f"__in_{n}": c for n, c in {**backward, **forward}.items()}
-        rows = self.df.withColumn(BUCKET, self.home()).withColumns(inputs)
+        rows = self.placed(self.df.withColumns(inputs))
         pos_if = {n: F.when(F.col(f"__in_{n}").isNotNull(), F.col(self.pos)) for n in [*backward, *forward]}
         summary = [F.max_by(F.col(f"__in_{n}"), pos_if[n]).alias(f"__t_{n}") for n in backward]
         summary += [F.min_by(F.col(f"__in_{n}"), pos_if[n]).alias(f"__t_{n}") for n in forward]
 
-        def scan(buckets: DataFrame, within: Span, across: Span) -> DataFrame:
+        def scan(buckets: DataFrame, within: Span, across: Span, keys: list[str]) -> DataFrame:
             def last_before(span: Span, name: str) -> Column:
                 return F.last(name, ignorenulls=True).over(span.ordered.rowsBetween(Window.unboundedPreceding, -1))
 
@@ -252,12 +343,12 @@ class SeriesFrame:
                 *keys, "__group",
                 *[last_before(across, f"__g_{n}").alias(f"__a_{n}") for n in backward],
                 *[first_after(across, f"__g_{n}").alias(f"__a_{n}") for n in forward])
-            return join_on(buckets.withColumns(local), groups, keys + ["__group"]).select(
+            return buckets.withColumns(local).join(groups, ["__group", *keys]).select(
                 *keys, BUCKET, "__group",
                 *[F.coalesce(F.col(f"__w_{n}"), F.col(f"__a_{n}")).alias(f"__c_{n}") for n in [*backward, *forward]])
 
         joined = self._carry(rows, summary, scan)
-        span = Span(self.keys + (BUCKET,), self.pos)
+        span = Span((BUCKET, KEY), self.pos)
         end = -1 if strict else 0
         asc = span.ordered.rowsBetween(Window.unboundedPreceding, end)
         desc = Window.partitionBy(*span.partition).orderBy(F.col(self.pos).desc()).rowsBetween(Window.unboundedPreceding, end)
@@ -278,10 +369,13 @@ class SeriesFrame:
         The facts are first spread over the buckets of their series, so that the join key
         is never the bare series key.
         """
-        keys = list(self.keys)
         lo, hi = floor_div(F.col("first_pos"), self.bucket_rows), floor_div(F.col("last_pos"), self.bucket_rows)
-        spread = facts.withColumn(BUCKET, F.explode(F.sequence(lo, hi)))
-        return join_on(self.df.withColumn(BUCKET, self.home()), spread, keys + [BUCKET]).drop(BUCKET)
+        # in two steps, so that one row is not turned into all buckets of a series at once
+        wide = facts.withColumn(KEY, F.struct(*self.keys)).drop(*self.keys).withColumn(
+            "__wide", F.explode(F.sequence(floor_div(lo, GROUP_BUCKETS), floor_div(hi, GROUP_BUCKETS)))).repartition("__wide", KEY)
+        first, last = F.greatest(lo, F.col("__wide") * GROUP_BUCKETS), F.least(hi, F.col("__wide") * GROUP_BUCKETS + (GROUP_BUCKETS - 1))
+        spread = wide.withColumn(BUCKET, F.explode(F.sequence(first, last))).drop("__wide")
+        return self.placed().join(spread, [BUCKET, KEY]).drop(BUCKET, KEY)
 
     # -- row selection by position -------------------------------------------------------
 

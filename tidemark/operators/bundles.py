@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.frame import SeriesFrame, Step, step
+from tidemark.frame import Kernel, SeriesFrame, Step, renamed, step
 from tidemark.functions.numeric import ratio
 from tidemark.operators.rolling import area_ratio, linear_trends, past_weighted_aggregations, percent_change, rolling
 
@@ -17,11 +17,6 @@ DEPTH_COLUMNS = ["gap", "bids_1", "asks_1", "bids_2", "asks_2", "bids_5", "asks_
 DEPTH_WINDOWS, DEPTH_BASE = [2, 5, 10], 30
 
 
-def _rename(s: Step, name: str) -> Step:
-    old, last = s.names[0], s.phases[-1]
-    return Step([name], [*s.phases[:-1], lambda span: {name: last(span)[old]}], s.lookback, s.lookahead)
-
-
 def _against_base(source: str, fn: str, base: int, windows: list[int], name: str) -> tuple[list[Step], list[Step], list[str]]:
     """Rolling values relative (in percent) to the same aggregate over a longer window."""
     base_name = f"__base_{name}"
@@ -51,13 +46,13 @@ def market_bundle(frame: SeriesFrame, windows: list[int], base_window: int, func
     second = [step(f"__{d}", lambda span, d=d: {f"__{d}": derived[d]()}) for part, d in needs.items() if part in parts]
 
     bases: list[Step] = []
-    outputs: list[Step] = []
+    outputs: list[Step | Kernel] = []
     names: list[str] = []
     if "close_WMA" in parts:
         close, volume = source["close"], source["volume"]
-        bases.append(_rename(past_weighted_aggregations(close, volume, "mean", base_window)[0], "__base_wma"))
+        bases.append(renamed(past_weighted_aggregations(close, volume, "mean", base_window)[0], "__base_wma"))
         for w, s in zip(windows, past_weighted_aggregations(close, volume, "mean", windows, "_wma", "__base_wma", 100.0)):
-            outputs.append(_rename(s, f"close_{w}"))
+            outputs.append(renamed(s, f"close_{w}"))
             names.append(f"close_{w}")
     relative = [("close_STD", source["close"], "std", "close_std"), ("volume_SMA", source["volume"], "mean", "volume"),
                 ("span_SMA", "__span", "mean", "span"), ("trades_SMA", source["trades"], "mean", "trades"),
@@ -73,7 +68,7 @@ def market_bundle(frame: SeriesFrame, windows: list[int], base_window: int, func
     for part, build, column, name in plain:
         if part in parts:
             for w, s in zip(windows, build(column, windows)):
-                outputs.append(_rename(s, f"{name}_{w}"))
+                outputs.append(renamed(s, f"{name}_{w}"))
                 names.append(f"{name}_{w}")
     return frame.derive(prepare, second, bases, outputs), names
 
@@ -87,13 +82,3 @@ def depth_bundle(frame: SeriesFrame) -> tuple[SeriesFrame, list[str]]:
         outputs += o
         names += n
     return frame.derive(bases, outputs), names
-
-
-def constant_change(frame: SeriesFrame, column: str, add: float | None = None, multiply: float | None = None) -> tuple[SeriesFrame, list[str]]:
-    """A column plus, or times, a constant: the smallest possible custom generator."""
-    out = {}
-    if add is not None:
-        out[f"{column}_add"] = F.col(column) + add
-    if multiply is not None:
-        out[f"{column}_mul"] = F.col(column) * multiply
-    return frame.with_columns(out), list(out)

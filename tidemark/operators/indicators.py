@@ -9,15 +9,17 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.frame import SeriesFrame, Span, Step
+from tidemark.frame import Kernel, SeriesFrame, Span, Step
 from tidemark.functions.numeric import ratio
 from tidemark.operators import doubling as D
 from tidemark.operators import recursive
+from tidemark.operators.levels import Tree, window
 from tidemark.operators.raster import interpolate
-from tidemark.operators.rolling import convert_to_relative, rolling, slope
+from tidemark.operators.rolling import centred, convert_to_relative, rolling, slope
 
 Inputs = dict[str, str]
 
@@ -26,17 +28,6 @@ def _one(inputs: Inputs) -> str:
     return inputs["real"]
 
 
-def _full(columns: list[str], span: Span, w: int) -> Column:
-    ok = F.lit(True)
-    for c in columns:
-        ok = ok & (F.count(c).over(span.past(w)) == w)
-    return ok
-
-
-def _window(columns: list[str], w: int, name: str, value: Callable[[Span], Column]) -> Step:
-    return Step([name], [lambda span: {name: F.when(_full(columns, span, w), value(span))}], w - 1, 0)
-
-
 def _row(name: str, value: Callable[[Span], Column], lookback: int = 0) -> Step:
     return Step([name], [lambda span: {name: value(span)}], lookback, 0)
 
@@ -199,23 +190,26 @@ def _willr(inputs: Inputs, w: int, name: str) -> Step:
     return _from_steps(name, w, [*steps, rolling(c, "count", w, closes, strict=True)], value)
 
 
-def _cci(inputs: Inputs, w: int, name: str) -> Step:
-    typical = f"__typical_{name}"
-
-    def prepare(span: Span) -> dict[str, Column]:
-        return {typical: (F.col(inputs["high"]) + F.col(inputs["low"]) + F.col(inputs["close"])) / 3}
-
-    def result(span: Span) -> dict[str, Column]:
-        frame = span.past(w)
-        mean = F.avg(typical).over(frame)
-        total = F.aggregate(F.collect_list(F.col(typical)).over(frame), F.lit(0.0), lambda acc, x: acc + F.abs(x - mean))
-        away = F.col(typical) - mean
-        flat = (away == 0) | (total == 0)
+def _cci(inputs: Inputs, w: int, name: str) -> Kernel:
+    columns = [inputs[k] for k in ("high", "low", "close")]
+
+    def function(pos: np.ndarray, values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        typical = sum(values[c] for c in columns) / 3
+        x = centred(typical)
+        first, end = window(len(x), w, False)
+        tree = Tree(x, w)
+        n, total = (p := tree.parts(first, end, x)).n, p.total
+        mean = np.divide(total, n, out=np.full(len(x), np.nan), where=n > 0)
+        above, below = tree.parts(first, end, mean).areas(mean)
+        away, spread = x - mean, (above + below) / w
+        # equal values: nothing but rounding is left of the mean
+        flat = (away == 0) | (spread <= 4 * np.finfo(float).eps * np.abs(typical))
         # Fixed value: Lambert's constant 0.015.
-        value = F.when(flat, F.lit(0.0)).otherwise(ratio(away, total / w * 0.015))
-        return {name: F.when(_full([typical], span, w), value)}
+        with np.errstate(invalid="ignore", divide="ignore"):
+            value = np.where(flat, 0.0, away / (spread * 0.015))
+        return {name: np.where(n == w, value, np.nan)}
 
-    return Step([name], [prepare, result], w - 1, 0)
+    return Kernel({name: "double"}, list(dict.fromkeys(columns)), function, w - 1)
 
 
 # -- math ------------------------------------------------------------------------------------
@@ -229,7 +223,7 @@ def _positive(fn: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda c: fn(F.when(c > 0, c))
 
 
-INDICATORS: dict[str, Callable[[Inputs, int | None, str], Step]] = {
+INDICATORS: dict[str, Callable[[Inputs, int | None, str], Step | Kernel]] = {
     "SMA": _strict("mean"), "SUM": _strict("sum"), "MAX": _strict("max"), "MIN": _strict("min"),
     "VAR": _strict("var"), "STDDEV": _strict("std"), "MIDPOINT": _midpoint,
     "LINEARREG": _regression("end"), "LINEARREG_SLOPE": _regression("slope"),

@@ -6,9 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.frame import BUCKET, SeriesFrame, spread
+from tidemark.frame import Kernel, SeriesFrame
 from tidemark.functions.numeric import null_safe_false, ratio
 from tidemark.operators.rolling import future_aggregations
 
@@ -102,45 +101,22 @@ def first_crossings(frame: SeriesFrame, horizon: int, wanted: dict[str, tuple[st
     for name, (_, _, t) in wanted.items():
         if t == 0:
             raise ValueError(f"threshold of {name!r} cannot be zero")
-    rows = max(frame.bucket_rows, 4 * horizon)
-    home = frame.home(rows)
-    df = frame.df.withColumn(BUCKET, spread(home, F.col(frame.pos), rows, 0, horizon))
-    schema = T.StructType(frame.df.schema.fields + [T.StructField(n, T.LongType()) for n in wanted])
-    pos_name = frame.pos
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by(pos_name)
-        bucket = table[BUCKET][0].as_py()
-        pos = table[pos_name].to_numpy()
-        mine = (pos - pos % rows) // rows == bucket
-        complete = np.arange(len(pos)) + horizon < len(pos)
-        values, tables = {}, {}
-
-        def column(name: str) -> np.ndarray:
-            if name not in values:
-                values[name] = table[name].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
-            return values[name]
-
-        out = table.drop_columns([BUCKET])
+    def search(pos: np.ndarray, values: dict[str, np.ndarray]) -> dict[str, pa.Array]:
+        complete, tables, out = np.arange(len(pos)) + horizon < len(pos), {}, {}
         for name, (reference, price, threshold) in wanted.items():
             sign = 1.0 if threshold > 0 else -1.0
-            key = (price, sign)
-            x = column(price) * sign
+            x = values[price] * sign
             x = np.where(np.isnan(x), -np.inf, x)
-            if key not in tables:
-                tables[key] = _range_maxima(x, horizon)
-            level = column(reference) * (1 + threshold / 100.0) * sign
+            if (price, sign) not in tables:
+                tables[price, sign] = _range_maxima(x, horizon)
+            level = values[reference] * (1 + threshold / 100.0) * sign
             level = np.where(np.isnan(level), np.inf, level)
-            hit = first_above(x, level, horizon, tables[key])
-            out = out.append_column(name, pa.array(hit, type=pa.int64(), mask=(hit < 0) | ~complete))
-        return out.filter(pa.array(mine)).cast(_arrow_schema(out.schema, schema))
+            hit = first_above(x, level, horizon, tables[price, sign])
+            out[name] = pa.array(hit, type=pa.int64(), mask=(hit < 0) | ~complete)
+        return out
 
-    result = df.groupBy(*frame.keys, BUCKET).applyInArrow(search, schema)
-    return frame.with_df(result)
-
-
-def _arrow_schema(actual: pa.Schema, schema: T.StructType) -> pa.Schema:
-    return pa.schema([actual.field(f.name) for f in schema.fields])
+    columns = list(dict.fromkeys(c for reference, price, _ in wanted.values() for c in (reference, price)))
+    return frame.derive(Kernel({n: "long" for n in wanted}, columns, search, 0, horizon))
 
 
 def first_cross_labels(frame: SeriesFrame, columns: list[str], function: str, thresholds, tolerance: float, horizon: int,

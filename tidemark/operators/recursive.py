@@ -16,9 +16,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.frame import BUCKET, GROUP_BUCKETS, SeriesFrame, Span, Step, floor_div, join_on
+from tidemark.frame import BUCKET, GROUP_BUCKETS, KEY, PLACE, SeriesFrame, Span, Step, floor_div, join_on
 from tidemark.functions.numeric import ratio
 from tidemark.operators.rolling import rolling
 
@@ -135,13 +134,13 @@ def smooth(frame: SeriesFrame, wanted: dict[str, tuple[str, float]], need: dict[
     carried = carried.groupBy(*keys, BUCKET).agg(
         F.map_from_entries(F.collect_list(F.struct("which", F.struct("y", "w", "count")))).alias("__state"))
     states_in = {f"__{i}_{p}": F.col("__state")[n][p] for i, n in enumerate(names) for p in ("y", "w", "count")}
-    joined = join_on(rows, carried, [*keys, BUCKET]).withColumns(states_in).drop("__state")
-    schema = T.StructType(frame.df.schema.fields + [T.StructField(n, T.DoubleType()) for n in names])
-    fields, pos_name = [f.name for f in frame.df.schema.fields], frame.pos
+    # only the inputs and the entry states go to numpy
+    joined = join_on(narrow, carried, [*keys, BUCKET]).withColumns(states_in).drop("__state")
+    joined = joined.withColumnRenamed("__pos", PLACE).withColumn(KEY, F.struct(*keys)).drop(*keys)
 
     def apply(table: pa.Table) -> pa.Table:
-        table = table.sort_by(pos_name)
-        out = table.select(fields)
+        table = table.sort_by(PLACE)
+        out = table.select([KEY, PLACE])
         for i, n in enumerate(names):
             alpha = alphas[n]
             x = table[columns[n]].cast(pa.float64()).to_numpy(zero_copy_only=False).astype(float)
@@ -160,7 +159,8 @@ def smooth(frame: SeriesFrame, wanted: dict[str, tuple[str, float]], need: dict[
             out = out.append_column(n, pa.array(y, type=pa.float64(), mask=hide))
         return out
 
-    return frame.with_df(joined.groupBy(*keys, BUCKET).applyInArrow(apply, schema))
+    schema = ", ".join([f"{KEY} {joined.schema[KEY].dataType.simpleString()}", f"{PLACE} long", *[f"`{n}` double" for n in names]])
+    return frame.with_rows(joined.groupBy(BUCKET, KEY).applyInArrow(apply, schema))
 
 
 def exponential_mean(frame: SeriesFrame, column: str, span: float, name: str, need: int = 1) -> SeriesFrame:

@@ -10,12 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.frame import Phase, Span, Step
+from tidemark.frame import Kernel, Phase, Span, Step, renamed
 from tidemark.functions.numeric import ratio
 from tidemark.operators import doubling as D
+from tidemark.operators.levels import Tree, window
 
 # Aggregates by name; each skips NULLs.
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -134,25 +136,30 @@ def past_weighted_aggregations(column: str, weight: str | None, fn: str, windows
     return steps
 
 
-def area_ratio(column: str, windows, future: bool = False, suffix: str = "_area_ratio", need: int | None = None) -> list[Step]:
+def area_ratio(column: str, windows, future: bool = False, suffix: str = "_area_ratio", need: int | None = None) -> list[Kernel]:
     """Area above minus area below the level of this row, over both: in [-1, 1]."""
-    steps = []
-    for w in _windows(windows):
-        name = f"{column}{suffix}_{w}"
+    return [_area(column, w, f"{column}{suffix}_{w}", future, min_count(w) if need is None else need) for w in _windows(windows)]
 
-        def columns(span: Span, w=w, name=name) -> dict[str, Column]:
-            frame = span.next_with_current(w) if future else span.past(w)
-            level = F.col(column).cast("double")
-            values = F.collect_list(level).over(frame)
-            above = F.sum(level).over(frame) - level * F.count(column).over(frame)
-            both = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + F.abs(x - level))
-            ok = F.count(column).over(frame) >= (min_count(w) if need is None else need)
-            if future and w > 1:
-                ok = ok & F.lead(F.lit(True), w - 1).over(span.ordered).isNotNull()
-            return {name: F.when(ok, ratio(above, both))}
 
-        steps.append(Step([name], [columns], 0 if future else w - 1, w - 1 if future else 0))
-    return steps
+def centred(x: np.ndarray) -> np.ndarray:
+    """Differences to a typical value: areas do not change, and their sums lose fewer digits."""
+    known = x[np.isfinite(x)]
+    return x - (np.median(known) if len(known) else 0.0)
+
+
+def _area(column: str, w: int, name: str, future: bool, need: int) -> Kernel:
+    def function(pos: np.ndarray, values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        x = centred(values[column])
+        first, end = window(len(x), w, future)
+        parts = Tree(x, w).parts(first, end, x)
+        above, below = parts.areas(x)
+        ok = (parts.n >= need) & ~np.isnan(x) & (above + below != 0)
+        if future:
+            ok &= end - first == w
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return {name: np.where(ok, (above - below) / (above + below), np.nan)}
+
+    return Kernel({name: "double"}, [column], function, 0 if future else w - 1, w - 1 if future else 0)
 
 
 def _slope_single(value: Column, n: Column) -> Column:
@@ -275,7 +282,7 @@ def mean_second_derivative(column: str, w: int, name: str) -> Step:
     return Step([name], [*D.together(counts, phases), finish], w - 1, 0)
 
 
-STATISTICS: dict[str, Callable[..., Step]] = {
+STATISTICS: dict[str, Callable[..., Step | Kernel]] = {
     "skew": skewness,
     "kurtosis": kurtosis,
     "lsbm": longest_below_mean,
@@ -283,18 +290,12 @@ STATISTICS: dict[str, Callable[..., Step]] = {
     "msdc": mean_second_derivative,
     "mean": lambda c, w, n: rolling(c, "mean", w, n),
     "std": lambda c, w, n: rolling(c, "std", w, n),
-    "area": lambda c, w, n: _renamed(area_ratio(c, w)[0], n),
+    "area": lambda c, w, n: renamed(area_ratio(c, w)[0], n),
     "slope": lambda c, w, n: slope(c, w, n),
 }
 
 
-def _renamed(s: Step, name: str) -> Step:
-    old = s.names[0]
-    last = s.phases[-1]
-    return Step([name], [*s.phases[:-1], lambda span: {name: last(span)[old]}], s.lookback, s.lookahead)
-
-
-def window_statistics(column: str, functions: list[str], windows, bias: bool = False) -> list[Step]:
+def window_statistics(column: str, functions: list[str], windows, bias: bool = False) -> list[Step | Kernel]:
     """Named statistics over several windows, called ``column_function_window``."""
     out = []
     for fn in functions:

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.frame import BUCKET, SeriesFrame, Span, number_rows, join_on
+from tidemark.frame import BUCKET, KEY, SeriesFrame, Span, number_rows, join_on
 from tidemark.functions.intervals import micros
 from tidemark.functions.numeric import null_safe_false, ratio, round_down_text, round_text, truncate_decimal
 from tidemark.operators.scores import threshold_rule, threshold_rule_two
@@ -28,8 +28,9 @@ def alternating_transactions(frame: SeriesFrame, buy: str, sell: str, price: str
     """
     b, s = null_safe_false(F.col(buy)), null_safe_false(F.col(sell))
     rows = frame.df.where((b | s) & F.col(price).isNotNull() & (F.col(price) != 0))
+    by = list(frame.keys) if grid_key else [KEY]
     if BUCKET not in rows.columns:
-        rows = rows.withColumn(BUCKET, frame.home())
+        rows = frame.placed(rows)
 
     def compose(df: DataFrame, span: Span, sets: Column, flips: Column, prefix: str) -> DataFrame:
         """State map from the start of the span up to each row: (known, value) and flip."""
@@ -41,12 +42,11 @@ def alternating_transactions(frame: SeriesFrame, buy: str, sell: str, price: str
         # with a base the state is known; without one the entry state is kept or flipped
         return df.withColumns({f"{prefix}known": F.when(known.isNotNull(), known["v"] != odd), f"{prefix}flip": odd})
 
-    span = Span(frame.keys + (BUCKET,), frame.pos)
+    span = Span((*by, BUCKET) if grid_key else (BUCKET, *by), frame.pos)
     rows = compose(rows, span, F.when(b != s, b), b & s, "__r")
     end = F.struct(F.col("__rknown").alias("known"), F.col("__rflip").alias("flip"))
 
-    def scan(buckets: DataFrame, within: Span, across: Span) -> DataFrame:
-        keys = list(frame.keys)
+    def scan(buckets: DataFrame, within: Span, across: Span, keys: list[str]) -> DataFrame:
         buckets = buckets.withColumns({"__sets": F.col("__end.known"), "__flips": F.col("__end.known").isNull() & F.col("__end.flip")})
         inner = compose(buckets, within, F.col("__sets"), F.col("__flips"), "__i")
         groups = inner.groupBy(*keys, "__group").agg(
@@ -56,7 +56,7 @@ def alternating_transactions(frame: SeriesFrame, buy: str, sell: str, price: str
         after_group = F.coalesce(F.col("__gknown"), F.col("__gflip"))
         groups = groups.select(*keys, "__group", F.coalesce(
             F.lag(after_group, 1).over(across.ordered), F.lit(False)).alias("__entry"))
-        both = join_on(inner, groups, [*keys, "__group"])
+        both = inner.join(groups, ["__group", *keys]) if keys == [KEY] else join_on(inner, groups, [*keys, "__group"])
         after = F.coalesce(F.col("__iknown"), F.col("__iflip") != F.col("__entry"))
         return both.select(*keys, BUCKET, "__group", F.coalesce(
             F.lag(after, 1).over(within.ordered), F.col("__entry")).alias("__before"))

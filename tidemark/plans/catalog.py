@@ -1,7 +1,8 @@
 """Registry of the catalogue: named queries over the provided tables with comparison SQL.
 
 Both sides end in the same typed projection: text, whole numbers (times as epoch seconds,
-flags as 0/1) and doubles rounded to six digits.
+flags as 0/1) and doubles rounded to six digits, or to nine where short fractions, such as
+77/640, would lie just between two results.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Build = Callable[[SparkSession, str], DataFrame]
-DIGITS = 6
+DIGITS = {"d": 6, "f": 9}
 
 
 @dataclass(frozen=True)
@@ -31,7 +32,7 @@ def _columns(spec: str) -> list[tuple[str, str]]:
 
 
 def project(df: DataFrame, spec: str) -> DataFrame:
-    """Typed projection; kinds are s (text), b (whole number), d (double)."""
+    """Typed projection; kinds are s (text), b (whole number), d and f (doubles)."""
     out = []
     for name, kind in _columns(spec):
         c = F.col(f"`{name}`")
@@ -41,13 +42,13 @@ def project(df: DataFrame, spec: str) -> DataFrame:
         elif kind == "b":
             value = F.unix_seconds(c.cast("timestamp")) if isinstance(of, (T.TimestampType, T.TimestampNTZType, T.DateType)) else c.cast("long")
         else:
-            value = F.round(c.cast("double"), DIGITS) + F.lit(0.0)
+            value = F.round(c.cast("double"), DIGITS[kind]) + F.lit(0.0)
         out.append(value.alias(name))
     return df.select(*out)
 
 
 def _typed_sql(spec: str, body: str) -> str:
-    kinds = {"s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BIGINT)", "d": f"round(CAST({{0}} AS DOUBLE), {DIGITS}) + 0.0"}
+    kinds = {"s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BIGINT)", **{k: f"round(CAST({{0}} AS DOUBLE), {n}) + 0.0" for k, n in DIGITS.items()}}
     columns = ", ".join(f'{kinds[k].format(chr(34) + n + chr(34))} AS "{n}"' for n, k in _columns(spec))
     return f"SELECT {columns} FROM ({body})"
 

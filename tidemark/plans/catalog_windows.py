@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.frame import Kernel
 from tidemark.operators import bundles, extremum, labels
 from tidemark.operators import rolling as R
 from tidemark.operators.indicators import indicators
@@ -103,7 +105,7 @@ ANY_WIDTH = [5, 63, 64, 288]
 
 def _nonfinite(spark, sf_dir):
     frame = inputs.ticks(spark, sf_dir).with_columns({
-        "x": F.when(F.col("pos") % 701 == 3, F.lit(float("inf"))).when(F.col("pos") % 997 == 5, 1e290).otherwise(F.col("price") * 0.7310585786300049),
+        "x": F.when(F.col("pos") % 701 == 3, F.lit(float("inf"))).when(F.col("pos") % 997 == 5, 1e290).otherwise(F.col("price") * 0.00007310585786300049),
         "k": (F.col("size") * 3).cast("long")})
     frame = frame.derive([*R.past_aggregations("x", "mean", ANY_WIDTH), *R.past_aggregations("x", "std", ANY_WIDTH), *R.linear_trends("x", ANY_WIDTH),
                           *R.past_aggregations("k", "sum", ANY_WIDTH), *R.past_aggregations("k", "max", ANY_WIDTH)])
@@ -113,7 +115,7 @@ def _nonfinite(spark, sf_dir):
 register("rolling_nonfinite", spec([f"x_{fn}_{w}" for fn in ("mean", "std", "trend") for w in ANY_WIDTH]) + " " + " ".join(f"{c}_{w}:b" for c in ("k_sum", "k_max") for w in ANY_WIDTH),
          _nonfinite,
          TICKS_SQL + """,
-v AS (SELECT series, pos, CASE WHEN pos % 701 = 3 OR pos % 997 = 5 THEN NULL ELSE price * 0.7310585786300049::DOUBLE END AS x, CAST(size * 3 AS BIGINT) AS k FROM ticks),
+v AS (SELECT series, pos, CASE WHEN pos % 701 = 3 OR pos % 997 = 5 THEN NULL ELSE price * 0.00007310585786300049::DOUBLE END AS x, CAST(size * 3 AS BIGINT) AS k FROM ticks),
 w AS (SELECT series, pos, """ + ", ".join(
              [f"count(x) OVER {past(w)} = count(*) OVER {past(w)} AS fine_{w}" for w in ANY_WIDTH]
              + [f"{rolled('x', fn, w)} AS x_{fn}_{w}" for fn in ("mean", "std") for w in ANY_WIDTH] + [f"{sloped('x', w)} AS x_trend_{w}" for w in ANY_WIDTH]
@@ -128,11 +130,19 @@ def area_sql(c: str, frame: str, enough: str, name: str) -> str:
             f"/ nullif(list_sum(list_transform({values}, lambda x: abs(x - {c}))), 0) END AS {name}")
 
 
-register("area_ratio", spec(["close_area_ratio_6", "close_area_ratio_24"]),
+register("area_ratio", spec(["close_area_ratio_6", "close_area_ratio_24"], "f"),
          lambda s, d: inputs.bars(s, d).derive(R.area_ratio("close", [6, 24])).df, EVENT_SQL,
          "SELECT series, pos, " + ", ".join(
              area_sql("close", past(w), f"count(close) OVER {past(w)} >= {w // 2}", f"close_area_ratio_{w}") for w in (6, 24)) + " FROM bars")
 
+register("area_ratio_long", spec(["level_area_ratio_672"], "f"),
+         lambda s, d: inputs.ticks(s, d).with_columns({"level": F.col("price") / 10000.0}).derive(R.area_ratio("level", 672)).df,
+         TICKS_SQL + """,
+v AS (SELECT series, pos, price / 10000.0 AS x FROM ticks),
+s AS (SELECT a.series, a.pos, count(b.x) AS n, sum(b.x - a.x) AS up, sum(abs(b.x - a.x)) AS span
+  FROM (SELECT *, unnest(range(0, 672)) AS k FROM v) a JOIN v b ON b.series = a.series AND b.pos = a.pos - a.k GROUP BY a.series, a.pos)""",
+         "SELECT series, pos, CASE WHEN n >= 336 THEN up / nullif(span, 0) END AS level_area_ratio_672 FROM s")
+
 register("linear_trend", spec(["close_trend_2", "close_trend_6", "close_trend_24"]),
          lambda s, d: inputs.bars(s, d).derive(R.linear_trends("close", [2, 6, 24])).df, EVENT_SQL,
          "SELECT series, pos, " + ", ".join(f"{sloped('close', w)} AS close_trend_{w}" for w in (2, 6, 24)) + " FROM bars")
@@ -202,6 +212,25 @@ register("user_aggregate", spec(["spread"]),
          f"SELECT series, pos, CASE WHEN count(close) OVER {past(8)} >= 4 THEN max(close) OVER {past(8)} - min(close) OVER {past(8)} END AS spread FROM bars")
 
 
+def _place_in_window(pos: np.ndarray, values: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A user's kernel: how many of the last 30 and of the next 10 values lie below this row's."""
+    x = values["price"]
+    earlier, later = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    for k in range(1, 30):
+        earlier[k:] += x[:-k] < x[k:]
+    for k in range(1, 11):
+        later[:-k] += x[k:] < x[:-k]
+    return {"below_before": earlier, "below_after": later}
+
+
+register("user_kernel", KEY + "below_before:b below_after:b",
+         lambda s, d: inputs.ticks(s, d).derive(Kernel({"below_before": "long", "below_after": "long"}, ["price"], _place_in_window, 29, 10)).df,
+         TICKS_SQL + """,
+l AS (SELECT series, pos, price, list(price) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS b,
+  list(price) OVER (PARTITION BY series ORDER BY pos ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS a FROM ticks)""",
+         """SELECT series, pos, len(list_filter(b, lambda x: x < price))::BIGINT AS below_before, len(list_filter(a, lambda x: x < price))::BIGINT AS below_after FROM l""")
+
+
 def _prefixed(spark, sf_dir):
     frame = inputs.bars(spark, sf_dir)
     frame = frame.with_df(frame.df.select("series", "ts", "pos", F.col("close").alias("btc_close"), F.col("open").alias("eth_close")))
@@ -388,7 +417,7 @@ w AS (SELECT series, pos, close, volume, {', '.join(
     + [area_sql('close', past(w), f'count(close) OVER {past(w)} >= {w // 2}', f'close_area_{w}') for w in (4, 12)])} FROM m)"""
 market_names = [f"close_{w}" for w in (4, 12)] + [f"{n}_{w}" for n, _, _ in MARKET for w in (4, 12)] + [
     f"{n}_{w}" for n in ("close_area", "close_trend", "volume_trend") for w in (4, 12)]
-register("market_bundle", spec(market_names), _market, market_sql,
+register("market_bundle", " ".join([KEY.strip(), *[f"{n}:{'f' if n.startswith('close_area') else 'd'}" for n in market_names]]), _market, market_sql,
          "SELECT series, pos, " + ", ".join(
              [f"100 * (wma_{w} - wma_24) / nullif(wma_24, 0) AS close_{w}" for w in (4, 12)]
              + [f"100 * ({n}_{w} - {n}_24) / nullif({n}_24, 0) AS {n}_{w}" for n, _, _ in MARKET for w in (4, 12)]
