@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from tidemark.operators import models as ML
 from tidemark.operators.raster import Source, densify, merge_sources, positions
 from tidemark.operators.rolling import past_aggregations
+from tidemark.operators.scores import score_band
 from tidemark.plans.specs import GENERATORS, apply_specs
 from tidemark.sources import bars as src
 from tidemark.streaming import bars as stream
-from tidemark.streaming.stateful import rocksdb_state, stream_band_changes, stream_transactions
+from tidemark.streaming.stateful import BANDS, TRANSACTIONS, stream_band_changes, stream_transactions
 
 
 def hourly(spark, rows, columns="x double"):
@@ -179,25 +180,46 @@ def test_stream_equals_batch(spark, tmp_path):
     assert stream.BarTable(table.path, ("series",), "1h", retain_rows=24).hot(spark).count() == 48
 
 
-def test_stateful_streams(spark, tmp_path):
+def test_folds_over_each_series(make_frame):
+    """Series of unequal length are each walked to their end; every row after the first part is predicted once."""
+    frame = make_frame({s: {"x": np.arange(float(n))} for s, n in (("a", 100), ("b", 13), ("c", 3))})
+    rows = ML.fold_rows(frame, ML.SeriesFolds(4, 2, 10)).toPandas()
+    for s, n in (("a", 100), ("b", 13), ("c", 3)):
+        mine = rows[rows.series == s]
+        predicted = mine[mine.role == "predict"]
+        assert sorted(predicted.row_no) == list(range(n // 5, n))
+        for k, part in mine.groupby("step"):
+            cut = n * (k + 1) // 5
+            assert sorted(part[part.role == "predict"].row_no) == list(range(cut, n * (k + 2) // 5))
+            assert sorted(part[part.role == "train"].row_no) == list(range(max(0, cut - 3 - 10), max(0, cut - 3)))
+
+
+@pytest.mark.parametrize("files_per_batch", [1, None])
+def test_stateful_streams(spark, tmp_path, files_per_batch):
+    """One row per series goes from micro-batch to micro-batch, whatever these hold; a repeated one replaces its results."""
     n = 60
     rng = np.random.default_rng(3)
     rows = [(s, h, float(v), float(p)) for s in ("a", "b") for h, (v, p) in enumerate(zip(rng.uniform(-1, 1, n), rng.uniform(5, 9, n)))]
     df = hourly(spark, rows, "score double, price double")
     for k in range(3):
         df.where(F.floor(F.unix_seconds("ts") / 3600 / 20) == k).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
-    files = stream.stream_table(spark, str(tmp_path / "in"), df.schema, files_per_batch=1)
-    outs = {
-        "t": stream_transactions(files.withColumns({"buy": F.col("score") > 0.3, "sell": F.col("score") < -0.3}), "series", "buy", "sell", "price"),
-        "b": stream_band_changes(files, "series", "score", [0.3, 0.6], [-0.3]),
-    }
-    got = {}
-    for name, out in outs.items():
-        with rocksdb_state(spark):
-            q = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / name)).option(
-                "checkpointLocation", str(tmp_path / f"{name}_state")).trigger(availableNow=True).start()
-            q.awaitTermination()
-        got[name] = spark.read.parquet(str(tmp_path / name)).orderBy("series", "ts").collect()
+    files = stream.stream_table(spark, str(tmp_path / "in"), df.schema, files_per_batch)
+    signals = files.withColumns({"buy": F.col("score") > 0.3, "sell": F.col("score") < -0.3})
+    t = stream_transactions(signals, "series", "buy", "sell", "price", str(tmp_path / "t"))
+    b = stream_band_changes(files, "series", "score", [0.3, 0.6], [-0.3], str(tmp_path / "b"))
+    got = {"t": t.read(spark, TRANSACTIONS).orderBy("series", "ts").collect(), "b": b.read(spark, BANDS).orderBy("series", "ts").collect()}
+    for r, before in zip(got["t"][1:], got["t"]):
+        if r.series == before.series:
+            assert r.profit == pytest.approx((before.price - r.price) * (1 if r.status == "BUY" else -1))
+    # the last micro-batch once more
+    number = 2 if files_per_batch else 0
+    last = df.where(F.floor(F.unix_seconds("ts") / 3600 / 20) == 2) if files_per_batch else df
+    again = last.select("series", "ts", F.col("score").alias("score"), score_band(F.col("score"), [0.3, 0.6], [-0.3]).cast("int").alias("band"))
+    b.handle(again, number)
+    assert b.read(spark, BANDS).orderBy("series", "ts").collect() == got["b"]
+    # nothing new, nothing changes
+    stream_transactions(signals, "series", "buy", "sell", "price", str(tmp_path / "t"))
+    assert t.read(spark, TRANSACTIONS).count() == len(got["t"])
     for s in ("a", "b"):
         mine, last = [r for r in rows if r[0] == s], None
         want = []

@@ -13,6 +13,7 @@ from tidemark.functions import numeric as N
 from tidemark.operators import metrics as M
 from tidemark.operators import scores as S
 from tidemark.operators import trades as T
+from tidemark.operators import models as ML
 from tidemark.operators import upsert as U
 from tidemark.operators.depth import depth_bins
 
@@ -214,6 +215,19 @@ def test_updates(spark):
     assert U.overlap_differences(old, new, key, ["x"]).first().differing == ["x"]
 
 
+def test_updates_of_null_keys_and_repeated_rows(spark, tmp_path):
+    old = spark.createDataFrame([(None, 1, 1.0), ("a", None, 2.0)], "s string, t int, x double")
+    new = spark.createDataFrame([(None, 1, 5.0), (None, 1, 3.0), ("a", None, 7.0)], "s string, t int, x double")
+    key, rows = ["s", "t"], lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows(U.combine_update(old, new.where("x <> 3"), key)) == [("a", None, 7.0), (None, 1, 5.0)]
+    assert rows(U.replace_rows(old, new, key)) == [("a", None, 7.0), (None, 1, 5.0)]
+    dated = new.withColumn("seen", -F.col("x"))
+    assert [r[2] for r in rows(U.replace_rows(old.withColumn("seen", F.lit(0.0)), dated, key, ["seen"]))] == [7.0, 3.0]
+    assert tuple(U.overlap_mismatches(old, new.where("x <> 3"), key, ["x"]).first()) == (2, 2)
+    ML.fit_statistic(old, "x", str(tmp_path / "m"), ["s"])
+    assert rows(ML.deviation_from_fitted(new, "x", str(tmp_path / "m"), "d", ["s"]).select("d")) == [(2.0,), (4.0,), (5.0,)]
+
+
 def test_notnull_tail(make_frame):
     f = make_frame({"a": {"x": [1., np.nan, 3., 4.], "y": [1., 2, np.nan, 4.]}, "b": {"x": [1.], "y": [1.]}})
     got = {r.series: r.tail_rows for r in U.notnull_tail(f.df, ["series"], "pos", ["x", "y"]).collect()}

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.frame import SeriesFrame, number_rows, settle
+from tidemark.frame import SeriesFrame, join_on, number_rows, settle
 from tidemark.functions.numeric import clean
 
 VECTOR, SCALED, TARGET, WEIGHT = "features_vector", "features_scaled", "target", "row_weight"
@@ -226,19 +226,21 @@ def longest(frame: SeriesFrame) -> int:
     return frame.bounds().agg(F.max(F.col("last_pos") - F.col("first_pos") + 1)).first()[0] or 0
 
 
-def fold_table(spark: SparkSession, folds: list[Fold]) -> DataFrame:
-    """The fold ranges as a table with one row per fold and role."""
-    rows = [(f.step, role, a, b) for f in folds
-            for role, a, b in (("train", f.train_start, f.train_end), ("predict", f.predict_start, f.predict_end))]
-    return spark.createDataFrame(rows, "step long, role string, first_row long, end_row long")
+def fold_rows(frame: SeriesFrame, folds: list[Fold] | SeriesFolds) -> DataFrame:
+    """Rows with the folds and roles they take part in: a row appears once for each."""
+    rows = frame.attach(frame.bounds()).withColumns({"row_no": F.col(frame.pos) - F.col("first_pos"), "n_rows": F.col("last_pos") - F.col("first_pos") + 1})
+    if isinstance(folds, SeriesFolds):
+        ranges = [(k, *folds.ranges(k)) for k in range(folds.steps)]
+    else:
+        ranges = [(f.step, *[F.lit(x) for x in (f.train_start, f.train_end, f.predict_start, f.predict_end)]) for f in folds]
 
+    def part(step: int, role: str, first: Column, end: Column) -> Column:
+        inside = (F.col("row_no") >= first) & (F.col("row_no") < end)
+        return F.when(inside, F.struct(F.lit(step).cast("long").alias("step"), F.lit(role).alias("role")))
 
-def fold_rows(frame: SeriesFrame, folds: list[Fold]) -> DataFrame:
-    """Rows with the folds and roles they take part in.  The fold table is a driver-side list."""
-    rows = frame.attach(frame.bounds()).withColumn("row_no", F.col(frame.pos) - F.col("first_pos")).drop("first_pos", "last_pos")
-    table = fold_table(frame.df.sparkSession, folds)
-    inside = (F.col("row_no") >= F.col("first_row")) & (F.col("row_no") < F.col("end_row"))
-    return rows.join(F.broadcast(table), inside).drop("first_row", "end_row")
+    parts = [p for step, a, b, c, d in ranges for p in (part(step, "train", a, b), part(step, "predict", c, d))]
+    rows = rows.withColumn("__part", F.explode(F.array_compact(F.array(*parts))))
+    return rows.withColumns({"step": F.col("__part.step"), "role": F.col("__part.role")}).drop("__part", "first_pos", "last_pos", "n_rows")
 
 
 def walk_forward(frame: SeriesFrame, features: list[str], labels: list[str], algorithms: list[dict], folds: list[Fold] | SeriesFolds,
@@ -279,7 +281,7 @@ def fit_statistic(df: DataFrame, column: str, path: str, keys: list[str] | None
 def deviation_from_fitted(df: DataFrame, column: str, path: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """Difference of a column to its stored mean."""
     stored = df.sparkSession.read.parquet(path)
-    joined = df.join(stored, keys, "left") if keys else df.crossJoin(F.broadcast(stored))
+    joined = join_on(df, stored, keys, "left") if keys else df.crossJoin(F.broadcast(stored))
     return joined.withColumn(name, F.col(column) - F.col("fitted")).drop("fitted")
 
 

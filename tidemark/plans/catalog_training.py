@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.frame import checkpoint_dir
+from tidemark.frame import checkpoint_dir, settle
 from tidemark.operators import metrics as M
 from tidemark.operators import models as ML
 from tidemark.operators.rolling import future_aggregations, past_aggregations
@@ -18,7 +18,7 @@ from tidemark.plans.catalog_signals import LIVE_SQL
 from tidemark.plans.catalog_windows import crossing_sql, rolled
 from tidemark.plans.inputs import EVENT_SQL, FILLED_SQL, TICKS_SQL
 from tidemark.streaming import bars as stream
-from tidemark.streaming.stateful import rocksdb_state, stream_band_changes, stream_transactions
+from tidemark.streaming.stateful import BANDS, TRANSACTIONS, rocksdb_state, stream_band_changes, stream_transactions
 
 # -- metrics ---------------------------------------------------------------------------------
 
@@ -145,23 +145,17 @@ def _walk(spark, sf_dir):
 WALK_FEATURES = ["close_mean_6", "close_mean_24", "close_std_24"]
 
 
-def _folds(frame):
-    return ML.resolve_folds(ML.longest(frame), 6, None, 100, 3, 300)
-
-
 def _fold_counts(spark, sf_dir):
-    frame = inputs.ticks(spark, sf_dir)
-    length = ML.longest(frame)
-    rows = ML.fold_rows(frame, ML.resolve_folds(length, 24, None, length // 6, 4, 2000))
+    rows = ML.fold_rows(inputs.ticks(spark, sf_dir), ML.SeriesFolds(4, 24, 2000))
     return rows.groupBy("series", "step", "role").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total"))
 
 
 register("walk_forward_folds", "series:s step:b role:s n:b total:d", _fold_counts,
          TICKS_SQL + """,
-size AS (SELECT max(pos) + 1 AS n, (max(pos) + 1) // 6 AS s FROM ticks),
-folds AS (SELECT k AS step, n - (4 - k) * s AS a, n - (3 - k) * s AS b, n - (4 - k) * s - 25 AS e FROM size, (SELECT unnest([0, 1, 2, 3]) AS k)),
-r AS (SELECT step, 'train' AS role, greatest(0, e - 2000) AS lo, e AS hi FROM folds UNION ALL SELECT step, 'predict', a, b FROM folds)""",
-         "SELECT series, step, role, count(*) AS n, sum(price) AS total FROM ticks JOIN r ON pos >= lo AND pos < hi GROUP BY 1, 2, 3")
+size AS (SELECT series AS s, max(pos) + 1 AS n FROM ticks GROUP BY 1),
+folds AS (SELECT s, k AS step, n * (k + 1) // 5 AS a, n * (k + 2) // 5 AS b, greatest(0, n * (k + 1) // 5 - 25) AS e FROM size, (SELECT unnest([0, 1, 2, 3]) AS k)),
+r AS (SELECT s, step, 'train' AS role, greatest(0, e - 2000) AS lo, e AS hi FROM folds UNION ALL SELECT s, step, 'predict', a, b FROM folds)""",
+         "SELECT series, step, role, count(*) AS n, sum(price) AS total FROM ticks JOIN r ON s = series AND pos >= lo AND pos < hi GROUP BY 1, 2, 3")
 
 register("walk_forward", "series:s ts:b step:b rise:b rise_lc:d",
          lambda s, d: ML.walk_forward(_walk(s, d).settle(), WALK_FEATURES, ["rise"], [{"name": "lc", "algo": "lc", "train": {"max_iter": 10, "reg": 0.01}}], ML.SeriesFolds(3, 6))[0])
@@ -169,15 +163,15 @@ register("walk_forward", "series:s ts:b step:b rise:b rise_lc:d",
 
 def _walk_coverage(spark, sf_dir):
     frame = _walk(spark, sf_dir).settle()
-    scored, _ = ML.walk_forward(frame, WALK_FEATURES, ["rise"], [{"name": "gb", "algo": "gb", "train": {"max_depth": 2, "num_boost_round": 2}}], _folds(frame))
+    scored, _ = ML.walk_forward(frame, WALK_FEATURES, ["rise"], [{"name": "gb", "algo": "gb", "train": {"max_depth": 2, "num_boost_round": 2}}], ML.SeriesFolds(3, 6))
     return scored.groupBy("series", "step").agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.count("rise_gb").alias("scored"))
 
 
 register("walk_forward_coverage", "series:s step:b first_row:b last_row:b scored:b", _walk_coverage, EVENT_SQL + """,
 r AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY pos) - 1 AS k FROM bars),
-size AS (SELECT max(k) + 1 AS n FROM r),
-folds AS (SELECT step, n - 300 + 100 * step AS a FROM size, (SELECT unnest([0, 1, 2]) AS step))""",
-         "SELECT series, step, min(k) AS first_row, max(k) AS last_row, count(*) AS scored FROM r JOIN folds ON k >= a AND k < a + 100 GROUP BY series, step")
+size AS (SELECT series AS s, max(k) + 1 AS n FROM r GROUP BY 1),
+folds AS (SELECT s, step, n * (step + 1) // 4 AS a, n * (step + 2) // 4 AS b FROM size, (SELECT unnest([0, 1, 2]) AS step))""",
+         "SELECT series, step, min(k) AS first_row, max(k) AS last_row, count(*) AS scored FROM r JOIN folds ON s = series AND k >= a AND k < b GROUP BY series, step")
 
 
 def _fitted(spark, sf_dir):
@@ -246,30 +240,43 @@ for late in (False, True):
              lambda s, d, late=late: _bar_table(s, d, late), TABLE_SQL, "SELECT series, epoch(ts) AS ts, close, close_mean_6 FROM r")
 
 
-def _score_stream(spark, sf_dir) -> DataFrame:
+def _score_stream(spark, sf_dir, files_per_batch: int | None = None) -> DataFrame:
+    """The scored bars in three files that follow each other in time."""
     path = f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}/in"
-    scored = inputs.scored(spark, sf_dir).df.select("series", "ts", "close", "trade_score")
-    scored.repartitionByRange(3, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return stream.stream_table(spark, path, scored.schema)
+    scored = settle(inputs.scored(spark, sf_dir).df.select("series", "ts", "close", "trade_score"))
+    bounds = scored.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    for k in range(3 if bounds.a else 0):
+        part = F.floor(3 * F.unix_micros("ts").cast("double") / 1e6 - 3 * bounds.a.timestamp()) / (bounds.b.timestamp() - bounds.a.timestamp() + 1)
+        scored.where(F.floor(part) == k).coalesce(1).write.mode("append").parquet(path)
+    return stream.stream_table(spark, path, scored.schema, files_per_batch)
+
 
+def _stream_folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
 
-def _stream_transactions(spark, sf_dir):
-    df = _score_stream(spark, sf_dir)
+
+def _stream_transactions(spark, sf_dir, files_per_batch: int | None = None):
+    df = _score_stream(spark, sf_dir, files_per_batch)
     buy, sell = threshold_rule("trade_score", 0.25, -0.15)
-    out = stream_transactions(df.withColumns({"buy": buy, "sell": sell}), "series", "buy", "sell", "close")
-    return _finished(out, spark)
+    return stream_transactions(df.withColumns({"buy": buy, "sell": sell}), "series", "buy", "sell", "close", _stream_folder(spark)).read(spark, TRANSACTIONS)
+
 
+def _stream_bands(spark, sf_dir, files_per_batch: int | None = None):
+    return stream_band_changes(_score_stream(spark, sf_dir, files_per_batch), "series", "trade_score", [0.2, 0.4], [-0.1, -0.25], _stream_folder(spark)).read(spark, BANDS)
 
-register("stream_transactions", "series:s ts:b price:d profit:d status:s", _stream_transactions, LIVE_SQL,
-         "SELECT series, epoch(ts) AS ts, close AS price, profit, side AS status FROM paid")
 
-register("stream_band_changes", "series:s ts:b band:b band_up:b band_down:b",
-         lambda s, d: _finished(stream_band_changes(_score_stream(s, d), "series", "trade_score", [0.2, 0.4], [-0.1, -0.25]), s),
-         LIVE_SQL.split(",\nsig AS")[0] + """,
+# the history in one micro-batch, and one file at a time
+for suffix, files in (("", None), ("_many_batches", 1)):
+    register(f"stream_transactions{suffix}", "series:s ts:b price:d profit:d status:s",
+             lambda s, d, files=files: _stream_transactions(s, d, files), LIVE_SQL,
+             "SELECT series, epoch(ts) AS ts, close AS price, profit, side AS status FROM paid")
+    register(f"stream_band_changes{suffix}", "series:s ts:b band:b band_up:b band_down:b",
+             lambda s, d, files=files: _stream_bands(s, d, files),
+             LIVE_SQL.split(",\nsig AS")[0] + """,
 b AS (SELECT series, pos, ts, CASE WHEN trade_score >= 0.4 THEN 2 WHEN trade_score >= 0.2 THEN 1 WHEN trade_score < -0.25 THEN -2
   WHEN trade_score < -0.1 THEN -1 ELSE 0 END AS band FROM scored),
 p AS (SELECT *, lag(band) OVER (PARTITION BY series ORDER BY pos) AS prev FROM b)""",
-         """SELECT series, epoch(ts) AS ts, band, prev IS NULL OR abs(band) > abs(prev) AS band_up, prev IS NULL OR abs(band) < abs(prev) AS band_down
+             """SELECT series, epoch(ts) AS ts, band, prev IS NULL OR abs(band) > abs(prev) AS band_up, prev IS NULL OR abs(band) < abs(prev) AS band_down
   FROM p WHERE prev IS NULL OR abs(band) <> abs(prev)""")
 
 
