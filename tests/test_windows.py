@@ -6,7 +6,8 @@ import pytest
 from conftest import random_walk
 from pyspark.sql import functions as F
 
-from tidemark.frame import Kernel
+from tidemark.frame import Kernel, SeriesFrame
+from tidemark.operators import recursive
 from tidemark.operators import rolling as R
 from tidemark.operators.indicators import indicators
 from tidemark.operators.labels import first_crossings
@@ -305,6 +306,40 @@ def test_recursive_indicators(make_frame, column_of):
     assert np.isnan(column_of(out, f"x_EMA_{n}", "b")).all()
 
 
+def test_recursive_indicators_in_one_pass(make_frame, column_of, monkeypatch):
+    """All functions and windows, also windows over several buckets, settle the frame once and place it as often as one would."""
+    x = random_walk(200, 12)
+    x[:9] = np.nan
+    settled = []
+    monkeypatch.setattr(recursive, "settle", lambda df, real=recursive.settle: settled.append("maps") or real(df))
+    real = SeriesFrame.settle
+    monkeypatch.setattr(SeriesFrame, "settle", lambda self: settled.append("rows") or real(self))
+    f = make_frame({"a": {"x": x}, "b": {"x": np.full(30, np.nan)}, "c": {"x": random_walk(3, 5)}})
+    out, names = indicators(f, "x", ["EMA", "DEMA", "TEMA", "RSI"], [2, 5, 40], fill_gaps=False)
+    assert settled == ["rows", "maps"] and not [c for c in out.df.columns if "__" in c]
+    out = real(out)
+    for w in (2, 5, 40):
+        e1 = _ema(x, w)
+        e2 = _ema(e1, w)
+        e3 = _ema(e2, w)
+        np.testing.assert_allclose(column_of(out, f"x_EMA_{w}"), e1, atol=1e-9)
+        np.testing.assert_allclose(column_of(out, f"x_TEMA_{w}"), 3 * e1 - 3 * e2 + e3, atol=1e-8)
+    for n in names:
+        assert np.isnan(column_of(out, n, "b")).all() and len(column_of(out, n, "c")) == 3
+
+
+def test_recursion_passes_over_unknown_values(make_frame, column_of):
+    """A row without a value has no result, wherever it is, and the others are those of the known values alone."""
+    x = random_walk(90, 13)
+    gaps = np.random.default_rng(2).random(90) < 0.3
+    with_gaps = np.where(gaps, np.nan, x)
+    out, _ = indicators(make_frame({"a": {"x": with_gaps}}), "x", "DEMA", 6, fill_gaps=False)
+    e1 = _ema(x[~gaps], 6)
+    want = np.full(90, np.nan)
+    want[~gaps] = 2 * e1 - _ema(e1, 6)
+    np.testing.assert_allclose(column_of(out, "x_DEMA_6"), want, atol=1e-9)
+
+
 @pytest.mark.parametrize("nulls", [0.0, 0.6])
 def test_exponential_mean(make_frame, column_of, nulls):
     from tidemark.operators.recursive import exponential_mean

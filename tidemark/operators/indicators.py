@@ -283,7 +283,7 @@ def indicators(frame: SeriesFrame, columns, functions, windows=None, names=None,
         renamed = {c: f"filled__{c}" for c in dict.fromkeys(sources)}
         frame = interpolate(frame, list(renamed), renamed)
         inputs = {k: renamed[c] for k, c in inputs.items()}
-    steps, groups, produced = [], [], []
+    steps, endless, groups, produced = [], [], [], []
     for fn in functions:
         outs = []
         for j, w in enumerate(windows):
@@ -292,7 +292,7 @@ def indicators(frame: SeriesFrame, columns, functions, windows=None, names=None,
                 c = _one(inputs)
                 steps.append(_row(name, lambda s, c=c: F.col(c)))
             elif fn in recursive.RECURSIVE:
-                frame = recursive.RECURSIVE[fn](frame, inputs, w, name)
+                endless.append((fn, inputs, w, name))
             elif fn in INDICATORS:
                 steps.append(INDICATORS[fn](inputs, w, name))
             else:
@@ -300,7 +300,7 @@ def indicators(frame: SeriesFrame, columns, functions, windows=None, names=None,
             outs.append(name)
         groups.append(outs)
         produced.extend(outs)
-    frame = frame.derive(steps)
+    frame = recursive.recursive_indicators(frame, endless).derive(steps)
     final: dict[str, Column] = {}
     for outs in groups:
         values = convert_to_relative([F.col(n) for n in outs], rel_base, rel_func, percentage, compat)

@@ -10,6 +10,7 @@ rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,9 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.frame import BUCKET, GROUP_BUCKETS, KEY, PLACE, SeriesFrame, Span, Step, floor_div, join_on
+from tidemark.frame import BUCKET, GROUP_BUCKETS, KEY, PLACE, SeriesFrame, Span, Step, floor_div, join_on, settle
 from tidemark.functions.numeric import ratio
-from tidemark.operators.rolling import rolling
 
 # One summary: rows, leading NULL rows, number of values, first value, slope and constant of
 # the map from the first smoothed value to the last one, weight left at the end.
@@ -168,88 +168,225 @@ def exponential_mean(frame: SeriesFrame, column: str, span: float, name: str, ne
     return smooth(frame, {name: (column, 2.0 / (span + 1.0))}, {name: need})
 
 
-def seeded(frame: SeriesFrame, columns: dict[str, str], w: int, alpha: float) -> SeriesFrame:
-    """Smoothing that starts from the plain mean of the first ``w`` values.
+# -- seeded chains: the indicators with infinite memory ---------------------------------------
 
-    The inputs must be gapless after their first value.
+
+@dataclass(frozen=True)
+class Chain:
+    """An average of an average (of an average): ``depth`` recursions, each on the results of the one before.
+
+    Each starts from the plain mean of its first ``w`` inputs.  The recursion runs over known values; a
+    row without one has no result.  The results are called ``name1``, ``name2``, ...
+    """
+
+    name: str
+    column: str
+    w: int
+    alpha: float
+    depth: int = 1
+
+    @property
+    def outputs(self) -> list[str]:
+        return [f"{self.name}{k}" for k in range(1, self.depth + 1)]
+
+    def run(self, x: np.ndarray, before: int, entry: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Results of all stages over the values ``x`` that follow ``before`` others, and the state behind them.
+
+        The state has one number per stage: the share of the seed that is summed up so far, or the last
+        result.  Which of the two follows from ``before``, so a stretch of values is an affine map of the state.
+        The results of a stage belong to the last values of ``x``.
+        """
+        results, leave = [], entry.copy()
+        for k in range(self.depth):
+            seed = self.w - 1 - before
+            if seed >= len(x):
+                leave[k] = entry[k] + x.sum() / self.w
+                y = x[:0]
+            elif seed >= 0:
+                y = _recursion(entry[k] + x[: seed + 1].sum() / self.w, x[seed + 1 :], self.alpha)
+            else:
+                y = _recursion(entry[k], x, self.alpha)[1:]
+            if len(y):
+                leave[k] = y[-1]
+            results.append(y)
+            x, before = y, max(0, before - self.w + 1)
+        return results, leave
+
+    def map(self, x: np.ndarray, before: int) -> np.ndarray:
+        """The affine map of the state as a matrix with the constants in its last column; lower-triangular but for them."""
+        out = np.empty((self.depth, self.depth + 1))
+        out[:, -1] = self.run(x, before, np.zeros(self.depth))[1]
+        for k in range(self.depth):
+            unit = np.zeros(self.depth)
+            unit[k] = 1.0
+            out[:, k] = self.run(np.zeros(len(x)), before, unit)[1]
+        return out
+
+
+def _recursion(first: float, x: np.ndarray, alpha: float) -> np.ndarray:
+    return pd.Series(np.append(first, x)).ewm(alpha=alpha, adjust=False).mean().to_numpy()
+
+
+def _after(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The map of two stretches in a row."""
+    out = two[:, :-1] @ one
+    out[:, -1] += two[:, -1]
+    return out
+
+
+def chained(frame: SeriesFrame, chains: list[Chain]) -> SeriesFrame:
+    """The results of all chains in one carried pass.
+
+    A bucket is one affine map per chain; the maps are composed in two levels, and each bucket starts from its
+    entry state.  Rows are placed twice, both times with the input columns only.  The frame is read
+    three times; settle a long lineage before.
     """
-    frame = frame.settle()
-    seeds = {c: f"seed__{c}" for c in columns.values()}
-    frame = frame.derive([rolling(c, "mean", w, s, strict=True) for c, s in seeds.items()])
-    facts = frame.df.groupBy(*frame.keys).agg(
-        F.min(frame.pos).alias("first_pos"), F.max(frame.pos).alias("last_pos"),
-        *[F.min(F.when(F.col(c).isNotNull(), F.col(frame.pos))).alias(f"start__{c}") for c in seeds])
-    df = frame.attach(facts)
-    inputs = {}
-    for c, s in seeds.items():
-        at = F.col(frame.pos) - F.col(f"start__{c}")
-        inputs[f"in__{c}"] = F.when(at == w - 1, F.col(s)).when(at >= w, F.col(c))
-    df = df.withColumns(inputs)
-    out = smooth(frame.with_df(df), {n: (f"in__{c}", alpha) for n, c in columns.items()})
-    helpers = ["first_pos", "last_pos", *seeds.values(), *inputs, *[f"start__{c}" for c in seeds]]
-    return out.with_df(out.df.drop(*helpers))
-
-
-# -- indicators with infinite memory ---------------------------------------------------------
+    columns = list(dict.fromkeys(c.column for c in chains))
+    rows = frame.placed().select(KEY, BUCKET, F.col(frame.pos).cast("long").alias(PLACE), *[F.col(c).cast("double").alias(c) for c in columns])
+    kind = rows.schema[KEY].dataType.simpleString()
+    # known values before each bucket: the buckets of a series are the rows of a frame
+    counts = rows.groupBy(KEY, BUCKET).agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(columns)]).withColumnsRenamed({KEY: "series", BUCKET: "at"})
+    totals = SeriesFrame(counts, ("series",), pos="at").running({f"upto_{i}": F.col(f"n_{i}") for i in range(len(columns))}).df
+    before = totals.select(F.col("series").alias(KEY), F.col("at").alias(BUCKET), F.array(*[F.col(f"upto_{i}") - F.col(f"n_{i}") for i in range(len(columns))]).alias("before"))
+    at = {c: i for i, c in enumerate(columns)}
+    sizes = [c.depth * (c.depth + 1) for c in chains]
+
+    def parts(flat: list[float]) -> list[np.ndarray]:
+        """The maps of all chains from one array."""
+        cuts = np.split(np.array(flat), np.cumsum(sizes)[:-1])
+        return [x.reshape(c.depth, c.depth + 1) for x, c in zip(cuts, chains)]
+
+    def flat(maps: list[np.ndarray]) -> list[float]:
+        return np.concatenate([m.ravel() for m in maps]).tolist()
+
+    def known(table: pa.Table) -> tuple[dict[str, np.ndarray], list[int]]:
+        return {c: table[c].to_numpy() for c in columns}, table["before"][0].as_py()
+
+    def summarise(table: pa.Table) -> pa.Table:
+        values, seen = known(table.sort_by(PLACE))
+        maps = [c.map(values[c.column][~np.isnan(values[c.column])], seen[at[c.column]]) for c in chains]
+        return pa.table({KEY: table[KEY].slice(0, 1), BUCKET: table[BUCKET].slice(0, 1), "before": [seen], "maps": [flat(maps)]})
+
+    placed = rows.join(before, [BUCKET, KEY])
+    summary = f"{KEY} {kind}, {BUCKET} long, before array<long>, maps array<double>"
+    summaries = settle(placed.groupBy(BUCKET, KEY).applyInArrow(summarise, summary).withColumn("__group", floor_div(F.col(BUCKET), GROUP_BUCKETS)))
+
+    def combine(table: pa.Table) -> pa.Table:
+        total = None
+        for row in table.sort_by(BUCKET)["maps"].to_pylist():
+            total = parts(row) if total is None else [_after(a, b) for a, b in zip(total, parts(row))]
+        return pa.table({KEY: table[KEY].slice(0, 1), "__group": table["__group"].slice(0, 1), "maps": [flat(total)]})
+
+    def entries(table: pa.Table, order: str, start: list[np.ndarray]) -> tuple[pa.Table, list[list[float]]]:
+        table, state, out = table.sort_by(order), start, []
+        for row in table["maps"].to_pylist():
+            out.append(np.concatenate(state).tolist())
+            state = [m[:, :-1] @ v + m[:, -1] for m, v in zip(parts(row), state)]
+        return table, out
+
+    def start_groups(table: pa.Table) -> pa.Table:
+        table, states = entries(table, "__group", [np.zeros(c.depth) for c in chains])
+        return pa.table({KEY: table[KEY], "__group": table["__group"], "start": states})
+
+    def start_buckets(table: pa.Table) -> pa.Table:
+        start = np.split(np.array(table["start"][0].as_py()), np.cumsum([c.depth for c in chains])[:-1])
+        table, states = entries(table, BUCKET, start)
+        return pa.table({KEY: table[KEY], BUCKET: table[BUCKET], "before": table["before"], "entry": states})
+
+    groups = summaries.groupBy("__group", KEY).applyInArrow(combine, f"{KEY} {kind}, __group long, maps array<double>")
+    starts = groups.groupBy(KEY).applyInArrow(start_groups, f"{KEY} {kind}, __group long, start array<double>")
+    states = summaries.join(starts, ["__group", KEY]).groupBy("__group", KEY).applyInArrow(
+        start_buckets, f"{KEY} {kind}, {BUCKET} long, before array<long>, entry array<double>")
+
+    def apply(table: pa.Table) -> pa.Table:
+        table = table.sort_by(PLACE)
+        values, seen = known(table)
+        entry = np.split(np.array(table["entry"][0].as_py()), np.cumsum([c.depth for c in chains])[:-1])
+        out = {KEY: table[KEY], PLACE: table[PLACE]}
+        for c, v in zip(chains, entry):
+            rows = np.flatnonzero(~np.isnan(values[c.column]))
+            results, _ = c.run(values[c.column][rows], seen[at[c.column]], v)
+            for name, y in zip(c.outputs, results):
+                x = np.full(table.num_rows, np.nan)
+                x[rows[len(rows) - len(y) :]] = y
+                out[name] = pa.array(x, mask=np.isnan(x))
+        return pa.table(out)
+
+    names = [n for c in chains for n in c.outputs]
+    found = rows.join(states, [BUCKET, KEY]).groupBy(BUCKET, KEY).applyInArrow(apply, ", ".join([f"{KEY} {kind}, {PLACE} long", *[f"`{n}` double" for n in names]]))
+    return frame.with_rows(found)
+
+
+@dataclass(frozen=True)
+class Recursive:
+    """An indicator of chains: columns to prepare, the chains, and its value of their results."""
+
+    chains: list[Chain]
+    value: Column
+    prepare: list[Step]
 
 
 def _one(inputs: dict[str, str]) -> str:
     return inputs["real"]
 
 
-def _chain(depth: int, combine: Callable[[list[Column]], Column]):
-    def build(frame: SeriesFrame, inputs: dict[str, str], w: int, name: str) -> SeriesFrame:
-        source, parts = _one(inputs), []
-        for k in range(depth):
-            part = f"ema{k}__{name}"
-            frame = seeded(frame, {part: source}, w, 2.0 / (w + 1.0))
-            parts.append(part)
-            source = part
-        df = frame.df.withColumn(name, combine([F.col(p) for p in parts])).drop(*parts)
-        return frame.with_df(df)
+def _averages(depth: int, combine: Callable[..., Column]):
+    def build(inputs: dict[str, str], w: int, name: str) -> Recursive:
+        chain = Chain(f"ema__{name}", _one(inputs), w, 2.0 / (w + 1.0), depth)
+        return Recursive([chain], combine(*[F.col(n) for n in chain.outputs]), [])
 
     return build
 
 
 def _moves(kind: str):
-    def build(frame: SeriesFrame, inputs: dict[str, str], w: int, name: str) -> SeriesFrame:
-        c, up, down = _one(inputs), f"up__{name}", f"down__{name}"
+    def build(inputs: dict[str, str], w: int, name: str) -> Recursive:
+        c = _one(inputs)
+        up, down = f"up__{c}", f"down__{c}"
 
         def columns(span: Span) -> dict[str, Column]:
             d = F.col(c) - F.lag(c, 1).over(span.ordered)
             return {up: F.greatest(d, F.lit(0.0)) + d * 0, down: F.greatest(-d, F.lit(0.0)) + d * 0}
 
-        frame = frame.derive(Step([up, down], [columns], 1, 0))
-        frame = seeded(frame, {f"avg{up}": up, f"avg{down}": down}, w, 1.0 / w)
-        a, b = F.col(f"avg{up}"), F.col(f"avg{down}")
-        top = a if kind == "rsi" else a - b
-        value = F.when(a + b == 0, F.lit(0.0)).otherwise(ratio(top * 100.0, a + b))
-        return frame.with_df(frame.df.withColumn(name, value).drop(up, down, f"avg{up}", f"avg{down}"))
+        chains = [Chain(f"avg__{side}__{name}", side, w, 1.0 / w) for side in (up, down)]
+        a, b = (F.col(chain.outputs[0]) for chain in chains)
+        value = F.when(a + b == 0, F.lit(0.0)).otherwise(ratio((a if kind == "rsi" else a - b) * 100.0, a + b))
+        return Recursive(chains, value, [Step([up, down], [columns], 1, 0)])
 
     return build
 
 
 def _average_range(relative: bool):
-    def build(frame: SeriesFrame, inputs: dict[str, str], w: int, name: str) -> SeriesFrame:
+    def build(inputs: dict[str, str], w: int, name: str) -> Recursive:
         from tidemark.operators.indicators import true_range
 
-        tr = f"tr__{name}"
-        frame = frame.derive(Step([tr], [lambda span: {tr: true_range(inputs, span)}], 1, 0))
-        frame = seeded(frame, {f"avg{tr}": tr}, w, 1.0 / w)
-        value = F.col(f"avg{tr}")
+        tr = "tr__" + "__".join(inputs[k] for k in ("high", "low", "close"))
+        chain = Chain(f"avg__{name}", tr, w, 1.0 / w)
+        value = F.col(chain.outputs[0])
         if relative:
             value = ratio(value * 100.0, F.col(inputs["close"]))
-        return frame.with_df(frame.df.withColumn(name, value).drop(tr, f"avg{tr}"))
+        return Recursive([chain], value, [Step([tr], [lambda span: {tr: true_range(inputs, span)}], 1, 0)])
 
     return build
 
 
-RECURSIVE: dict[str, Callable[[SeriesFrame, dict[str, str], int, str], SeriesFrame]] = {
-    "EMA": _chain(1, lambda e: e[0]),
-    "DEMA": _chain(2, lambda e: e[0] * 2 - e[1]),
-    "TEMA": _chain(3, lambda e: (e[0] - e[1]) * 3 + e[2]),
+RECURSIVE: dict[str, Callable[[dict[str, str], int, str], Recursive]] = {
+    "EMA": _averages(1, lambda a: a),
+    "DEMA": _averages(2, lambda a, b: a * 2 - b),
+    "TEMA": _averages(3, lambda a, b, c: (a - b) * 3 + c),
     "RSI": _moves("rsi"),
     "CMO": _moves("cmo"),
     "ATR": _average_range(False),
     "NATR": _average_range(True),
 }
+
+
+def recursive_indicators(frame: SeriesFrame, wanted: list[tuple[str, dict[str, str], int, str]]) -> SeriesFrame:
+    """Indicators (function, inputs, window, name) with infinite memory: one settled table, one carried pass for all."""
+    if not wanted:
+        return frame
+    built = {name: RECURSIVE[fn](inputs, w, name) for fn, inputs, w, name in wanted}
+    prepared = {n: s for r in built.values() for s in r.prepare for n in s.names}
+    frame = frame.derive(list({id(s): s for s in prepared.values()}.values())).settle()
+    chains = [c for r in built.values() for c in r.chains]
+    out = chained(frame, chains).with_columns({name: r.value for name, r in built.items()})
+    return out.with_df(out.df.drop(*prepared, *[n for c in chains for n in c.outputs]))
