@@ -2,6 +2,7 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 from samples_llm import docs_of, prose, words  # noqa: F401
 
@@ -143,6 +144,49 @@ def test_near_duplicates(docs_of, percent):
     assert got == brute_components(rows, percent)
 
 
+def test_one_large_group(docs_of, monkeypatch):
+    """Copies of one text that mostly link with nothing share buckets; the few that do link are found, over many blocks."""
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(8)
+    base, texts = [f"b{i}" for i in range(150)], []
+    for i in range(500):
+        w = list(base)
+        for j in rng.choice(150, 6, replace=False):
+            w[j] = f"x{i}_{j}"
+        texts.append(w)
+        if i % 25 == 0:
+            texts.append(w[:-3] + [f"y{i}"])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    got = sorted((tuple(r) for r in minhash.near_duplicates(docs_of(rows), 85).collect()), key=str)
+    assert got == brute_components(rows, 85)
+    assert 15 < sum(not r[3] for r in got) < 200
+
+
+def test_block_links_join_components_only():
+    """Links within and between blocks against all pairs; those inside a component are not sent out."""
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.int64) for _ in range(60)]
+    sets = sorted(sets + [np.union1d(sets[i], [99]) for i in range(0, 60, 2)], key=len)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    sketch = minhash.sketches(owner, np.concatenate(sets).view(np.uint64), len(sets))
+    nodes = np.arange(len(sets)) * 10
+    block = lambda a, b: (nodes[a:b], nodes[a:b], sketch[a:b], sets[a:b])
+    found = minhash.links_between(block(0, 90), None, 70) + minhash.links_between(block(0, 40), block(40, 90), 70)
+
+    def roots(links):
+        root = {int(x): int(x) for x in nodes}
+        for _ in range(len(root)):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    every = [(10 * i, 10 * j) for i in range(90) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 70 * len(np.union1d(sets[i], sets[j]))]
+    assert set(found) | {(b, a) for a, b in found} <= set(every) | {(b, a) for a, b in every}
+    assert roots(found) == roots(every) and len(minhash.links_between(block(0, 90), None, 70)) < 90
+    one = (nodes[:90], np.zeros(90, np.int64), sketch[:90], sets[:90])
+    assert minhash.links_between(one, None, 70) == []
+
+
 def test_near_duplicates_nulls_and_empty(docs_of):
     df = docs_of([(None, "a b c d e f"), (8, "a b c d e f"), (3, "A b c d e f"), (9, None)])
     got = {tuple(r) for r in minhash.near_duplicates(df).collect()}

@@ -14,16 +14,15 @@ Rules
     * Rows that share an id are one node, with a row each.  A NULL id links with nothing, is its own
       component (NULL) and is kept.  Extra columns are ignored; an empty table gives no rows.
 
-Scale: equal sets become one node before anything else.  Inside a bucket nothing is paired with
-everything: its most popular member is compared with the rest, and those not yet in one component
-go on with more such pivots (sixteen times as many each round) until every bucket is one component
-or all its pairs are decided.  From the second round on the join of a bucket with its pivots looks
-at sketches first: the shingles of a set fall into 1024 cells, and a bit tells whether their number
-in a cell is odd.  Where the bits of two sets differ, at least one shingle is in one of them only, so
-the sketches bound the intersection from above; only pairs that the bound rules out are not
-confirmed, and no link is lost.  Nothing is capped.  Sets and
-sketches are made again from the text for candidates only, and the pairs of a popular pivot are a
-join that Spark may split.
+Scale: equal sets become one node before anything else.  Inside a bucket its most popular member is
+compared with the rest first.  Buckets that are not one component then go through one block pass: each is cut
+into blocks of bounded rows and shingles, and any two blocks meet in a cogroup, which sends out
+the edges of a spanning forest only.  Sketches are looked at before sets: the shingles of a set fall into
+1024 cells, and a bit tells whether their number in a cell is odd.  Where the bits of two sets differ, at
+least one shingle is in one of them only, so the sketches bound the intersection from above; only pairs that
+the bound rules out are not confirmed, and no link is lost.  Nothing is capped.  Sets and sketches are made
+again from the text where it lies, of the documents in a bitmap of candidates (1 MB, whatever their number; the
+few others that it lets through meet nobody), so no text is shuffled.
 """
 
 from __future__ import annotations
@@ -40,7 +39,10 @@ SHINGLE = 5
 PERMUTATIONS = 32
 BAND_VALUES = 4
 PERCENT = 85
-GROWTH = 16
+#: Rows and shingles of a block, on average.
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 20
+#: Bits of the map of candidates, as a power of two.
+MAP_BITS = 23
 #: Cells of a sketch, a power of two.
 SKETCH_BITS = 1024
 PIECE_BYTES = 4 << 20
@@ -112,17 +114,36 @@ def sketches(owner: np.ndarray, shingle: np.ndarray, rows: int) -> np.ndarray:
     return out.reshape(rows, SKETCH_BITS // 64)
 
 
-def _sets(batches):
-    for batch in batches:
-        for part in row_runs(batch, 1, PIECE_BYTES):
-            owner, shingle = shingle_sets(part.column(1))
-            at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))]).astype(np.int32)
-            bits = sketches(owner, shingle, part.num_rows)
-            words = np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64))), pa.ListArray.from_arrays(pa.array(words), pa.array(bits.view(np.int64).ravel()))],
-                names=["node", "shingles", "sketch"],
-            )
+def _bitmap(nodes: DataFrame) -> bytes:
+    """A bit for the hash of every node; of fixed size, combined before it is collected."""
+    place = F.shiftrightunsigned(F.xxhash64("node"), 64 - MAP_BITS) + 1
+    rows = nodes.groupBy(F.bitmap_bucket_number(place).alias("slot")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = np.zeros((1 << MAP_BITS) // 8, np.uint8)
+    for slot, part in rows:
+        out[(slot - 1) * 4096 : slot * 4096] = np.frombuffer(bytes(part), np.uint8)
+    return out.tobytes()
+
+
+def _sets_of(wanted: bytes):
+    """Sets and sketches of the documents whose hash (second column) is in the map."""
+
+    def sets(batches):
+        bits = np.frombuffer(wanted, np.uint8)
+        for batch in batches:
+            at = batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            batch = batch.filter(pa.array(hit))
+            for part in row_runs(batch, 2, PIECE_BYTES):
+                owner, shingle = shingle_sets(part.column(2))
+                at = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=part.num_rows))]).astype(np.int32)
+                sketch = sketches(owner, shingle, part.num_rows)
+                words = np.arange(0, sketch.size + 1, sketch.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(shingle.view(np.int64))), pa.ListArray.from_arrays(pa.array(words), pa.array(sketch.view(np.int64).ravel()))],
+                    names=["node", "shingles", "sketch"],
+                )
+
+    return sets
 
 
 def _may_be_similar(a: str, b: str, size_a: str, size_b: str, percent: int) -> Column:
@@ -134,6 +155,70 @@ def _may_be_similar(a: str, b: str, size_a: str, size_b: str, percent: int) -> C
     return (100 + percent) * (total - differ) >= 2 * percent * total
 
 
+def _rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Nodes, components, sketches (a row each) and sets."""
+    shingles = table.column("shingles").combine_chunks()
+    off, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+    sketch = np.stack(table.column("sketch").to_numpy()).view(np.uint64)
+    return table.column("node").to_numpy(), table.column("component").to_numpy(), sketch, [flat[a:b] for a, b in zip(off[:-1], off[1:])]
+
+
+def links_between(left, right, percent: int) -> list[tuple[int, int]]:
+    """Links between two blocks, or within one if ``right`` is None, that join components not joined yet.
+
+    Each row meets all others of another component whose sketches allow a link; a confirmed link
+    makes two components one, so at most one link per row is sent out.
+    """
+    nodes, parts, sketch, sets = left
+    rows = len(nodes)
+    others = (nodes, parts, sketch, sets) if right is None else right
+    size, other_size = (np.array([len(x) for x in xs], np.int64) for xs in (sets, others[3]))
+    label = np.unique(np.concatenate([parts, others[1]]), return_inverse=True)[1]
+    mine, theirs, out = label[:rows].copy(), label[rows:].copy(), []
+    for i in range(rows):
+        first = i + 1 if right is None else 0
+        far = np.flatnonzero(theirs[first:] != mine[i]) + first
+        if not len(far):
+            continue
+        total = size[i] + other_size[far]
+        differ = np.bitwise_count(others[2][far] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+        far = far[(100 + percent) * (total - differ) >= 2 * percent * total]
+        for j in far:
+            if theirs[j] == mine[i]:
+                continue
+            both = len(np.intersect1d(sets[i], others[3][j], assume_unique=True))
+            if 100 * both >= percent * (size[i] + other_size[j] - both):
+                out.append((int(nodes[i]), int(others[0][j])))
+                old, new = theirs[j], mine[i]
+                mine[mine == old], theirs[theirs == old] = new, new
+    return out
+
+
+def _block_pass(open_rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join the components of (bucket, node, n, component) rows; all pairs of a bucket are decided."""
+    weight = open_rows.groupBy("bucket").agg(
+        F.count("*").alias("rows"), F.sum("n").alias("shingles"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    # buckets of the same members are one
+    weight = weight.groupBy("rows", "shingles", "x", "y").agg(F.min("bucket").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    rows = open_rows.select("bucket", "node", "component").join(weight.select("bucket", blocks.alias("blocks")), "bucket").join(sets, "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int"))
+    columns = ["bucket", "one", "two", "node", "component", "sketch", "shingles"]
+    left = rows.withColumns({"one": F.col("own"), "two": F.explode(F.sequence("own", F.col("blocks") - 1))}).select(*columns)
+    right = rows.where("own > 0").withColumns({"two": F.col("own"), "one": F.explode(F.sequence(F.lit(0), F.col("own") - 1))}).select(*[F.col(c).alias(c) for c in columns])
+
+    def decide(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        _, one, two = (k.as_py() for k in key)
+        found = []
+        if len(a) and (one == two or len(b)):
+            found = links_between(_rows_of(a), None if one == two else _rows_of(b), percent)
+        ends = [[max(x) for x in found], [min(x) for x in found]]
+        return pa.table({"a": pa.array(ends[0], pa.int64()), "b": pa.array(ends[1], pa.int64())})
+
+    keys = ["bucket", "one", "two"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(decide, "a long, b long")
+
+
 def _similar(percent: int) -> Column:
     both = F.size(F.array_intersect("sa", "sb"))
     return 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
@@ -153,8 +238,8 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
     members = keep(keyed.join(crowded, "bucket"), "members")
     popular = members.groupBy("node").agg(F.sum("size").alias("popular"))
     members = keep(members.drop("size").join(popular, "node"), "members")
-    wanted = popular.select("node")
-    sets = keep(docs.join(wanted, docs["doc_id"] == wanted["node"]).select("doc_id", "text").mapInArrow(_sets, "node long, shingles array<long>, sketch array<long>"), "sets")
+    wanted = _sets_of(_bitmap(popular.select("node")))
+    sets = keep(docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(wanted, "node long, shingles array<long>, sketch array<long>").where("size(shingles) > 0"), "sets")
     # rows that share an id but not a set are one node
     own = nodes.select(F.col("n").alias("sn"), F.col("d1").alias("s1"), F.col("d2").alias("s2"), "node")
     placed = rows.join(own, (rows["n"] == own["sn"]) & (rows["d1"] == own["s1"]) & (rows["d2"] == own["s2"]) & rows["doc_id"].isNotNull(), "left")
@@ -162,31 +247,30 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
     several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("doc_id", "b")
     links = keep(placed.join(several, "doc_id").where("node > b").select(F.col("node").alias("a"), "b"), "pairs")
     component = spark.createDataFrame([], "id long, component long") if links.isEmpty() else components(links)
-    slices = 1
-    while True:
-        # buckets that are not one component yet, and their pivots
-        now = members.join(component, members["node"] == component["id"], "left").select("bucket", "node", "n", "popular", F.coalesce("component", "node").alias("component"))
-        now = keep(now, "state")
+
+    def opened(rows: DataFrame) -> DataFrame:
+        """Members of the buckets that are not one component."""
+        now = rows.join(component, rows["node"] == component["id"], "left").select("bucket", "node", "n", "popular", F.coalesce("component", "node").alias("component"))
         mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        open_rows = keep(now.join(mixed, "bucket"), "open")
-        if open_rows.isEmpty():
-            break
-        part = F.pmod(F.xxhash64("node", F.lit(slices)), F.lit(slices))
-        pivots = keep(open_rows.groupBy("bucket", part.alias("part")).agg(F.max(F.struct("popular", -F.col("node"), "component", "n")).alias("p")).select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.component").alias("pivot_component"), F.col("p.n").alias("pivot_n")), "pivots")
-        near = (F.col("component") != F.col("pivot_component")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-        if slices > 1:
-            open_sides = open_rows.join(sets.select("node", "sketch", F.size("shingles").alias("sketch_n")), "node")
-            pivot_sides = pivots.join(sets.select(F.col("node").alias("pivot"), F.col("sketch").alias("pivot_sketch"), F.size("shingles").alias("pivot_sketch_n")), "pivot")
-            near = near & _may_be_similar("sketch", "pivot_sketch", "sketch_n", "pivot_sketch_n", percent)
-        else:
-            open_sides, pivot_sides = open_rows, pivots
-        pairs = open_sides.join(pivot_sides, "bucket").where(near).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-        found = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        links = keep(links.union(found.where(_similar(percent)).select("a", "b")), "pairs")
-        component = components(links)
-        # a pivot has met its whole bucket; where rows share an id, their node leaves with it
-        members = keep(open_rows.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n", "popular"), "members")
-        slices *= GROWTH
+        return keep(now.join(mixed, "bucket"), "open")
+
+    # every bucket against its most popular member
+    open_rows = opened(members)
+    pivots = keep(open_rows.groupBy("bucket").agg(F.max(F.struct("popular", -F.col("node"), "component", "n")).alias("p")).select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.component").alias("pivot_component"), F.col("p.n").alias("pivot_n")), "pivots")
+    near = (F.col("component") != F.col("pivot_component")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
+    pairs = open_rows.join(pivots, "bucket").where(near).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+    sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("sketch").alias(f"k{x}"), F.size("shingles").alias(f"n{x}")) for x in "ab"]
+    found = pairs.join(sides[0], "a").join(sides[1], "b").where(_may_be_similar("ka", "kb", "na", "nb", percent)).where(_similar(percent))
+    links = keep(links.union(found.select("a", "b")), "pairs")
+    component = components(links)
+    # a pivot has met its whole bucket; the others of the buckets that are still open meet in blocks
+    rest = open_rows.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
+    open_rows = opened(rest.select("bucket", "node", "n", "popular"))
+    more = keep(_block_pass(open_rows, sets, percent), "pairs")
+    if not more.isEmpty():
+        # components as they are, joined by the new links
+        joined = component.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        component = components(joined.union(more))
     out = placed.join(component, placed["node"] == component["id"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
