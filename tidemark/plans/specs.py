@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from tidemark.frame import SeriesFrame
+from tidemark.frame import SeriesFrame, renamed
 from tidemark.functions.numeric import clean
 from tidemark.operators import bundles, extremum, labels, scores
 from tidemark.operators.indicators import indicators
@@ -67,7 +67,7 @@ def _statistics(frame: SeriesFrame, config: dict, functions: list[str] | None =
         known = STATISTIC_ALIASES.get(fn.lower(), fn.lower())
         made = window_statistics(source, [known], windows, bias)
         names = [f"{column}_{fn}_{w}" for w in windows]
-        steps += [bundles._rename(s, n) for s, n in zip(made, names)]
+        steps += [renamed(s, n) for s, n in zip(made, names)]
         groups.append(names)
     frame = frame.derive(steps)
     final = {}
