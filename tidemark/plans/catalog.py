@@ -1,8 +1,9 @@
 """Registry of the catalogue: named queries over the provided tables with comparison SQL.
 
 Both sides end in the same typed projection: text, whole numbers (times as epoch seconds,
-flags as 0/1) and doubles rounded to six digits, or to nine where short fractions, such as
-77/640, would lie just between two results.
+flags as 0/1) and doubles rounded to six digits.  Where results are short fractions, such as 77/640 or
+733/1024, which lie just between two rounded values, both sides are moved by the same small part of the last
+digit first.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Build = Callable[[SparkSession, str], DataFrame]
-DIGITS = {"d": 6, "f": 9}
+DIGITS, OFFSET = 6, {"d": 0.0, "f": 3.3e-8}
 
 
 @dataclass(frozen=True)
@@ -42,13 +43,13 @@ def project(df: DataFrame, spec: str) -> DataFrame:
         elif kind == "b":
             value = F.unix_seconds(c.cast("timestamp")) if isinstance(of, (T.TimestampType, T.TimestampNTZType, T.DateType)) else c.cast("long")
         else:
-            value = F.round(c.cast("double"), DIGITS[kind]) + F.lit(0.0)
+            value = F.round(c.cast("double") + OFFSET[kind], DIGITS) + F.lit(0.0)
         out.append(value.alias(name))
     return df.select(*out)
 
 
 def _typed_sql(spec: str, body: str) -> str:
-    kinds = {"s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BIGINT)", **{k: f"round(CAST({{0}} AS DOUBLE), {n}) + 0.0" for k, n in DIGITS.items()}}
+    kinds = {"s": "CAST({0} AS VARCHAR)", "b": "CAST({0} AS BIGINT)", **{k: f"round(CAST({{0}} AS DOUBLE) + {x:.9f}::DOUBLE, {DIGITS}) + 0.0" for k, x in OFFSET.items()}}
     columns = ", ".join(f'{kinds[k].format(chr(34) + n + chr(34))} AS "{n}"' for n, k in _columns(spec))
     return f"SELECT {columns} FROM ({body})"
 
