@@ -78,22 +78,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         # each larger end keeps its smallest neighbour as parent; its other neighbours are linked to that parent
         parent = links.groupBy("a").agg(F.min("b").alias("p"))
-        joined = links.join(parent, "a")
-        star = joined.select(F.col("a"), F.col("p").alias("b"))
-        rest = joined.where("b <> p").select(F.greatest("b", "p").alias("a"), F.least("b", "p").alias("b"))
-        lifted = star.union(rest).distinct()
-        # jump: a -> b and b -> p(b) gives a -> p(b), and b stays linked to p(b) through its own edges
-        nxt = lifted.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("b"), "p")
-        jumped = keep(
-            lifted.join(nxt, "b", "left").select("a", F.coalesce("p", "b").alias("b")).union(nxt.select(F.col("b").alias("a"), F.col("p").alias("b"))).distinct(),
-            "links",
-        )
+        rest = links.join(parent, "a").where("b <> p").select(F.greatest("b", "p").alias("a"), F.least("b", "p").alias("b"))
+        lifted = parent.select("a", F.col("p").alias("b")).union(rest)
+        # jump: a -> b becomes a -> p(b); every id keeps an ancestor, so the trees stay whole
+        above = parent.select(F.col("a").alias("b"), "p")
+        links = keep(lifted.join(above, "b", "left").select("a", F.coalesce("p", "b").alias("b")).distinct(), "links")
         # done when every id has one parent and no parent has one itself
-        state = jumped.agg(F.count("*").alias("n"), F.count_distinct("a").alias("k"))
-        roots = jumped.select(F.col("b").alias("a")).distinct().join(jumped, "a", "left_semi").limit(1)
-        n, k = state.first()
-        links = jumped
-        if n == k and roots.isEmpty():
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("e"))
+        roles = ends.groupBy("e.id").agg(F.sum("e.up").alias("up"), F.max("e.down").alias("down"))
+        if roles.where("up > 1 or (up = 1 and down = 1)").isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")

@@ -14,10 +14,10 @@ Rules
     * Rows that share an id are one node, with a row each.  A NULL id links with nothing, is its own
       component (NULL) and is kept.  Extra columns are ignored; an empty table gives no rows.
 
-Scale: equal sets become one node before anything else.  Inside a bucket its most popular member is
-compared with the rest first.  Buckets that are not one component then go through one block pass: each is cut
+Scale: equal sets become one node before anything else.  Inside a bucket its smallest member is
+compared with the rest first.  Buckets with members that it does not link then go through one block pass: each is cut
 into blocks of bounded rows and shingles, and any two blocks meet in a cogroup, which sends out
-the edges of a spanning forest only.  Sketches are looked at before sets: the shingles of a set fall into
+the edges of a spanning forest only.  Components are made once, of all links.  Sketches are looked at before sets: the shingles of a set fall into
 1024 cells, and a bit tells whether their number in a cell is odd.  Where the bits of two sets differ, at
 least one shingle is in one of them only, so the sketches bound the intersection from above; only pairs that
 the bound rules out are not confirmed, and no link is lost.  Nothing is capped.  Sets and sketches are made
@@ -234,43 +234,28 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
         "nodes",
     )
     keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key")).select("node", "n", F.xxhash64("band", "key").alias("bucket"))
-    crowded = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("bucket", "size")
+    crowded = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
     members = keep(keyed.join(crowded, "bucket"), "members")
-    popular = members.groupBy("node").agg(F.sum("size").alias("popular"))
-    members = keep(members.drop("size").join(popular, "node"), "members")
-    wanted = _sets_of(_bitmap(popular.select("node")))
+    wanted = _sets_of(_bitmap(members))
     sets = keep(docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(wanted, "node long, shingles array<long>, sketch array<long>").where("size(shingles) > 0"), "sets")
-    # rows that share an id but not a set are one node
     own = nodes.select(F.col("n").alias("sn"), F.col("d1").alias("s1"), F.col("d2").alias("s2"), "node")
     placed = rows.join(own, (rows["n"] == own["sn"]) & (rows["d1"] == own["s1"]) & (rows["d2"] == own["s2"]) & rows["doc_id"].isNotNull(), "left")
     placed = keep(placed.select("doc_id", "n", "node"), "placed")
-    several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("doc_id", "b")
-    links = keep(placed.join(several, "doc_id").where("node > b").select(F.col("node").alias("a"), "b"), "pairs")
-    component = spark.createDataFrame([], "id long, component long") if links.isEmpty() else components(links)
-
-    def opened(rows: DataFrame) -> DataFrame:
-        """Members of the buckets that are not one component."""
-        now = rows.join(component, rows["node"] == component["id"], "left").select("bucket", "node", "n", "popular", F.coalesce("component", "node").alias("component"))
-        mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
-        return keep(now.join(mixed, "bucket"), "open")
-
-    # every bucket against its most popular member
-    open_rows = opened(members)
-    pivots = keep(open_rows.groupBy("bucket").agg(F.max(F.struct("popular", -F.col("node"), "component", "n")).alias("p")).select("bucket", (-F.col("p.col2")).alias("pivot"), F.col("p.component").alias("pivot_component"), F.col("p.n").alias("pivot_n")), "pivots")
-    near = (F.col("component") != F.col("pivot_component")) & (100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n"))
-    pairs = open_rows.join(pivots, "bucket").where(near).select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
+    # an id and the node of each of its sets are one
+    links = placed.where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    # every bucket against its smallest member
+    pairs = members.where("node > pivot").groupBy(F.col("node").alias("a")).agg(F.collect_set("pivot").alias("pivots"))
     sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"s{x}"), F.col("sketch").alias(f"k{x}"), F.size("shingles").alias(f"n{x}")) for x in "ab"]
-    found = pairs.join(sides[0], "a").join(sides[1], "b").where(_may_be_similar("ka", "kb", "na", "nb", percent)).where(_similar(percent))
-    links = keep(links.union(found.select("a", "b")), "pairs")
-    component = components(links)
-    # a pivot has met its whole bucket; the others of the buckets that are still open meet in blocks
-    rest = open_rows.join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-    open_rows = opened(rest.select("bucket", "node", "n", "popular"))
-    more = keep(_block_pass(open_rows, sets, percent), "pairs")
-    if not more.isEmpty():
-        # components as they are, joined by the new links
-        joined = component.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        component = components(joined.union(more))
+    pairs = pairs.join(sides[0], "a").withColumn("b", F.explode("pivots")).drop("pivots")
+    found = pairs.join(sides[1], "b").where(_may_be_similar("ka", "kb", "na", "nb", percent)).where(_similar(percent))
+    found = keep(found.select("a", "b"), "pairs")
+    # a pivot has met its whole bucket; the others meet in blocks if it leaves one out
+    met = found.select(F.col("a").alias("node"), F.col("b").alias("pivot"), F.col("b").alias("component"))
+    rest = members.where("size > 2 and node > pivot").join(met, ["node", "pivot"], "left").select("bucket", "node", "n", F.coalesce("component", "node").alias("component"))
+    rest = keep(rest, "open")
+    mixed = rest.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("bucket")
+    more = _block_pass(keep(rest.join(mixed, "bucket"), "open"), sets, percent)
+    component = components(links.union(found).union(more))
     out = placed.join(component, placed["node"] == component["id"], "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
