@@ -101,6 +101,17 @@ def test_tables(spark, tmp_path):
         src.read_table(spark, "x.json")
 
 
+def test_ranking_keeps_its_order_and_one_header(spark, tmp_path):
+    path = str(tmp_path / "ranking")
+    rows = spark.createDataFrame([("a", 1.5), ("b", None), ("c", 9.0), ("d, e", 1.5)], "name string, score double").repartition(4)
+    order = [F.desc_nulls_last("score"), F.asc("name")]
+    for part in (rows, rows, rows.where("score > 100")):
+        src.append_ranking(part, path, order, 3)
+    files = sorted(r.value.rstrip("\n") for r in spark.read.text(path, wholetext=True).collect() if r.value)
+    lines = 'c,9.0\na,1.5\n"d, e",1.5'
+    assert files == sorted([f"name,score\n{lines}", lines])
+
+
 def test_daily_vendor_bars(spark):
     df = spark.createDataFrame([("2024-01-02", 1.0)], "Date string, Close double").withColumn("Date", F.to_date("Date"))
     row = src.daily_vendor_bars(df).first()

@@ -273,6 +273,22 @@ register("append_report_lines", "value:s times:b", _report, EVENT_SQL,
          "SELECT series || ',' || count(*) AS value, 2 AS times FROM hourly GROUP BY series")
 
 
+def _ranking(spark, sf_dir):
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}.csv"
+    trades = inputs.hourly(spark, sf_dir).groupBy("series").agg(F.sum("trades").alias("trades"), F.count(F.lit(1)).alias("bars"))
+    for _ in range(2):
+        src.append_ranking(trades, path, [F.desc("trades"), F.asc("series")], 3)
+    files = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value"), F.lit("\n")), "\n")).alias("place", "value"))
+    return files.groupBy("place", "value").agg(F.count(F.lit(1)).alias("times"))
+
+
+register("append_ranked_report", "place:b value:s times:b", _ranking, EVENT_SQL + """,
+ranked AS (SELECT row_number() OVER (ORDER BY sum(trades) DESC, series) AS n, concat_ws(',', series, sum(trades)::BIGINT, count(*)) AS value FROM hourly GROUP BY series)""",
+         """SELECT 0 AS place, 'series,trades,bars' AS value, 1 AS times
+UNION ALL SELECT n AS place, value, 1 AS times FROM ranked WHERE n <= 3
+UNION ALL SELECT n - 1 AS place, value, 1 AS times FROM ranked WHERE n <= 3""")
+
+
 # -- row selection ---------------------------------------------------------------------------
 
 POSITION = "series:s pos:b price:d"

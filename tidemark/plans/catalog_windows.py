@@ -552,6 +552,13 @@ def _extremes(spark, sf_dir):
 
 register("extremum_labels", KEY + "top_a:b top_b:b bot_a:b", _extremes, *extremum_sql(EXTREMES))
 
+#: The labels of one level: tolerances are fractions of it.
+ONE_LEVEL = [extremum.ExtremumLabel("narrow", False, 2.0, 0.5), extremum.ExtremumLabel("wide", False, 2.0, 1.0)]
+register("extremum_one_level", KEY + "narrow:b wide:b",
+         lambda s, d: apply_specs(inputs.filled(s, d), [
+             {"generator": "topbot2", "config": {"columns": "close", "function": "bot", "level": 2.0, "tolerances": [0.25, 0.5], "names": ["narrow", "wide"]}}])[0].df,
+         *extremum_sql(ONE_LEVEL))
+
 PRESET = [extremum.ExtremumLabel(f"{'top' if top else 'bot'}{k}_{text}", top, level, tolerance)
           for text, tolerance in extremum.PRESET_TOLERANCES.items() for top in (True, False)
           for k, level in enumerate(extremum.PRESET_LEVELS, 1)]

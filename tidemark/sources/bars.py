@@ -150,3 +150,11 @@ def last_row(df: DataFrame, keys: list[str], ts: str = "timestamp") -> DataFrame
 def append_report(df: DataFrame, path: str) -> None:
     """Append result rows (a ranking, a table of metrics) as text lines."""
     df.select(F.concat_ws(",", *[F.col(c).cast("string") for c in df.columns]).alias("line")).write.mode("append").text(path)
+
+
+def append_ranking(df: DataFrame, path: str, order: list[Column], top: int) -> None:
+    """Append the ``top`` rows by ``order`` as one CSV file; only the first file of ``path`` has a header."""
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    new = not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    df.orderBy(*order).limit(top).write.mode("append").option("header", new).csv(path)
