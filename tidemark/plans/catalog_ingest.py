@@ -177,17 +177,23 @@ register("complete_bars", "series:s ts:b close:d",
          "SELECT series, epoch(h) AS ts, close FROM hourly WHERE h < TIMESTAMP '2024-01-20 10:00:00'")
 
 
-def _epoch_rows(spark, sf_dir):
-    raw = inputs.hourly(spark, sf_dir).select(
+def _raw_rows(spark, sf_dir):
+    return inputs.hourly(spark, sf_dir).select(
         "series", (F.unix_micros("ts") / 1000).cast("long").cast("string").alias("timestamp"),
         F.col("open").cast("string").alias("open"), F.col("close").cast("string").alias("close"), F.col("trades").cast("string").alias("trades"))
-    typed = src.typed_bars(raw.drop("series"))
+
+
+def _epoch_rows(spark, sf_dir):
+    typed = src.typed_bars(_raw_rows(spark, sf_dir).drop("series"))
     return typed.groupBy(F.to_date("timestamp").alias("ts")).agg(
         F.sum("open").alias("open"), F.sum("close").alias("close"), F.sum("trades").alias("trades"))
 
 
 register("typed_epoch_rows", "ts:b open:d close:d trades:b", _epoch_rows, EVENT_SQL,
          "SELECT epoch(date_trunc('day', h)) AS ts, sum(open) AS open, sum(close) AS close, sum(trades) AS trades FROM hourly GROUP BY 1")
+register("typed_epoch_bars", "series:s timestamp:b open:d close:d trades:b",
+         lambda s, d: src.typed_bars(_raw_rows(s, d), keys=("series",)), EVENT_SQL,
+         "SELECT series, epoch(h) AS timestamp, open, close, trades FROM hourly")
 
 
 def _null_report(spark, sf_dir):

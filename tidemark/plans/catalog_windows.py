@@ -470,14 +470,18 @@ def _threshold_sql(c: str, thresholds: dict[str, float]) -> str:
     return ", ".join(out)
 
 
-flags = [*labels.HIGH_THRESHOLDS, *labels.LOW_THRESHOLDS]
+# written out, so that the SQL does not take them from the labels that it is compared with
+HIGH_PERCENT = [1.0, 1.5, 2.0, 2.5, 3.0, 0.1, 0.2, 0.3, 0.4, 0.5]
+LOW_PERCENT = [-0.1, -0.2, -0.3, -0.4, -0.5, -1.0, -1.5, -2.0, -2.5, -3.0]
+high_flags, low_flags = ({f"{side}_{round(abs(t) * 10):02d}": t for t in percent} for side, percent in (("high", HIGH_PERCENT), ("low", LOW_PERCENT)))
+flags = [*high_flags, *low_flags]
 register("horizon_labels", KEY + "high_max_12:d low_min_12:d high_to_low_12:d " + " ".join(f"{f}:b" for f in flags),
          lambda s, d: labels.horizon_labels(inputs.filled(s, d), 12)[0].df,
          FILLED_SQL + f""",
 h AS (SELECT series, pos, 100 * (({ahead('high', 'max', 12)}) - close) / nullif(close, 0) AS hi, 100 * (({ahead('low', 'min', 12)}) - close) / nullif(close, 0) AS lo FROM filled)""",
          f"""SELECT series, pos, CASE WHEN hi < 0 THEN 0 ELSE hi END AS high_max_12, CASE WHEN lo > 0 THEN 0 ELSE -lo END AS low_min_12,
   2 * (CASE WHEN hi < 0 THEN 0 ELSE hi END) / nullif((CASE WHEN hi < 0 THEN 0 ELSE hi END) + (CASE WHEN lo > 0 THEN 0 ELSE -lo END), 0) - 1 AS high_to_low_12,
-  {_threshold_sql('hi', labels.HIGH_THRESHOLDS)}, {_threshold_sql('lo', labels.LOW_THRESHOLDS)} FROM h""")
+  {_threshold_sql('hi', high_flags)}, {_threshold_sql('lo', low_flags)} FROM h""")
 
 
 def crossing_sql(reference: str, price: str, t: float, h: int) -> str:
@@ -559,9 +563,9 @@ register("extremum_one_level", KEY + "narrow:b wide:b",
              {"generator": "topbot2", "config": {"columns": "close", "function": "bot", "level": 2.0, "tolerances": [0.25, 0.5], "names": ["narrow", "wide"]}}])[0].df,
          *extremum_sql(ONE_LEVEL))
 
-PRESET = [extremum.ExtremumLabel(f"{'top' if top else 'bot'}{k}_{text}", top, level, tolerance)
-          for text, tolerance in extremum.PRESET_TOLERANCES.items() for top in (True, False)
-          for k, level in enumerate(extremum.PRESET_LEVELS, 1)]
+# written out as above; the name of a tolerance is its digits behind 0.0
+PRESET = [extremum.ExtremumLabel(f"{side}{k}_{text}", side == "top", k / 100, float(f"0.0{text}"))
+          for text in "025 05 075 1 125 15 175 2 25 3".split() for side in ("top", "bot") for k in range(1, 6)]
 register("extremum_preset", KEY + " ".join(f"{p.name}:b" for p in PRESET),
          lambda s, d: extremum.tops_and_bottoms(inputs.filled(s, d))[0].df, *extremum_sql(PRESET))
 

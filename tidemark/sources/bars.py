@@ -106,10 +106,11 @@ def epoch_to_timestamp(c: Column, unit: str = "ms") -> Column:
     raise ValueError(f"unknown epoch unit {unit!r}")
 
 
-def typed_bars(df: DataFrame, schema: T.StructType = FULL_BAR, unit: str = "ms") -> DataFrame:
-    """Cast raw vendor rows (text or numbers, epoch time) to the bar types."""
+def typed_bars(df: DataFrame, schema: T.StructType = FULL_BAR, unit: str = "ms", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Cast raw vendor rows (text or numbers, epoch time) to the bar types; columns named as ``keys`` come along as they are."""
     first, *rest = schema.fields
     return df.select(
+        *keys,
         epoch_to_timestamp(F.col(first.name), unit).alias(first.name),
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in rest if f.name in df.columns])
 
