@@ -328,3 +328,29 @@ def test_pipeline(spark, tmp_path):
     assert sum(r.length for r in out["pack_sequences"]) == sum(len(brute_ids(r.text)) for r in out["mix_sources"])
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert Counter(r.doc_id for r in again.collect()) == Counter(r.doc_id for r in out["pack_sequences"])
+
+
+def test_language_id_takes_little_memory_in_a_worker():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    class Rows:  # gives the function that would run in a worker
+        columns, schema = ["text"], None
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    samples = {k: "".join(chr(97 + (i * i * n + i) % 23) for i in range(500)) for k, n in (("en", 3), ("de", 5))}
+    batch = pa.RecordBatch.from_pydict({"text": ["der fox springt " * 200] * 4000})
+    language._tables.clear()
+    language._parsers.clear()
+    tracemalloc.start()
+    parts = list(language.predict(Rows(), samples)([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(p.num_rows for p in parts) == 4000
+    assert most < 150 << 20

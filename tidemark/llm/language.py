@@ -38,8 +38,10 @@ DOC_CHARS = 8_000
 LANGUAGE_CHARS = 16_000
 MAX_ALPHABET = 1_000
 BLOCK = 1_024
-#: Blocks that are parsed side by side, and characters that a step holds.
+#: Blocks that are parsed side by side.
 LANES = 4_096
+#: Bytes of text that a worker takes at once: a character costs it some 40 bytes while its row is parsed.
+RUN_BYTES = 1 << 20
 
 _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -47,9 +49,9 @@ _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For every code point: its lower case, and whether it is a letter."""
     if not _tables:
-        points = [chr(c) for c in range(0x110000)]
-        low = np.array([ord(y) if len(y := x.lower()) == 1 else i for i, x in enumerate(points)], np.int32)
-        _tables["x"] = low, np.array([x.isalpha() for x in points])
+        # filled from iterators: lists of all code points would take some 150 MB in every worker
+        low = np.fromiter((ord(y) if len(y := chr(c).lower()) == 1 else c for c in range(0x110000)), np.int32, 0x110000)
+        _tables["x"] = low, np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return _tables["x"]
 
 
@@ -117,27 +119,32 @@ class Parser:
         self.symbol[alphabet] = np.arange(1, len(alphabet) + 1)
         self.symbol[rare] = width + np.arange(len(rare))
         self.rare = len(rare)
-        tables = [automaton(self.symbol[texts[k]].tolist()) for k in self.languages]
-        total = sum(len(t) + 1 for t in tables) * width
+        # an automaton has at most twice as many states as its text has characters
+        total = sum(2 * len(texts[k]) + 2 for k in self.languages) * width
         self.bits = 30 if total < 1 << 30 else 60
         mark, kind = 1 << self.bits, np.int32 if self.bits == 30 else np.int64
         parts, self.start, base, steps = [], [], 0, []
-        self.rare_root = np.zeros((len(tables), self.rare), np.int64)
-        for k, edges in enumerate(tables):
+        self.rare_root = np.zeros((len(self.languages), self.rare), np.int64)
+        for k, name in enumerate(self.languages):
+            edges = automaton(self.symbol[texts[name]].tolist())
             alone = len(edges)
-            t = np.full((alone + 1, width), -1, np.int64)
+            # where nothing else is said, a symbol starts a new phrase; if it starts none, it is one alone
+            joint = np.empty((alone + 1, width), kind)
+            joint[:] = (base + alone) * width + mark
+            for c, to in edges[0].items():
+                if c < width:
+                    joint[:, c] = (base + to) * width + mark
             self.rare_root[k] = (base + alone) * width + mark
             for s, e in enumerate(edges):
                 for c, to in e.items():
                     if c < width:
-                        t[s, c] = to
+                        joint[s, c] = (base + to) * width
                     else:
                         steps.append(((base + s) * self.rare + c - width, (base + to) * width))
                         if s == 0:
                             self.rare_root[k, c - width] = (base + to) * width + mark
-            root = np.where(t[0] >= 0, t[0], alone)
-            joint = np.where(t >= 0, (t + base) * width, (root[None, :] + base) * width + mark)
-            parts.append(joint.astype(kind).ravel())
+            parts.append(joint.ravel())
+            del edges
             self.start.append((base + alone) * width)
             base += alone + 1
         self.table = np.concatenate(parts) if parts else np.zeros(0, kind)
@@ -178,12 +185,14 @@ class Parser:
         codes = code_points("".join(t or "" for t in texts))
         is_letter = letter[codes]
         norm = np.where(is_letter, low[codes], 32)
-        row = np.repeat(np.arange(len(texts)), np.diff(off))
+        del codes
+        row = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(off))
         has = np.bincount(row, is_letter, len(texts)) > 0
         gap = ~is_letter
         again = np.zeros(len(gap), bool)
         again[1:] = gap[1:] & gap[:-1] & (row[1:] == row[:-1])
         symbols, row = self.symbol[norm[~again]], row[~again]
+        del norm, is_letter, gap, again
         size = np.bincount(row, minlength=len(texts))
         first = np.concatenate([[0], np.cumsum(size)[:-1]])
         blocks = -(-size // self.block)
@@ -237,7 +246,7 @@ def predict(documents: DataFrame, samples: dict[str, str], text: str = "text", b
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(sample, block, max_alphabet)
         for batch in batches:
-            for part in row_runs(batch, at):
+            for part in row_runs(batch, at, RUN_BYTES):
                 cost, has = p.costs(part.column(at).to_pylist())
                 if not names:
                     label, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
