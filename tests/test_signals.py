@@ -245,3 +245,17 @@ def test_one_hot_series_is_split(spark):
     exchanges = [part[:60] for part in plan.split("hashpartitioning(")[1:]]
     assert exchanges and all("__bucket" in e and "__key" in e for e in exchanges)
     assert out.df.count() == 100_000
+
+
+def test_kernels_take_more_tasks_for_more_rows(spark, monkeypatch):
+    import tidemark.frame
+
+    monkeypatch.setattr(tidemark.frame, "TASK_ROWS", 100)
+    df = spark.createDataFrame([(i % 2, float(i)) for i in range(4000)], "s long, x double")
+    frame = tidemark.frame.number_rows(df, ["s"], ["x"], ts="x")
+    from tidemark.operators.labels import first_crossings
+
+    crossed = first_crossings(frame, 5, {"far": ("x", "x", 50.0)}).df
+    plan = crossed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", 40") >= 3  # rows sent to numpy, and both sides of the join
+    assert crossed.count() == 4000
