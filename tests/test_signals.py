@@ -259,3 +259,29 @@ def test_kernels_take_more_tasks_for_more_rows(spark, monkeypatch):
     plan = crossed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(", 40") >= 3  # rows sent to numpy, and both sides of the join
     assert crossed.count() == 4000
+
+
+def test_depth_bins_take_more_tasks_for_more_levels(spark, monkeypatch):
+    import tidemark.frame
+
+    monkeypatch.setattr(tidemark.frame, "TASK_ROWS", 100)
+    df = spark.createDataFrame([(i // 4, float(i % 4), 1.0) for i in range(4000)], "snap long, price double, volume double")
+    bins = depth_bins(df, ["snap"], 2.0)
+    assert bins.rdd.getNumPartitions() == 40
+    assert bins.count() == 2000
+
+
+def test_depth_bins_of_long_snapshots(spark, monkeypatch):
+    import tidemark.operators.depth as depth
+
+    rows = [(k, None if (i + j) % 7 == 0 else float(p), float(i)) for j, (k, n) in enumerate([("a", 40), (None, 30), ("b", 3), ("c", 1)])
+            for i, p in enumerate(np.random.default_rng(j).integers(0, 50, n))]
+    df = spark.createDataFrame(rows, "snap string, price double, volume double")
+
+    def bins(start):
+        return {(r.snap, r.bin): r.volume for r in depth_bins(df, ["snap"], 4.0, start).collect()}
+
+    whole = {start: bins(start) for start in (None, -5.0)}
+    monkeypatch.setattr(depth, "WHOLE_LEVELS", 10)
+    for start, expected in whole.items():
+        assert bins(start) == pytest.approx(expected)

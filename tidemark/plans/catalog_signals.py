@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+from tidemark.frame import tasks_for
 from tidemark.operators import scores as S
 from tidemark.operators import trades as T
 from tidemark.operators.depth import depth_bins
@@ -276,8 +277,9 @@ register("parameter_sweep_two_scores", "series:s param_id:b buy_signal_threshold
 
 def _ladders(spark, sf_dir) -> DataFrame:
     """Each order as a ladder: its lines are price levels with their quantity."""
-    return inputs.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.floor(F.col("l_extendedprice") / 1000).alias("price")).agg(
-        F.sum("l_quantity").alias("volume"))
+    lines = inputs.table(spark, sf_dir, "lineitem").select("l_orderkey", F.floor(F.col("l_extendedprice") / 1000).alias("price"), "l_quantity")
+    placed = lines.repartition(tasks_for(spark, lines.count()), "l_orderkey", "price")
+    return placed.groupBy("l_orderkey", "price").agg(F.sum("l_quantity").alias("volume"))
 
 
 LADDER_SQL = """
