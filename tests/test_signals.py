@@ -285,3 +285,15 @@ def test_depth_bins_of_long_snapshots(spark, monkeypatch):
     monkeypatch.setattr(depth, "WHOLE_LEVELS", 10)
     for start, expected in whole.items():
         assert bins(start) == pytest.approx(expected)
+
+
+def test_rounding_is_that_of_spark(spark):
+    from tidemark.functions.numeric import rounded
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 10.0**k, 2000) for k in range(-8, 12)] + [rng.integers(-10**6, 10**6, 2000) / 2e6, rng.integers(-10**9, 10**9, 2000) / 2e6,
+                       rng.integers(-99, 99, 500) / 640, [0.0, -0.0, np.nan, np.inf, -np.inf, 9999999.9999995, 0.0000005, -0.0000005, 1.0000005]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+    fast = rounded(F.col("x"), 6)
+    assert df.where(~fast.eqNullSafe(F.round("x", 6))).count() == 0
+    assert "CASE WHEN" in df.select(fast)._jdf.queryExecution().optimizedPlan().toString()
