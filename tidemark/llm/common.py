@@ -178,6 +178,33 @@ def words_of(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return start, end, row, mix64(hashed ^ (end - start).astype(np.uint64))
 
 
+def give_back() -> None:
+    """Memory that was freed goes back to the system: Arrow's pool and, where it can be asked, the C library's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(function):
+    """``function`` for mapInArrow; its worker gives freed memory back after each task.
+
+    Spark keeps workers for later tasks and stages, and an idle one would hold what its largest task took.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def row_runs(batch, at: int, most: int = 8 << 20):
     """Runs of rows of an Arrow batch with about ``most`` bytes in column ``at``; a longer row is a run alone."""
     import pyarrow.compute as pc

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import row_runs
+from tidemark.llm.common import give_back, lean, row_runs
 
 SAMPLE_DOCS = 64
 DOC_CHARS = 8_000
@@ -41,7 +41,7 @@ BLOCK = 1_024
 #: Blocks that are parsed side by side.
 LANES = 4_096
 #: Bytes of text that a worker takes at once: a character costs it some 40 bytes while its row is parsed.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 19
 
 _tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -123,13 +123,15 @@ class Parser:
         total = sum(2 * len(texts[k]) + 2 for k in self.languages) * width
         self.bits = 30 if total < 1 << 30 else 60
         mark, kind = 1 << self.bits, np.int32 if self.bits == 30 else np.int64
-        parts, self.start, base, steps = [], [], 0, []
+        self.start, base, steps = [], 0, []
+        # of what is set aside, only the rows that are filled in take memory
+        table = np.empty((total // width, width), kind)
         self.rare_root = np.zeros((len(self.languages), self.rare), np.int64)
         for k, name in enumerate(self.languages):
             edges = automaton(self.symbol[texts[name]].tolist())
             alone = len(edges)
             # where nothing else is said, a symbol starts a new phrase; if it starts none, it is one alone
-            joint = np.empty((alone + 1, width), kind)
+            joint = table[base : base + alone + 1]
             joint[:] = (base + alone) * width + mark
             for c, to in edges[0].items():
                 if c < width:
@@ -143,11 +145,10 @@ class Parser:
                         steps.append(((base + s) * self.rare + c - width, (base + to) * width))
                         if s == 0:
                             self.rare_root[k, c - width] = (base + to) * width + mark
-            parts.append(joint.ravel())
             del edges
             self.start.append((base + alone) * width)
             base += alone + 1
-        self.table = np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.table = table[:base].ravel()
         self.rare_keys, self.rare_to = np.array(sorted(steps), np.int64).reshape(-1, 2).T
         # a phrase names a place in its language's text
         self.price = np.array([np.log2(max(2, len(texts[k]))) for k in self.languages])
@@ -218,6 +219,7 @@ def parser(samples: tuple[tuple[str, str], ...], block: int, max_alphabet: int)
     if key not in _parsers:
         _parsers.clear()
         _parsers[key] = Parser(dict(samples), block, max_alphabet)
+        give_back()
     return _parsers[key]
 
 
@@ -247,7 +249,9 @@ def predict(documents: DataFrame, samples: dict[str, str], text: str = "text", b
         p = parser(sample, block, max_alphabet)
         for batch in batches:
             for part in row_runs(batch, at, RUN_BYTES):
-                cost, has = p.costs(part.column(at).to_pylist())
+                # the rows that were sent out last are still held; as copies they do not hold the whole batch
+                columns = [pa.concat_arrays([c]) for c in part.columns]
+                cost, has = p.costs(columns[at].to_pylist())
                 if not names:
                     label, score = ["und"] * part.num_rows, np.zeros(part.num_rows)
                 else:
@@ -258,9 +262,11 @@ def predict(documents: DataFrame, samples: dict[str, str], text: str = "text", b
                     with np.errstate(invalid="ignore"):
                         score = np.where(has, np.where(np.isinf(second), 1.0, second / (top + second)), 0.0)
                     label = [names[b] if h else "und" for b, h in zip(best.tolist(), has.tolist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*part.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(label, pa.string()), pa.array(score, pa.float64())], schema=pa.schema([*part.schema, pa.field("lang_pred", pa.string()), pa.field("score", pa.float64())]))
+                del part, columns
+            del batch
 
-    return documents.mapInArrow(classify, schema)
+    return documents.mapInArrow(lean(classify), schema)
 
 
 def identify(documents: DataFrame, folds: int = 3, held_out: int = 1, **options) -> DataFrame:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import chain, components, keep, mix64, row_runs, text_buffer, words_of
+from tidemark.llm.common import chain, components, keep, lean, mix64, row_runs, text_buffer, words_of
 from tidemark.llm.substring import _runs_hash, _starts
 
 SHINGLE = 5
@@ -45,7 +45,8 @@ BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 20
 MAP_BITS = 23
 #: Cells of a sketch, a power of two.
 SKETCH_BITS = 1024
-PIECE_BYTES = 4 << 20
+#: Bytes of text that a worker takes at once: a byte costs it some 30 while its row is hashed.
+PIECE_BYTES = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MULTIPLY = mix64(np.arange(1000, 1000 + PERMUTATIONS, dtype=np.uint64)) | np.uint64(1)
@@ -228,7 +229,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
     """doc_id, n_shingles, component_id, kept for every row of ``documents``."""
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = keep(docs.mapInArrow(_sign, "doc_id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    rows = keep(docs.mapInArrow(lean(_sign), "doc_id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     nodes = keep(
         rows.where("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("node")),
         "nodes",
@@ -237,7 +238,7 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT, doc_id: str =
     crowded = keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last").drop("last")
     members = keep(keyed.join(crowded, "bucket"), "members")
     wanted = _sets_of(_bitmap(members))
-    sets = keep(docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(wanted, "node long, shingles array<long>, sketch array<long>").where("size(shingles) > 0"), "sets")
+    sets = keep(docs.where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("hash"), "text").mapInArrow(lean(wanted), "node long, shingles array<long>, sketch array<long>").where("size(shingles) > 0"), "sets")
     own = nodes.select(F.col("n").alias("sn"), F.col("d1").alias("s1"), F.col("d2").alias("s2"), "node")
     placed = rows.join(own, (rows["n"] == own["sn"]) & (rows["d1"] == own["s1"]) & (rows["d2"] == own["s2"]) & rows["doc_id"].isNotNull(), "left")
     placed = keep(placed.select("doc_id", "n", "node"), "placed")

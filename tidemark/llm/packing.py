@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep
+from tidemark.llm.common import keep, lean, row_runs
 
 CAPACITY = 2048
 GRAIN = 8
@@ -37,17 +37,20 @@ END_ID = 1
 SLACK = 5e-4
 #: Ranks are counted in groups of about so many rows.
 GROUP_ROWS = 2048
+#: Bytes of text whose ids a worker makes at once.
+RUN_BYTES = 1 << 20
+
+
 class Encoder:
     """Ids of texts under a byte-level BPE file.
 
     ``ranks`` may name the same vocabulary as a list of ranks: the ids are the same and found
-    faster.  Texts that might hold the name of a special token go to the tokenizer itself.
+    faster.  Texts that might hold the name of a special token go to the tokenizer itself, which
+    is loaded with the first one.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.fast = Tokenizer.from_file(path), None
+        self.path, self.tokenizer, self.fast = path, None, None
         if ranks:
             import base64
 
@@ -60,6 +63,10 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         if self.fast is None or "<|" in text:
+            if self.tokenizer is None:
+                from tokenizers import Tokenizer
+
+                self.tokenizer = Tokenizer.from_file(self.path)
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
@@ -235,18 +242,19 @@ def pack(documents: DataFrame, tokenizer: str, ranks: str | None = None, capacit
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, step = encoder(tokenizer, ranks).ids, capacity * 4
         for batch in batches:
-            out: list[list[int]] = [[], [], [], [], []]
-            for doc, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(words or "") + end
-                n = len(ids) // 4
-                for a in range(0, len(ids), step):
-                    piece = ids[a : a + step]
-                    for c, v in zip(out, (doc, a // 4, len(piece) // 4, zlib.crc32(piece), n)):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            for part in row_runs(batch, 1, RUN_BYTES):
+                out: list[list[int]] = [[], [], [], [], []]
+                for doc, words in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids = encode(words or "") + end
+                    n = len(ids) // 4
+                    for a in range(0, len(ids), step):
+                        piece = ids[a : a + step]
+                        for c, v in zip(out, (doc, a // 4, len(piece) // 4, zlib.crc32(piece), n)):
+                            c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-    pieces = keep(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, schema), "pieces")
+    pieces = keep(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(lean(cut), schema), "pieces")
     # equal rows of a repeated document are interchangeable; a number keeps them apart
     item = F.floor((F.col("length") + (grain - 1)) / grain).cast("int") - 1
     items = pieces.where(F.col("length") < capacity).withColumn("type", item)
