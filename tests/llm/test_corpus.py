@@ -12,6 +12,7 @@ import pytest
 from samples_llm import docs_of, prose, words  # noqa: F401
 
 from tidemark.llm import html, language, mixing, packing
+from tidemark.llm.common import few_rows
 from tidemark.llm.queries import tokenizer_files
 
 SOURCES = ["b", "a", None, "ä", "Z", "tiny", "none"]
@@ -417,3 +418,15 @@ def test_a_worker_gives_back_what_language_id_took(tmp_path):
     *rows, held = map(int, done.stdout.split())
     assert rows == [18_000, 18_000]
     assert held < 50, f"{held} MB are still held after the tasks"
+
+
+def test_few_rows_need_no_python_workers(spark):
+    schema = "type int, firsts array<long>, copies array<int>"
+    for rows in ([(1, [0, 1 << 40], [2]), (2, [], [])], []):
+        got, want = few_rows(spark, rows, schema), spark.createDataFrame(rows, schema)
+        assert got.schema == want.schema and got.collect() == want.collect()
+    targets = spark.sql("select * from values (1, 9000L), (2, 5L) as t(source_no, words)")
+    text = "\n".join(f"{k} {k + 1} three" for k in range(3000))
+    packed = packing.pack(spark.createDataFrame([(1, text), (2, "a")], "doc_id long, text string"), *tokenizer_files())
+    for df in (mixing.slots(spark, targets, 1000), packed):
+        assert "ExistingRDD" not in df._jdf.queryExecution().executedPlan().toString()

@@ -51,6 +51,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A DataFrame of rows of the driver; by way of Arrow, as a list would need Python workers of its own to read it."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return spark.createDataFrame(pa.table([pa.array([r[k] for r in rows]) for k in range(len(names))], names=names), schema)
+
+
 def words_count(text: Column) -> Column:
     """Number of words; NULL has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, keep, words_count
+from tidemark.llm.common import WORD, few_rows, keep, words_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -77,7 +77,7 @@ def slots(spark, targets: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
         run += r.words
         edges.append(-(-(run << bits) // total))
     held = [e - b for e, b in zip(edges, [0, *edges[:-1]])]
-    facts = spark.createDataFrame([(r.source_no, r.words, max(1, k)) for r, k in zip(rows, held)], "source_no int, words long, k long")
+    facts = few_rows(spark, [(r.source_no, r.words, max(1, k)) for r, k in zip(rows, held)], "source_no int, words long, k long")
     nth = F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e <= F.col("point"))) + 1
     dealt = (
         spark.range(0, 1 << bits, 1, max(1, min(10_000, (1 << bits) // SLOT_CHUNK)))
@@ -86,7 +86,7 @@ def slots(spark, targets: DataFrame, slot_words: int = SLOT_WORDS) -> DataFrame:
     )
     alone = [((1 << bits) + i, -1, r.source_no) for i, (r, k) in enumerate(zip(rows, held)) if k == 0]
     if alone:
-        dealt = dealt.union(spark.createDataFrame(alone, "slot long, chunk long, source_no int"))
+        dealt = dealt.union(few_rows(spark, alone, "slot long, chunk long, source_no int"))
     before = Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     base = dealt.groupBy("source_no", "chunk").agg(F.count("*").alias("n")).select("source_no", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source_no", "chunk").orderBy("slot")

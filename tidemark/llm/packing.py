@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import keep, lean, row_runs
+from tidemark.llm.common import few_rows, keep, lean, row_runs
 
 CAPACITY = 2048
 GRAIN = 8
@@ -272,7 +272,8 @@ def pack(documents: DataFrame, tokenizer: str, ranks: str | None = None, capacit
     by_type: dict[int, list[tuple[int, int, int, int]]] = {}
     for t, first, copies, sequence, times in table:
         by_type.setdefault(t, []).append((first, copies, sequence, times))
-    plan = spark.createDataFrame(
+    plan = few_rows(
+        spark,
         [(t, [x[0] for x in v], [x[1] for x in v], [x[2] for x in v]) for t, v in by_type.items()],
         "type int, firsts array<long>, copies array<int>, sequences array<long>",
     )
