@@ -101,3 +101,35 @@ def test_near_duplicates_of_nothing(spark):
     df = table(spark, [(3, None), (4, [0.0, 0.0])])
     assert sorted(tuple(r) for r in vectors.near_duplicates(df).collect()) == [(3, 0, 3, True), (4, 0, 4, True)]
     assert vectors.near_duplicates(df.where("vec_id > 9")).count() == 0
+
+
+def test_near_duplicates_move_each_vector_once(spark, monkeypatch):
+    """Vectors are shuffled and kept once, however many blocks meet; copies are one row."""
+    rng = np.random.default_rng(5)
+    rows = [(i, np.float32(rng.normal(0, 1, 8)).tolist()) for i in range(200)]
+    rows += [(200 + i, rows[i][1]) for i in range(50)] + [(300 + i, rows[7][1]) for i in range(50)]
+    kept = {}
+
+    def keep(df, name, was=vectors.keep):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        kept[name] = plan, was(df, name)
+        return kept[name][1]
+
+    monkeypatch.setattr(vectors, "keep", keep)
+    got = sorted(tuple(r) for r in vectors.near_duplicates(table(spark, rows), cell_rows=40, block_rows=10).collect())
+    assert got == brute_links(rows, 0.9)
+    plan, blocks = kept["blocks"]
+    assert plan.count("Exchange") == 1 and blocks.count() >= 20
+    sizes = blocks.select(F.sum(F.length("data")), F.sum(F.length("ids")), F.max(F.length("ids"))).first()
+    assert tuple(sizes) == (200 * 8 * 4, 200 * 8, 10 * 8)
+    plan, found = kept["found"]
+    assert "CartesianProduct" in plan and "Exchange" not in plan and "Shuffle" not in plan
+    # edges of a forest of each task, one count per vector and task
+    assert found.where("other is null").groupBy(F.spark_partition_id(), "id").count().where("count > 1").isEmpty()
+
+
+def test_blocks_far_apart_do_not_meet(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, np.float32(np.eye(6)[i % 6] + rng.normal(0, 0.15, 6)).tolist()) for i in range(300)]
+    got = sorted(tuple(r) for r in vectors.near_duplicates(table(spark, rows), cell_rows=20, block_rows=20).collect())
+    assert got == brute_links(rows, 0.9)
