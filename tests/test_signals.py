@@ -297,3 +297,19 @@ def test_rounding_is_that_of_spark(spark):
     fast = rounded(F.col("x"), 6)
     assert df.where(~fast.eqNullSafe(F.round("x", 6))).count() == 0
     assert "CASE WHEN" in df.select(fast)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_wide_projections_stay_out_of_whole_stage_code(spark):
+    """One method for all rounded columns would be too long for Java to compile; the values are the same."""
+    from tidemark.plans.catalog import WIDE, project
+
+    rng = np.random.default_rng(6)
+    names = [f"c{i}" for i in range(WIDE + 1)]
+    df = spark.createDataFrame([(float(i), *map(float, x)) for i, x in enumerate(rng.normal(0, 100, (50, WIDE + 1)))] + [(None,) * (WIDE + 2)], ", ".join(f"{n} double" for n in ["id", *names]))
+    df = df.repartition(2)
+    wide, narrow = project(df, "id:b " + " ".join(f"{n}:d" for n in names)), [project(df, f"id:b {n}:d") for n in names]
+    got = {r.id: r for r in wide.collect()}
+    for n, part in zip(names, narrow):
+        assert {r.id: r[n] for r in part.collect()} == {i: r[n] for i, r in got.items()}
+    stages = [line for line in wide._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].splitlines() if "lambda" in line]
+    assert stages and not any("*(" in line for line in stages)

@@ -1,13 +1,15 @@
 """Window operators against plain pandas, with buckets much shorter than the series."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
 from conftest import random_walk
 from pyspark.sql import functions as F
 
-from tidemark.frame import Kernel, SeriesFrame
-from tidemark.operators import recursive
+from tidemark.frame import CLEANUP, Kernel, SeriesFrame, number_rows, settle
+from tidemark.operators import bundles, recursive
 from tidemark.operators import rolling as R
 from tidemark.operators.indicators import indicators
 from tidemark.operators.labels import first_crossings
@@ -375,3 +377,64 @@ def test_null_series_is_a_series(spark):
     frame = number_rows(df, "series", ["x"], ts="x")
     rows = frame.tail(1).running({"total": F.col("x")}).derive(R.past_aggregations("x", "sum", 2)).df.collect()
     assert sorted((str(r.series), r.pos, r.x, r.total) for r in rows) == [("None", 1, 3.0, 3.0), ("a", 0, 2.0, 2.0)]
+
+
+def _plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_depth_bundle_equals_sliding_frames(make_frame):
+    """The same to the last digit, also around NULL, NaN, infinities and a base of 0; NULL keys are a series."""
+    rng = np.random.default_rng(9)
+    columns = {c: rng.normal(0, 3, 120) for c in bundles.DEPTH_COLUMNS}
+    columns["gap"][rng.random(120) < 0.5] = np.nan  # NULL
+    columns["bids_1"][:] = 0.0
+    columns["asks_1"][40:] = 0.0
+    columns["bids_2"][50], columns["asks_2"][60] = np.inf, 1e300
+    columns["bids_5"][:] = np.nan
+    frame = make_frame({"a": columns, "b": {c: x[:20] for c, x in columns.items()}})
+    frame = frame.with_columns({"series": F.when(F.col("series") == "a", "a"), "bids_10": F.when(F.col("pos") == 45, float("nan")).otherwise(F.col("bids_10"))}).settle()
+    got, names = bundles.depth_bundle(frame)
+    parts = [bundles._against_base(c, "mean", bundles.DEPTH_BASE, bundles.DEPTH_WINDOWS, c) for c in bundles.DEPTH_COLUMNS]
+    want = frame.derive([s for p in parts for s in p[0]], [s for p in parts for s in p[1]])
+    assert names == [n for p in parts for n in p[2]] and got.df.columns == want.df.columns
+    assert sorted(map(repr, got.df.collect())) == sorted(map(repr, want.df.collect()))
+    assert got.df.where("bids_10_2 = double('NaN')").count() and got.df.where("gap_2 is not null").count()
+
+
+def test_made_columns_do_not_go_through_the_shuffle(make_frame):
+    walk = make_frame({"a": {"x": random_walk(60, 1)}})
+    book = {c: F.col("x") * (i + 1) for i, c in enumerate(bundles.DEPTH_COLUMNS)}
+    through, want = bundles.depth_bundle(walk, book)[0].df, bundles.depth_bundle(walk.with_columns(book))[0].df
+    assert sorted(map(repr, through.select(want.columns).collect())) == sorted(map(repr, want.collect()))
+    plan = through._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "asks_20" not in plan[plan.index("RepartitionByExpression"):]
+    assert _plan(through).partition("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_numbering_places_rows_once(spark):
+    """Rows are shuffled for the order alone: not for the join with the few starts, and no file of that shuffle stays."""
+    df = spark.range(3000).select((F.col("id") % 3).alias("k"), F.hash("id").alias("x"), "id", F.lit("unused").alias("u"))
+    frame = number_rows(df, ["k"], ["x", "id"], ts="id", partitions=5, columns=["x"])
+    assert frame.df.columns == ["k", "id", "x", "pos"]
+    plan = _plan(frame.df)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan
+    want = pd.DataFrame(df.collect(), columns=df.columns).sort_values(["k", "x", "id"])
+    want["pos"] = want.groupby("k").cumcount()
+    assert sorted(map(tuple, frame.df.collect())) == sorted(map(tuple, want[["k", "id", "x", "pos"]].to_numpy().tolist()))
+
+
+def test_shuffles_of_settled_rows_are_deleted(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return set(disk.getAllFiles().mkString("|").split("|"))
+
+    before, setting = files(), spark.conf.get(CLEANUP)
+    settle(spark.range(5000).repartition(3, "id"))
+    deadline = time.monotonic() + 20
+    while any("shuffle_" in f for f in files() - before) and time.monotonic() < deadline:
+        time.sleep(0.2)
+    assert not any("shuffle_" in f for f in files() - before)
+    assert spark.conf.get(CLEANUP) == setting
