@@ -133,3 +133,28 @@ def test_blocks_far_apart_do_not_meet(spark):
     rows = [(i, np.float32(np.eye(6)[i % 6] + rng.normal(0, 0.15, 6)).tolist()) for i in range(300)]
     got = sorted(tuple(r) for r in vectors.near_duplicates(table(spark, rows), cell_rows=20, block_rows=20).collect())
     assert got == brute_links(rows, 0.9)
+
+
+@pytest.mark.parametrize("kind", ["even", "few components", "one cone"])
+def test_links_by_the_larger_components_first(monkeypatch, kind):
+    """All links and no others, whether the first look leaves few pairs or is given up."""
+    monkeypatch.setattr(vectors, "PRODUCT", 3000)
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, (300, 40))
+    if kind == "few components":
+        x[:, 5:] *= 0.05
+    if kind == "one cone":
+        x += 3
+    x[200:] = x[:100] + rng.normal(0, 0.45, (100, 40)) * np.abs(x[:100]).mean()
+    x = vectors._unit(x)
+    threshold = 0.9
+    cosine = x @ x.T
+    want = (cosine >= threshold) & ~np.eye(300, dtype=bool)
+    weight = rng.integers(1, 4, 300)
+    n, _, edges = vectors.links_between(x, x, weight, weight, threshold, True)
+    n_b = vectors.links_between(x, x, weight, weight, threshold, True)[1]
+    assert (n + n_b == want @ weight).all() and all(want[e] for e in edges) and 0 < want.sum()
+    a, b = x[:150], x[150:]
+    n_a, n_b, edges = vectors.links_between(a, b, weight[:150], weight[150:], threshold, False)
+    assert (n_a == want[:150, 150:] @ weight[150:]).all() and (n_b == want[:150, 150:].T @ weight[:150]).all()
+    assert all(want[i, 150 + j] for i, j in edges)

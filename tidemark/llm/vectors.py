@@ -30,16 +30,20 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import blocks_for, components, keep, lean, usable_vector
 
 THRESHOLD = 0.9
-CELL_ROWS = 8192
-BLOCK_ROWS = 8192
+CELL_ROWS = 16384
+BLOCK_ROWS = 16384
 MAX_PIVOTS = 256
+#: Bytes of vectors from which a block has fewer rows: pairs of blocks go to Python whole.
+BLOCK_BYTES = 1 << 22
 #: Blocks of one file; fewer where there would be fewer files than tasks run at once.
 FILE_BLOCKS = 4
 #: Rows below which a block is not made smaller to occupy more tasks.
 LEAST_ROWS = 1024
 #: Elements of a product of matrices that are looked at together.
 PRODUCT = 1 << 20
-#: Blocks of the right side that a task keeps for its next block of the left side.
+#: Components from which pairs are first looked at by three eighths of them, and the share of pairs these may leave.
+LEAST_DIM, RARE = 32, 1 / 500
+#: Blocks of the right side that a task keeps for its next blocks of the left side.
 KEPT_BLOCKS = 8
 #: Angles are rounded in their last digits, most where they are small.
 ANGLE_MARGIN = 1e-6
@@ -74,15 +78,27 @@ def links_between(a: np.ndarray, b: np.ndarray, weight_a: np.ndarray, weight_b:
     edges = []
     a32, b32 = a.astype(np.float32), b.astype(np.float32)
     step = max(1, PRODUCT // max(1, len(b)))
+    low = np.float32(threshold - MARGIN)
+    few = a.shape[1] * 3 // 8 if a.shape[1] >= LEAST_DIM else 0
+    if few:
+        main = np.argsort(-((a32 * a32).sum(0) + (b32 * b32).sum(0)), kind="stable")
+        a_few, b_few = (np.column_stack([x[:, main[:few]], np.linalg.norm(x[:, main[few:]], axis=1)]) for x in (a32, b32))
     for s in range(0, len(a), step):
-        p = a32[s : s + step] @ b32.T
-        i, j = np.divmod(np.flatnonzero(p.ravel() >= np.float32(threshold - MARGIN)), max(1, len(b)))
+        if few:
+            # the rest of the components adds at most the product of its lengths
+            i, j = np.divmod(np.flatnonzero((a_few[s : s + step] @ b_few.T).ravel() >= low), max(1, len(b)))
+            few *= len(i) <= RARE * step * len(b)
+        if few:
+            p = None
+        else:
+            p = a32[s : s + step] @ b32.T
+            i, j = np.divmod(np.flatnonzero(p.ravel() >= low), max(1, len(b)))
         i += s
         if same:
             i, j = i[i < j], j[i < j]
         if not len(i):
             continue
-        close = p[i - s, j] < threshold + MARGIN
+        close = np.ones(len(i), bool) if p is None else p[i - s, j] < threshold + MARGIN
         ok = ~close
         ok[close] = np.einsum("ij,ij->i", a[i[close]], b[j[close]]) >= threshold
         i, j = i[ok], j[ok]
@@ -153,7 +169,7 @@ def _pack(pivots: dict[int, np.ndarray], real: str, block_rows: int):
         dims, cell, data = dims[first], cell[first], table.column("data").take(pa.array(first))
         cuts = [0, *(np.flatnonzero((np.diff(dims) != 0) | (np.diff(cell) != 0)) + 1).tolist(), len(first)]
         for start, end in zip(cuts, cuts[1:]):
-            parts = blocks_for(end - start, block_rows)
+            parts = blocks_for(end - start, max(1, min(block_rows, BLOCK_BYTES // len(data[start].as_py()))))
             for k in range(parts):
                 a, b = (start + (end - start) * x // parts for x in (k, k + 1))
                 held = b"".join(data.slice(a, b - a).to_pylist())
@@ -175,34 +191,43 @@ def _link(pivots: dict[int, np.ndarray], real: str, threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links, pa.int64()), pa.nulls(len(ids), pa.int64()) if other is None else pa.array(other, pa.int64())], names=["id", "links", "other"])
 
     def link(batches):
-        held: dict[int, tuple] = {}
+        held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         root: dict[int, int] = {}
 
         def block(row: dict, side: str) -> tuple:
             key = row[f"b_{side}"]
-            if key not in held:
-                for old in list(held)[: max(0, len(held) - KEPT_BLOCKS)]:
-                    del held[old]
-                x = _unit(_rows(row[f"data_{side}"], row["dim"], real))
-                held[key] = x, _angles(x, pivots[row["dim"]]).astype(np.float32), *(np.frombuffer(row[f"{c}_{side}"], np.int64) for c in ("ids", "n"))
+            if key in held:
+                return held[key]
+            ids, n = (np.frombuffer(row[f"{c}_{side}"], np.int64) for c in ("ids", "n"))
+            found = _unit(_rows(row[f"data_{side}"], row["dim"], real)), ids, n
             if key not in counts:
-                counts[key] = held[key][2], np.zeros(len(held[key][2]), np.int64)
-            return held[key]
-
+                counts[key] = ids, np.zeros(len(ids), np.int64)
+            # every block of the left side meets those of the right side in the same order: the first ones are worth keeping
+            if side == "b" and len(held) < KEPT_BLOCKS:
+                held[key] = found
+            return found
+
+        def reaching(x: np.ndarray, dim: int, largest: list[float]) -> np.ndarray:
+            """Rows that can be near a block with these largest angles, by the pivot around which it lies closest."""
+            p = int(np.argmin(largest))
+            return np.flatnonzero(_angles(x, pivots[dim][p : p + 1])[:, 0] <= largest[p] + far)
+
+        last = None
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
-                (x, ax, ids_x, n_x), (y, ay, ids_y, n_y) = block(row, "a"), block(row, "b")
+                if last is None or last[0] != row["b_a"]:
+                    last = row["b_a"], block(row, "a")
+                (x, ids_x, n_x), (y, ids_y, n_y) = last[1], block(row, "b")
                 same = row["b_a"] == row["b_b"]
                 i, j = np.arange(len(x)), np.arange(len(y))
                 if not same:
-                    # by the pivot around which the other block lies closest
-                    p, q = ay.max(0).argmin(), ax.max(0).argmin()
-                    i, j = np.flatnonzero(ax[:, p] <= ay[:, p].max() + far), np.flatnonzero(ay[:, q] <= ax[:, q].max() + far)
+                    i, j = reaching(x, row["dim"], row["hi_b"]), reaching(y, row["dim"], row["hi_a"])
                 if not (len(i) and len(j)):
                     continue
-                n_a, n_b, edges = links_between(x[i], y[j], n_x[i], n_y[j], threshold, same)
+                a, b = (v if len(v) == len(at) else v[at] for v, at in ((x, i), (y, j)))
+                n_a, n_b, edges = links_between(a, b, n_x[i], n_y[j], threshold, same)
                 counts[row["b_a"]][1][i] += n_a
                 counts[row["b_b"]][1][j] += n_b
                 new = []
@@ -240,7 +265,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
         some = good.where(F.col("dim") == dim).orderBy(F.xxhash64("h1")).limit(want).select("v").collect()
         pivots[dim] = np.unique(_unit(np.array([r.v for r in some], np.float64)), axis=0)
     total = sum(sizes.values())
-    files = max(blocks_for(total, FILE_BLOCKS * block_rows), min(spark.sparkContext.defaultParallelism, blocks_for(total, LEAST_ROWS)))
+    stored = sum(rows * dim * np.dtype(real).itemsize for dim, rows in sizes.items())
+    files = max(blocks_for(total, FILE_BLOCKS * block_rows), blocks_for(stored, FILE_BLOCKS * BLOCK_BYTES), min(spark.sparkContext.defaultParallelism, blocks_for(total, LEAST_ROWS)))
     placed = good.mapInArrow(lean(_place(pivots, real)), "dim int, cell int, h1 long, h2 long, id long, n long, data binary")
     order = ["dim", "cell", "h1", "h2"]
     packed = placed.repartitionByRange(files, *order).sortWithinPartitions(*order).mapInArrow(lean(_pack(pivots, real, block_rows)), "dim int, lo array<double>, hi array<double>, ids binary, n binary, data binary")
@@ -250,7 +276,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
     reach = float(np.arccos(threshold)) + ANGLE_MARGIN
     near = F.expr(f"forall(zip_with(lo_a, hi_b, (x, y) -> x - y <= {reach!r}D), z -> z) and forall(zip_with(lo_b, hi_a, (x, y) -> x - y <= {reach!r}D), z -> z)")
     pairs = a.hint("shuffle_replicate_nl").join(b, (F.col("b_a") <= F.col("b_b")) & (F.col("dim") - F.col("dim_b") == 0) & near)
-    columns = [f"{c}_{x}" for x in "ab" for c in ("b", "ids", "n", "data")]
+    columns = [f"{c}_{x}" for x in "ab" for c in ("b", "hi", "ids", "n", "data")]
     found = keep(pairs.select("dim", *columns).mapInArrow(lean(_link(pivots, real, threshold)), "id long, links long, other long"), "found")
     links = found.where("other is null").groupBy("id").agg(F.sum("links").alias("links"))
     comp = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
